@@ -35,40 +35,6 @@ def tokens(text: Column) -> Column:
     return F.filter(raw_tokens(text), lambda t: ~t.isin(NO_SIGNAL))
 
 
-def term_counts(words: Column) -> Column:
-    """``ARRAY<STRUCT<term, tf>>`` of a token array, counted inside the row.
-
-    A document lives in one row, so its counts need no shuffle: sort the
-    tokens, find where each run starts, and take run lengths.
-    """
-
-    def run_starts(s: Column) -> Column:
-        at = F.transform(s, lambda t, i: F.when((i == 0) | (t != F.get(s, i - 1)), i))
-        return F.filter(at, lambda i: i.isNotNull())
-
-    def runs(s: Column, starts: Column) -> Column:
-        return F.transform(
-            starts,
-            lambda i, k: F.struct(
-                F.get(s, i).alias("term"),
-                (F.coalesce(F.get(starts, k + 1), F.size(s)) - i).alias("tf"),
-            ),
-        )
-
-    return let(F.sort_array(words), lambda s: let(run_starts(s), lambda starts: runs(s, starts)))
-
-
-def job_terms(title: Column, description: Column) -> Column:
-    """Weighted term counts of a listing: the description counts three times."""
-    weighted = [F.array_repeat(tokens(title), rules.TITLE_WEIGHT)]
-    weighted.append(F.array_repeat(tokens(description), rules.DESCRIPTION_WEIGHT))
-    return term_counts(F.flatten(F.concat(*weighted)))
-
-
-def resume_terms(text: Column) -> Column:
-    return term_counts(tokens(text))
-
-
 def years_of_experience(
     resume: Column, current_year: int = rules.CURRENT_YEAR, allow_end_month: bool = False
 ) -> Column:

@@ -16,11 +16,12 @@ résumé, so jobs that share no word come out of the same join with score 0.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import text
+from ..sources.tables import widen
 from . import skew
 
 SENTINEL = ""
@@ -33,19 +34,42 @@ def idf(n_jobs: Column, df: Column) -> Column:
     return F.log((n_jobs + F.lit(2.0)) / (df + F.lit(1.0))) + F.lit(1.0)
 
 
-def _with_sentinel(terms: Column) -> Column:
-    return F.concat(F.array(F.struct(F.lit(SENTINEL).alias("term"), F.lit(0).alias("tf"))), terms)
+def _counted(docs: DataFrame, keys: list[str], once: Column | None, thrice: Column) -> DataFrame:
+    """``(*keys, term, tf)`` plus one sentinel row per document.
+
+    Exploded tokens are counted by a hash aggregate: its partial step sits in
+    the task that read the document, so what moves is one row per term.
+    """
+    head = F.array(F.lit(SENTINEL)) if once is None else F.concat(F.array(F.lit(SENTINEL)), once)
+    weight = rules.TITLE_WEIGHT if once is None else rules.DESCRIPTION_WEIGHT
+    parts = F.array(
+        F.struct(F.lit(rules.TITLE_WEIGHT).alias("w"), head.alias("words")),
+        F.struct(F.lit(weight).alias("w"), thrice.alias("words")),
+    )
+    # The outer form: a plain explode makes the optimizer add a "not empty"
+    # filter below it, which would run the token pattern once more per row.
+    words = docs.select(*keys, F.inline_outer(parts)).select(*keys, "w", F.explode_outer("words").alias("term"))
+    return words.filter(~F.col("term").isin(text.NO_SIGNAL)).groupBy(*keys, "term").agg(F.sum("w").alias("tf"))
+
+
+def _job_postings(listings: DataFrame, keys: list[str]) -> DataFrame:
+    listings = widen(listings, ["board_id", "ord"])
+    description = F.coalesce("description", F.lit(""))
+    return _counted(listings, keys, text.raw_tokens(F.col("title")), text.raw_tokens(description))
 
 
 def term_freqs(listings: DataFrame) -> DataFrame:
     """(board_id, ord, term, tf): title once, description three times."""
-    terms = text.job_terms(F.col("title"), F.col("description"))
-    return listings.select("board_id", "ord", F.inline(terms))
+    return _job_postings(listings, ["board_id", "ord"]).filter(F.col("term") != SENTINEL)
+
+
+def _resume_postings(resumes: DataFrame, keys: list[str]) -> DataFrame:
+    return _counted(widen(resumes, ["resume_id"]), keys, None, text.raw_tokens(F.col("resume_text")))
 
 
 def resume_term_freqs(resumes: DataFrame) -> DataFrame:
     """(resume_id, term, tf)"""
-    return resumes.select("resume_id", F.inline(text.resume_terms(F.col("resume_text"))))
+    return _resume_postings(resumes, ["resume_id"]).filter(F.col("term") != SENTINEL)
 
 
 def doc_freqs(postings: DataFrame) -> DataFrame:
@@ -60,20 +84,21 @@ def _ordered(terms: Column, weight) -> Column:
     )
 
 
-def job_vectors(listings: DataFrame, boards: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Board-level statistics.
+def job_vectors(listings: DataFrame, boards: DataFrame | None = None) -> DataFrame:
+    """``(board_id, ord, senior, n_jobs, n_pairs, terms)``, one row per job.
 
-    Returns ``vectors(board_id, ord, senior, n_jobs, n_pairs, base2, terms,
-    ranked)`` and ``df(board_id, term, df, n_pairs)``. ``boards(board_id,
-    n_pairs)`` gives the number of paired résumés; boards without are dropped.
+    ``terms`` holds (term, tf, df) with df counted over the board. A frequent
+    term of a huge board is joined per block of listing positions, so no key
+    has more than a block of postings. Postings are written once, so texts are
+    tokenized once, and moved to their job before collecting: terms of one job
+    arrive from everywhere and combining them earlier would save nothing. ``boards(board_id, n_pairs)`` gives the
+    number of paired résumés; jobs of boards without any are dropped.
     """
-    terms = text.job_terms(F.col("title"), F.coalesce("description", F.lit("")))
-    postings = listings.select(
-        "board_id",
-        "ord",
-        text.is_senior_title(F.col("title")).alias("senior"),
-        F.floor(F.col("ord") / skew.BLOCK_ROWS).alias("block"),
-        F.inline(_with_sentinel(terms)),
+    senior = listings.withColumn("senior", text.is_senior_title(F.col("title")))
+    postings = skew.materialize(
+        _job_postings(senior, ["board_id", "ord", "senior"]).withColumn(
+            "block", F.floor(F.col("ord") / skew.BLOCK_ROWS)
+        )
     )
     counts = postings.groupBy("board_id", "block", "term").agg(F.count(F.lit(1)).alias("_n"))
     df = counts.groupBy("board_id", "term").agg(F.sum("_n").alias("df"))
@@ -83,8 +108,9 @@ def job_vectors(listings: DataFrame, boards: DataFrame | None = None) -> tuple[D
         df = df.join(boards.withColumn("term", F.lit(SENTINEL)), ["board_id", "term"], "left")
     per_block = counts.drop("_n").join(df, ["board_id", "term"])
     is_mark = F.col("term") == SENTINEL
-    gathered = (
+    return (
         postings.join(per_block, ["board_id", "block", "term"])
+        .repartition("board_id", "ord")
         .groupBy("board_id", "ord")
         .agg(
             F.max("senior").alias("senior"),
@@ -92,18 +118,32 @@ def job_vectors(listings: DataFrame, boards: DataFrame | None = None) -> tuple[D
             F.max(F.when(is_mark, F.col("n_pairs"))).alias("n_pairs"),
             F.collect_list(F.when(~is_mark, F.struct("term", "tf", "df"))).alias("terms"),
         )
+        .filter(F.col("n_pairs").isNotNull())
     )
+
+
+def with_weights(vectors: DataFrame) -> DataFrame:
+    """Add ``base2``, the squared norm, and ``ranked``, terms by board-level weight."""
     n = F.col("n_jobs")
-    vectors = gathered.select(
+    weight = lambda t: t["tf"] * idf(n, t["df"])
+    weighted = vectors.select(
         "*",
-        F.aggregate(
-            "terms", F.lit(0.0), lambda acc, t: acc + F.pow(t["tf"] * idf(n, t["df"]), F.lit(2.0))
-        ).alias("base2"),
-        _ordered(F.col("terms"), lambda t: t["tf"] * idf(n, t["df"])).alias("ranked"),
+        F.aggregate("terms", F.lit(0.0), lambda acc, t: acc + F.pow(weight(t), F.lit(2.0))).alias("base2"),
+        _ordered(F.col("terms"), weight).alias("ranked"),
+    )
+    idle = F.transform(
+        F.slice("ranked", 1, rules.JOB_TOP_TERMS), lambda t: F.struct(t["nw"], t["term"], F.lit(False).alias("in_top"))
+    )
+    return weighted.withColumn("idle_top", idle)
+
+
+def board_df(vectors: DataFrame) -> DataFrame:
+    """``(board_id, term, df, n_pairs)``; the sentinel's df is the board size."""
+    terms = vectors.select("board_id", F.inline("terms")).groupBy("board_id", "term").agg(F.max("df").alias("df"))
+    sizes = vectors.groupBy("board_id").agg(F.max("n_jobs").alias("df"), F.max("n_pairs").alias("n_pairs"))
+    return terms.withColumn("n_pairs", F.lit(None).cast("long")).unionByName(
+        sizes.withColumn("term", F.lit(SENTINEL))
     )
-    if boards is not None:
-        vectors = vectors.filter(F.col("n_pairs").isNotNull())
-    return vectors, df
 
 
 def resume_vectors(resumes: DataFrame, pairs: DataFrame, df: DataFrame) -> DataFrame:
@@ -111,13 +151,14 @@ def resume_vectors(resumes: DataFrame, pairs: DataFrame, df: DataFrame) -> DataF
 
     A pair whose board has no jobs disappears.
     """
-    docs = resumes.select(
-        "resume_id",
-        text.years_of_experience(F.col("resume_text")).alias("years"),
-        _with_sentinel(text.resume_terms(F.col("resume_text"))).alias("terms"),
+    dated = resumes.withColumn("years", text.years_of_experience(F.col("resume_text")))
+    terms = (
+        _resume_postings(dated, ["resume_id", "years"])
+        .groupBy("resume_id", "years")
+        .agg(F.collect_list(F.struct("term", "tf")).alias("terms"))
     )
     exploded = skew.spread_lookup(
-        pairs.select("resume_id", "board_id"), docs, ["resume_id"], ["board_id"]
+        pairs.select("resume_id", "board_id"), terms, ["resume_id"], ["board_id"]
     ).select("board_id", "resume_id", "years", F.inline("terms"))
     known = skew.spread_lookup(exploded, df, ["board_id", "term"], ["resume_id"], "left")
     is_mark = F.col("term") == SENTINEL
@@ -173,15 +214,16 @@ def score_jobs(
     description)``, ``pairs(resume_id, board_id)``. One row per job and pair:
     ``resume_id, board_id, ord, score, score_pct, matched_keywords,
     missing_keywords, explanation, rank``. A corpus without a single usable
-    term gives score 0 everywhere.
+    term gives score 0 everywhere. The job vectors are written once to the shared
+    folder and read by every later step.
 
     ``top_k`` keeps the best k per pair; ``keep_idle=False`` leaves out jobs
     that share no term with the résumé, before they are ever built.
     """
     pairs = pairs.select("resume_id", "board_id").distinct()
     boards = pairs.groupBy("board_id").agg(F.count(F.lit(1)).alias("n_pairs"))
-    jobs, df = job_vectors(listings, boards)
-    scored = _score(jobs, resume_vectors(resumes, pairs, df), keep_idle)
+    jobs = skew.materialize(job_vectors(listings, boards))
+    scored = _score(jobs, resume_vectors(resumes, pairs, board_df(jobs)), keep_idle)
     return rank_matches(scored, listings, top_k)
 
 
@@ -220,7 +262,7 @@ def _score(jobs: DataFrame, people: DataFrame, keep_idle: bool = True) -> DataFr
     plain = idf(F.col("n_jobs"), F.col("df"))
     real = F.col("term") != SENTINEL
     shared = (
-        job_terms.join(person_terms, ["board_id", "jt", "rt", "term"])
+        job_terms.hint("merge").join(person_terms, ["board_id", "jt", "rt", "term"])
         .select(
             "board_id", "rt", "ord", "resume_id", "n_jobs", "norm2", "years",
             F.when(real, F.col("tf_r") * F.col("tf_j") * raised * raised).otherwise(0.0).alias("dot"),
@@ -244,7 +286,10 @@ def _score(jobs: DataFrame, people: DataFrame, keep_idle: bool = True) -> DataFr
         )
     )
     paired = shared.join(
-        job_tiles.select("board_id", "rt", "ord", "senior", "base2", "ranked"), ["board_id", "rt", "ord"]
+        with_weights(jobs).select(
+            "board_id", "ord", "senior", "base2", "ranked", "idle_top", _each_tile("n_pairs", TILE_RESUMES).alias("rt")
+        ),
+        ["board_id", "rt", "ord"],
     )
     return _words(paired.select("resume_id", "board_id", "ord", "n_jobs", *_finish()))
 
@@ -261,7 +306,8 @@ def _finish() -> list[Column]:
     names = F.transform("shared", lambda t: t["term"])
     others = text.let(names, lambda seen: F.filter(prefix, lambda t: ~F.array_contains(seen, t["term"])))
     unshared = F.transform(others, lambda t: F.struct(t["nw"], t["term"], F.lit(False).alias("in_top")))
-    top = F.slice(F.sort_array(F.concat("shared", unshared)), 1, rules.JOB_TOP_TERMS)
+    corrected = F.slice(F.sort_array(F.concat("shared", unshared)), 1, rules.JOB_TOP_TERMS)
+    top = F.when(F.size("shared") == 0, F.col("idle_top")).otherwise(corrected)
     return [cosine.alias("cosine"), pct.alias("score_pct"), top.alias("top")]
 
 
