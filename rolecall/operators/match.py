@@ -227,6 +227,34 @@ def score_jobs(
     return rank_matches(scored, listings, top_k)
 
 
+def score_new(resumes: DataFrame, listings: DataFrame, pairs: DataFrame, df: DataFrame) -> DataFrame:
+    """Score listings that are not part of the counted corpus.
+
+    ``df`` is the frozen ``board_df`` of a snapshot. A term the snapshot has
+    not seen counts as found in no job; boards outside it give no rows.
+    """
+    pairs = pairs.select("resume_id", "board_id").distinct()
+    is_mark = F.col("term") == SENTINEL
+    senior = listings.withColumn("senior", text.is_senior_title(F.col("title")))
+    postings = _job_postings(senior, ["board_id", "ord", "senior"])
+    jobs = (
+        skew.spread_lookup(postings, df, ["board_id", "term"], ["ord"], "left")
+        .repartition("board_id", "ord")
+        .groupBy("board_id", "ord")
+        .agg(
+            F.max("senior").alias("senior"),
+            F.max(F.when(is_mark, F.col("df"))).alias("n_jobs"),
+            F.max(F.when(is_mark, F.col("n_pairs"))).alias("n_pairs"),
+            F.collect_list(
+                F.when(~is_mark, F.struct("term", "tf", F.coalesce("df", F.lit(0).cast("long")).alias("df")))
+            ).alias("terms"),
+        )
+        .filter(F.col("n_jobs").isNotNull() & F.col("n_pairs").isNotNull())
+    )
+    jobs = skew.materialize(jobs)
+    return rank_matches(_score(jobs, resume_vectors(resumes, pairs, df)), listings)
+
+
 def _score(jobs: DataFrame, people: DataFrame, keep_idle: bool = True) -> DataFrame:
     """Join both sides tile by tile and finish each (résumé, job) pair.
 
