@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import rules
+from .text import let
 
 _SPLIT = r"(?s)^(?:([a-zA-Z][a-zA-Z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?"
 
@@ -87,27 +88,42 @@ def _join_path(base_path: Column, ref_path: Column) -> Column:
     return F.concat(F.lit("/"), cleaned)
 
 
-def resolve(base: Column, href: Column) -> Column:
-    """Absolute form of ``href`` on a page at ``base`` (a URL with a host)."""
-    r_scheme, r_host, r_path = _part(href, 1), netloc(href), _part(href, 3)
-    r_query, r_frag = _part(href, 4), _part(href, 5)
-    query = F.when((r_path == "") & (r_query == ""), _part(base, 4)).otherwise(r_query)
+def split(url: Column) -> Column:
+    """Parts of a base URL as a struct, to be computed once per page."""
+    return F.struct(
+        url.alias("url"),
+        scheme(url).alias("scheme"),
+        netloc(url).alias("netloc"),
+        _part(url, 3).alias("path"),
+        _part(url, 4).alias("query"),
+    )
+
+
+def resolve_in(base: Column, href: Column) -> Column:
+    """Absolute form of ``href`` on the page whose ``split`` URL is ``base``."""
+    r_scheme, r_path, r_query = _part(href, 1), _part(href, 3), _part(href, 4)
+    query = F.when((r_path == "") & (r_query == ""), base["query"]).otherwise(r_query)
+    fragment = _part(href, 5)
     suffix = F.concat(
         F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
-        F.when(r_frag != "", F.concat(F.lit("#"), r_frag)).otherwise(""),
+        F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(""),
     )
-    origin = F.concat(scheme(base), F.lit("://"), netloc(base))
-    b_path = _part(base, 3)
-    full_path = F.when(r_path == "", b_path).otherwise(_join_path(b_path, r_path))
+    site = F.concat(base["scheme"], F.lit("://"))
+    own = F.when(r_path == "", base["path"]).otherwise(_join_path(base["path"], r_path))
     return (
-        F.when(href.startswith("http") | (base == ""), href)
-        .when(href == "", base)
-        .when((r_scheme != "") & (F.lower(r_scheme) != scheme(base)), href)
-        .when(r_host != "", F.concat(scheme(base), F.lit("://"), r_host, r_path, suffix))
-        .otherwise(F.concat(origin, full_path, suffix))
+        F.when(href.startswith("http") | (base["url"] == ""), href)
+        .when(href == "", base["url"])
+        .when((r_scheme != "") & (F.lower(r_scheme) != base["scheme"]), href)
+        .when(netloc(href) != "", F.concat(site, netloc(href), r_path, suffix))
+        .otherwise(F.concat(site, base["netloc"], own, suffix))
     )
 
 
+def resolve(base: Column, href: Column) -> Column:
+    """Absolute form of ``href`` on a page at ``base`` (a URL with a host)."""
+    return let(split(base), lambda parts: resolve_in(parts, href))
+
+
 def prefix_host(host: str, href: Column) -> Column:
     """Boards with one fixed host put it in front of anything not absolute."""
     return F.when(href.startswith("http"), href).otherwise(F.concat(F.lit(host), href))

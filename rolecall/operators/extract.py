@@ -7,8 +7,6 @@ over small link rows, all partitioned by page.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,11 +23,14 @@ HEADINGS = ("h1", "h2", "h3", "h4")
 def location_from_text(text: Column) -> Column:
     """The location part of a separated line, or a short location-like text."""
     is_place = lambda s: s.rlike(rules.BOARD_LOCATION_TEXT) & (F.length(s) < 60)
-    found = F.when(F.lit(False), F.lit(""))
-    for sep in rules.LOCATION_SEPARATORS:
-        parts = F.transform(F.split(text, re.escape(sep)), urls.strip)
-        found = found.when(text.contains(sep), pg.empty_if_null(pg.first(F.filter(parts, is_place))))
-    return found.when(is_place(text), text).otherwise("")
+    separators = F.array(*[F.lit(s) for s in rules.LOCATION_SEPARATORS])
+
+    def located(t: Column, sep: Column) -> Column:
+        parts = F.transform(F.split(F.replace(t, sep, F.lit("\x01")), "\x01"), urls.strip)
+        part = pg.empty_if_null(pg.first(F.filter(parts, is_place)))
+        return F.when(sep.isNotNull(), part).when(is_place(t), t).otherwise("")
+
+    return let(text, lambda t: let(pg.first(F.filter(separators, t.contains)), lambda sep: located(t, sep)))
 
 
 # --- any board -------------------------------------------------------------------
@@ -66,17 +67,18 @@ def _card_title(page: pg.Page, headings: Column, card: Column, anchor: Column) -
     def usable(text: Column) -> Column:
         return let(text, lambda t: F.when(_is_title(t), t))
 
-    def of_level(found: Column, tag: str) -> Column:
-        heading = pg.first(F.filter(found, lambda h: h["tag"] == tag))
-        return let(heading, lambda h: F.when(h.isNotNull(), usable(page.text(h))))
+    def by_level(found: Column) -> Column:
+        def of_level(tag: Column) -> Column:
+            heading = pg.first(F.filter(found, lambda h: h["tag"] == tag))
+            return let(heading, lambda h: usable(page.text(h)))
+
+        levels = F.transform(F.array(*[F.lit(tag) for tag in HEADINGS]), of_level)
+        return F.when(F.size(found) > 0, pg.first(F.array_compact(levels)))
 
     piece = pg.first(
         F.filter(page.pieces(card), lambda t: (t["noise"] <= page.level) & _is_title(t["s"]) & (F.length(t["s"]) > 4))
     )
-    by_heading = let(
-        F.filter(headings, lambda h: pg.inside(h, card)),
-        lambda found: F.when(F.size(found) > 0, F.coalesce(*[of_level(found, tag) for tag in HEADINGS])),
-    )
+    by_heading = let(F.filter(headings, lambda h: pg.inside(h, card)), by_level)
     return F.coalesce(by_heading, usable(page.text(anchor, " ")), piece["s"], F.lit(""))
 
 
@@ -85,7 +87,7 @@ def board_links() -> Column:
     page = pg.board_page()
     base = F.col("url")
 
-    def job(anchor: Column, headings: Column, places: Column, lines: Column) -> Column:
+    def job(anchor: Column, headings: Column, places: Column, lines: Column, site: Column) -> Column:
         def with_card(card: Column) -> Column:
             place = pg.first(F.filter(places, lambda n: pg.inside(n, card)))
             line = pg.first(F.filter(lines, lambda n: pg.inside(n, card)))
@@ -98,7 +100,7 @@ def board_links() -> Column:
             return F.struct(
                 anchor["pre"].alias("pre"),
                 anchor["href"].alias("href"),
-                urls.canonical(urls.resolve(base, anchor["href"])).alias("job_url"),
+                urls.canonical(urls.resolve_in(site, anchor["href"])).alias("job_url"),
                 _card_title(page, headings, card, anchor).alias("title"),
                 location.alias("location"),
             )
@@ -116,17 +118,16 @@ def board_links() -> Column:
     )
     lines = F.filter(located, lambda n: n["location"] != "")
     found = let(urls.netloc(base), links)
-    # Page-wide lists are bound once and only looked at when there is a link.
-    return let(
-        found,
-        lambda anchors: F.when(
-            F.size(anchors) > 0,
-            let(
-                headings,
-                lambda h: let(places, lambda p: let(lines, lambda ln: F.transform(anchors, lambda a: job(a, h, p, ln)))),
-            ),
-        ),
-    )
+
+    def jobs(anchors: Column) -> Column:
+        """Page-wide lists are bound once, and only when there is a link at all."""
+        described = let(
+            F.struct(headings.alias("headings"), places.alias("places"), lines.alias("lines"), urls.split(base).alias("site")),
+            lambda c: F.transform(anchors, lambda a: job(a, c["headings"], c["places"], c["lines"], c["site"])),
+        )
+        return F.when(F.size(anchors) > 0, described)
+
+    return let(found, jobs)
 
 
 def universal(parsed: DataFrame, min_jobs: int = rules.MIN_BOARD_LINKS) -> DataFrame:
@@ -256,7 +257,8 @@ def matched_links() -> Column:
 
         return let(children, lambda kids: let(_link_title(page, anchor, kids), lambda title: finish(title, kids)))
 
-    anchors = page.where(lambda n: (n["tag"] == "a") & n["href"].isNotNull() & (F.size(link_rules(n["href"])) > 0))
+    any_rule = "|".join(f"(?:{p})" for p in [*(p for _, p in rules.DIRECT_LINK_PATTERNS), rules.UUID_HREF])
+    anchors = page.where(lambda n: (n["tag"] == "a") & n["href"].rlike(any_rule))
     headings = page.where(lambda n: n["tag"].rlike("^h[1-6]$"))
     spine = let(
         headings,

@@ -17,15 +17,17 @@ def _generic(careers: DataFrame) -> DataFrame:
     return careers.filter(F.col("ats") == rules.GENERIC).select("careers_url")
 
 
-def board_decisions(careers: DataFrame, snapshots: DataFrame) -> DataFrame:
+def board_decisions(careers: DataFrame, snapshots: DataFrame, linked: DataFrame | None = None) -> DataFrame:
     """Where the listings of each careers page come from.
 
     ``careers(careers_url, ats)`` distinct, ``snapshots(page_id, url, stage,
     html)`` to ``(careers_url, final_url, ats, kind, page_id)``. A known board
     is read itself. An unknown page is tried in this order: a board embedded
     in the raw page, direct links on it, the same two on the rendered page,
-    and finally the rendered page as a board of its own.
+    and finally the rendered page as a board of its own. ``linked`` is the
+    result of ``linked_listings`` when the caller already has it.
     """
+    linked = linked_listings(careers, snapshots) if linked is None else linked
     known = careers.filter(F.col("ats") != rules.GENERIC).select(
         "careers_url", _option(0, F.col("careers_url"), F.col("ats"), BOARD, F.lit(None).cast("long")).alias("option")
     )
@@ -38,9 +40,8 @@ def board_decisions(careers: DataFrame, snapshots: DataFrame) -> DataFrame:
         .filter(F.col("b").isNotNull())
         .select("url", _option(rendered + 1, F.col("b.board_url"), F.col("b.ats"), BOARD, F.lit(None).cast("long")).alias("option"))
     )
-    linked = (
-        linked_listings(careers, snapshots)
-        .filter(F.col("ord") == 1)
+    by_links = (
+        linked.filter(F.col("ord") == 1)
         .select("url", _option(rendered + 2, F.col("url"), F.col("ats"), "links", F.col("page_id")).alias("option"))
     )
     own = _generic(careers).select(
@@ -48,7 +49,7 @@ def board_decisions(careers: DataFrame, snapshots: DataFrame) -> DataFrame:
         _option(F.lit(5), F.col("careers_url"), F.lit(rules.GENERIC), RENDERED, F.lit(None).cast("long")).alias("option"),
     )
     options = known.unionByName(
-        embedded.unionByName(linked).unionByName(own).withColumnRenamed("url", "careers_url")
+        embedded.unionByName(by_links).unionByName(own).withColumnRenamed("url", "careers_url")
     )
     return options.groupBy("careers_url").agg(F.min("option").alias("o")).select(
         "careers_url", "o.final_url", "o.ats", "o.kind", "o.page_id"
@@ -81,7 +82,8 @@ def listings(careers: DataFrame, snapshots: DataFrame, mode: str = "universal")
     if mode not in ("universal", "by_ats"):
         raise ValueError(f"unknown mode {mode!r}")
     careers = careers.select("careers_url", "ats").distinct()
-    decisions = skew.materialize(board_decisions(careers, snapshots))
+    linked = skew.materialize(linked_listings(careers, snapshots))
+    decisions = skew.materialize(board_decisions(careers, snapshots, linked))
     stage = F.when(F.col("kind") == RENDERED, RENDERED).otherwise(BOARD)
     wanted = decisions.filter(F.col("kind") != "links").select(
         F.col("final_url").alias("url"), stage.alias("stage"), "ats"
@@ -100,8 +102,7 @@ def listings(careers: DataFrame, snapshots: DataFrame, mode: str = "universal")
         ["final_url", "stage"],
         ["careers_url"],
     )
-    linked = linked_listings(careers, snapshots).select("page_id", *jobs)
-    from_links = decisions.filter(F.col("kind") == "links").join(linked, "page_id")
+    from_links = decisions.filter(F.col("kind") == "links").join(linked.select("page_id", *jobs), "page_id")
     columns = ["careers_url", "ats", *jobs]
     found = from_pages.select(*columns).unionByName(from_links.select(*columns))
     out = skew.materialize(
