@@ -161,7 +161,7 @@ def board_idf(spark, sf):
           FROM jtf JOIN dfs USING (board_id, term) JOIN sizes USING (board_id) GROUP BY ALL""",
 )
 def job_vector_norms(spark, sf):
-    vectors = match.with_weights(match.job_vectors(recipes.jobs(spark, sf)))
+    vectors = match.with_norm(match.job_vectors(recipes.jobs(spark, sf)))
     return vectors.filter(F.size("terms") > 0).select(
         "board_id",
         "ord",
@@ -179,7 +179,7 @@ def job_vector_norms(spark, sf):
           SELECT board_id, ord, CAST(k AS INT) AS k, term FROM ranked WHERE k <= 30""",
 )
 def job_top_terms(spark, sf):
-    vectors = match.with_weights(match.job_vectors(recipes.jobs(spark, sf)))
+    vectors = match.with_ranked(match.job_vectors(recipes.jobs(spark, sf)))
     top = F.transform(F.slice("ranked", 1, rules.JOB_TOP_TERMS), lambda t: t["term"])
     return vectors.select("board_id", "ord", F.posexplode(top).alias("k", "term")).withColumn("k", F.col("k") + 1)
 

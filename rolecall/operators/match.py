@@ -16,7 +16,7 @@ résumé, so jobs that share no word come out of the same join with score 0.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import rules
@@ -101,12 +101,12 @@ def job_vectors(listings: DataFrame, boards: DataFrame | None = None) -> DataFra
         )
     )
     counts = postings.groupBy("board_id", "block", "term").agg(F.count(F.lit(1)).alias("_n"))
-    df = counts.groupBy("board_id", "term").agg(F.sum("_n").alias("df"))
+    over_blocks = F.sum("_n").over(Window.partitionBy("board_id", "term"))
+    per_block = counts.select("board_id", "block", "term", over_blocks.alias("df"))
     if boards is None:
-        df = df.withColumn("n_pairs", F.lit(0).cast("long"))
+        per_block = per_block.withColumn("n_pairs", F.lit(0).cast("long"))
     else:
-        df = df.join(boards.withColumn("term", F.lit(SENTINEL)), ["board_id", "term"], "left")
-    per_block = counts.drop("_n").join(df, ["board_id", "term"])
+        per_block = per_block.join(boards.withColumn("term", F.lit(SENTINEL)), ["board_id", "term"], "left")
     is_mark = F.col("term") == SENTINEL
     return (
         postings.join(per_block, ["board_id", "block", "term"])
@@ -122,19 +122,22 @@ def job_vectors(listings: DataFrame, boards: DataFrame | None = None) -> DataFra
     )
 
 
-def with_weights(vectors: DataFrame) -> DataFrame:
-    """Add ``base2``, the squared norm, and ``ranked``, terms by board-level weight."""
-    n = F.col("n_jobs")
-    weight = lambda t: t["tf"] * idf(n, t["df"])
-    weighted = vectors.select(
-        "*",
-        F.aggregate("terms", F.lit(0.0), lambda acc, t: acc + F.pow(weight(t), F.lit(2.0))).alias("base2"),
-        _ordered(F.col("terms"), weight).alias("ranked"),
-    )
-    idle = F.transform(
-        F.slice("ranked", 1, rules.JOB_TOP_TERMS), lambda t: F.struct(t["nw"], t["term"], F.lit(False).alias("in_top"))
-    )
-    return weighted.withColumn("idle_top", idle)
+def _board_weight(t: Column) -> Column:
+    return t["tf"] * idf(F.col("n_jobs"), t["df"])
+
+
+def with_norm(vectors: DataFrame) -> DataFrame:
+    """Add ``base2``, the squared norm of the job at board level."""
+    total = F.aggregate("terms", F.lit(0.0), lambda acc, t: acc + F.pow(_board_weight(t), F.lit(2.0)))
+    return vectors.withColumn("base2", total)
+
+
+def with_ranked(vectors: DataFrame) -> DataFrame:
+    """Add ``ranked``, terms by board-level weight, and ``idle_top``, the best of them."""
+    ranked = vectors.withColumn("ranked", _ordered(F.col("terms"), _board_weight))
+    best = F.slice("ranked", 1, rules.JOB_TOP_TERMS)
+    idle = F.transform(best, lambda t: F.struct(t["nw"], t["term"], F.lit(False).alias("in_top")))
+    return ranked.withColumn("idle_top", idle)
 
 
 def board_df(vectors: DataFrame) -> DataFrame:
@@ -223,8 +226,8 @@ def score_jobs(
     pairs = pairs.select("resume_id", "board_id").distinct()
     boards = pairs.groupBy("board_id").agg(F.count(F.lit(1)).alias("n_pairs"))
     jobs = skew.materialize(job_vectors(listings, boards))
-    scored = _score(jobs, resume_vectors(resumes, pairs, board_df(jobs)), keep_idle)
-    return rank_matches(scored, listings, top_k)
+    people = resume_vectors(resumes, pairs, board_df(jobs))
+    return _matches(jobs, people, listings, top_k, keep_idle)
 
 
 def score_new(resumes: DataFrame, listings: DataFrame, pairs: DataFrame, df: DataFrame) -> DataFrame:
@@ -252,91 +255,95 @@ def score_new(resumes: DataFrame, listings: DataFrame, pairs: DataFrame, df: Dat
         .filter(F.col("n_jobs").isNotNull() & F.col("n_pairs").isNotNull())
     )
     jobs = skew.materialize(jobs)
-    return rank_matches(_score(jobs, resume_vectors(resumes, pairs, df)), listings)
+    return _matches(jobs, resume_vectors(resumes, pairs, df), listings)
+
+
+def _matches(
+    jobs: DataFrame, people: DataFrame, listings: DataFrame, top_k: int | None = None, keep_idle: bool = True
+) -> DataFrame:
+    """Score, rank, cut to ``top_k``, and only then work out the keywords."""
+    ranked = rank_matches(_score(jobs, people, keep_idle), listings, top_k)
+    details = with_ranked(jobs).select(
+        "board_id", "ord", "ranked", "idle_top", _each_tile("n_pairs", TILE_RESUMES).alias("rt")
+    )
+    return _words(ranked.join(details, ["board_id", "rt", "ord"]).select("*", _corrected_top().alias("top")))
 
 
 def _score(jobs: DataFrame, people: DataFrame, keep_idle: bool = True) -> DataFrame:
-    """Join both sides tile by tile and finish each (résumé, job) pair.
+    """Join both sides tile by tile and score each (résumé, job) pair.
 
     A board of J jobs and R résumés is cut into ceil(J/4096) x ceil(R/256)
-    tiles, so neither a huge board nor a popular one lands in one task.
+    tiles, so neither a huge board nor a popular one lands in one task. The
+    tile join is a merge join on purpose: exploded sides are far bigger than
+    the table sizes a broadcast decision would be based on.
     """
     marks = F.array(F.struct(F.lit(SENTINEL).alias("term"), F.lit(0).alias("tf"), F.lit(0).cast("long").alias("df")))
-    job_tiles = jobs.withColumn("jt", _tile("ord", "n_jobs", TILE_JOBS)).withColumn(
-        "rt", _each_tile("n_pairs", TILE_RESUMES)
+    tile = ["board_id", "jt", "rt"]
+    job_terms = (
+        with_norm(jobs)
+        .withColumn("jt", _tile("ord", "n_jobs", TILE_JOBS))
+        .withColumn("rt", _each_tile("n_pairs", TILE_RESUMES))
+        .select(*tile, "ord", "senior", "base2", F.inline(F.concat(marks, "terms")).alias("term", "tf_j", "df"))
     )
-    job_terms = job_tiles.select(
-        "board_id", "jt", "rt", "ord", F.inline(F.concat(marks, "terms")).alias("term", "tf_j", "df")
-    )
-    person_terms = people.withColumn("rt", _tile("resume_id", "n_pairs", TILE_RESUMES)).withColumn(
-        "jt", _each_tile("n_jobs", TILE_JOBS)
-    ).select(
-        "board_id",
-        "jt",
-        "rt",
-        "resume_id",
-        "n_jobs",
-        "norm2",
-        "years",
-        "top",
-        F.inline(F.concat(marks, "terms")).alias("term", "tf_r", "_df"),
-    ).select(
-        "board_id", "jt", "rt", "resume_id", "n_jobs", "norm2", "years", "term", "tf_r",
-        F.array_contains("top", F.col("term")).alias("in_top"),
+    person_terms = (
+        people.withColumn("rt", _tile("resume_id", "n_pairs", TILE_RESUMES))
+        .withColumn("jt", _each_tile("n_jobs", TILE_JOBS))
+        .select(
+            *tile, "resume_id", "n_jobs", "norm2", "years", "top",
+            F.inline(F.concat(marks, "terms")).alias("term", "tf_r", "_df"),
+        )
+        .withColumn("in_top", F.array_contains("top", F.col("term")))
+        .drop("top", "_df")
     )
     if not keep_idle:
         job_terms = job_terms.filter(F.col("term") != SENTINEL)
     raised = idf(F.col("n_jobs"), F.col("df") + 1)
     plain = idf(F.col("n_jobs"), F.col("df"))
     real = F.col("term") != SENTINEL
-    shared = (
-        job_terms.hint("merge").join(person_terms, ["board_id", "jt", "rt", "term"])
+    hit = F.struct((-F.round(F.col("tf_j") * raised, WEIGHT_DIGITS)).alias("nw"), F.col("term").alias("term"), "in_top")
+    pair = ["board_id", "rt", "ord", "resume_id"]
+    summed = (
+        job_terms.hint("merge")
+        .join(person_terms, [*tile, "term"])
         .select(
-            "board_id", "rt", "ord", "resume_id", "n_jobs", "norm2", "years",
+            *pair, "n_jobs", "senior", "base2", "norm2", "years",
             F.when(real, F.col("tf_r") * F.col("tf_j") * raised * raised).otherwise(0.0).alias("dot"),
             F.when(real, F.pow("tf_j", F.lit(2.0)) * (raised * raised - plain * plain)).otherwise(0.0).alias("shift"),
-            F.when(
-                real,
-                F.struct(
-                    (-F.round(F.col("tf_j") * raised, WEIGHT_DIGITS)).alias("nw"), F.col("term").alias("term"), "in_top"
-                ),
-            ).alias("hit"),
+            F.when(real, hit).alias("hit"),
         )
-        .repartition("board_id", "rt", "ord")
-        .groupBy("board_id", "rt", "ord", "resume_id")
+        .repartition("board_id", "resume_id", "ord")
+        .groupBy(*pair)
         .agg(
-            F.max("n_jobs").alias("n_jobs"),
-            F.max("norm2").alias("norm2"),
-            F.max("years").alias("years"),
+            *[F.max(c).alias(c) for c in ("n_jobs", "senior", "base2", "norm2", "years")],
             F.sum("dot").alias("dot"),
             F.sum("shift").alias("shift"),
             F.collect_list("hit").alias("shared"),
         )
     )
-    paired = shared.join(
-        with_weights(jobs).select(
-            "board_id", "ord", "senior", "base2", "ranked", "idle_top", _each_tile("n_pairs", TILE_RESUMES).alias("rt")
-        ),
-        ["board_id", "rt", "ord"],
+    norm = F.sqrt(F.col("norm2") * (F.col("base2") + F.col("shift")))
+    scored = summed.select(*pair, "n_jobs", "senior", "years", "shared", F.when(norm > 0, F.col("dot") / norm).otherwise(0.0).alias("cosine"))
+    penalty = F.when(F.col("senior") & (F.col("years") < 3), 0.4).otherwise(1.0)
+    return scored.select(
+        *pair,
+        "n_jobs",
+        "shared",
+        F.bround("cosine", 4).alias("score"),
+        F.least(F.lit(100), F.bround(F.col("cosine") * 200 * penalty).cast("int")).alias("score_pct"),
     )
-    return _words(paired.select("resume_id", "board_id", "ord", "n_jobs", *_finish()))
 
 
-def _finish() -> list[Column]:
-    """Cosine, percentage and corrected top terms of one pair row."""
-    norm = F.sqrt(F.col("norm2") * (F.col("base2") + F.col("shift")))
-    cosine = F.when(norm > 0, F.col("dot") / norm).otherwise(0.0)
-    penalty = F.when(F.col("senior") & (F.col("years") < 3), 0.4).otherwise(1.0)
-    pct = F.least(F.lit(100), F.bround(cosine * 200 * penalty).cast("int"))
-    # A term of the corrected top can sit at most size(shared) places lower in
-    # the board-level order: shared terms only lose weight.
+def _corrected_top() -> Column:
+    """Top terms of the job once the résumé counts as a document of the board.
+
+    Shared terms only lose weight, so a term of the corrected top sits at most
+    size(shared) places lower in the board-level order.
+    """
     prefix = F.slice("ranked", 1, F.size("shared") + rules.JOB_TOP_TERMS)
     names = F.transform("shared", lambda t: t["term"])
     others = text.let(names, lambda seen: F.filter(prefix, lambda t: ~F.array_contains(seen, t["term"])))
     unshared = F.transform(others, lambda t: F.struct(t["nw"], t["term"], F.lit(False).alias("in_top")))
     corrected = F.slice(F.sort_array(F.concat("shared", unshared)), 1, rules.JOB_TOP_TERMS)
-    top = F.when(F.size("shared") == 0, F.col("idle_top")).otherwise(corrected)
-    return [cosine.alias("cosine"), pct.alias("score_pct"), top.alias("top")]
+    return F.when(F.size("shared") == 0, F.col("idle_top")).otherwise(corrected)
 
 
 def _words(row: DataFrame) -> DataFrame:
@@ -351,12 +358,12 @@ def _words(row: DataFrame) -> DataFrame:
         "resume_id",
         "board_id",
         "ord",
-        "n_jobs",
-        F.bround("cosine", 4).alias("score"),
+        "score",
         "score_pct",
         F.slice("matched", 1, 10).alias("matched_keywords"),
         F.slice("missing", 1, 10).alias("missing_keywords"),
         text.explain(F.col("score_pct"), F.col("matched"), F.col("missing")).alias("explanation"),
+        "rank",
     )
 
 
