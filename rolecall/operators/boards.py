@@ -289,22 +289,26 @@ def board_listings(ats: str) -> Column:
     return first_filled(formats)
 
 
-def by_rules(parsed: DataFrame, types: list[str] | None = None) -> DataFrame:
+def by_rules(
+    parsed: DataFrame, types: list[str] | None = None, carry: tuple[str, ...] = ()
+) -> DataFrame:
     """Listings of pages whose ``ats`` is known: one pass, one branch per type.
 
     ``parsed(page_id, url, ats, nodes, texts)`` to ``(page_id, url, ats, ord,
-    title, description, location, job_url)``. ``types`` limits the branches.
+    title, description, location, job_url)``. ``types`` limits the branches,
+    ``carry`` names page columns to keep.
     """
     found = F.when(F.lit(False), F.array().cast(f"ARRAY<{pg.LISTING}>"))
     for ats in types or list(BOARDS):
         found = found.when(F.col("ats") == ats, board_listings(ats))
     return (
-        parsed.select("page_id", "url", "ats", F.posexplode_outer(found).alias("ord", "job"))
+        parsed.select("page_id", "url", "ats", *carry, F.posexplode_outer(found).alias("ord", "job"))
         .filter(F.col("job").isNotNull())
         .select(
             "page_id",
             "url",
             "ats",
+            *carry,
             (F.col("ord") + 1).cast("long").alias("ord"),
             "job.title",
             "job.description",

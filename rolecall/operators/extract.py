@@ -130,16 +130,18 @@ def board_links() -> Column:
     return let(found, jobs)
 
 
-def universal(parsed: DataFrame, min_jobs: int = rules.MIN_BOARD_LINKS) -> DataFrame:
+def universal(
+    parsed: DataFrame, min_jobs: int = rules.MIN_BOARD_LINKS, carry: tuple[str, ...] = ()
+) -> DataFrame:
     """Listings of any job board: ``(page_id, url, ord, title, description, location, job_url)``.
 
     Links are grouped by their leading path. The biggest group of at least
     ``min_jobs`` links decides; groups with the same top-level path join it.
     Without any such group every job link counts. The first link to a job wins,
-    even when it turns out to have no title.
+    even when it turns out to have no title. ``carry`` names page columns to keep.
     """
     links = (
-        parsed.select("page_id", "url", F.inline_outer(board_links()))
+        parsed.select("page_id", "url", *carry, F.inline_outer(board_links()))
         .filter(F.col("pre").isNotNull())
         .withColumn("pattern", urls.base_pattern(F.col("href")))
         .repartition("page_id")
@@ -162,6 +164,7 @@ def universal(parsed: DataFrame, min_jobs: int = rules.MIN_BOARD_LINKS) -> DataF
     return once.select(
         "page_id",
         "url",
+        *carry,
         F.row_number().over(page.orderBy(*in_order)).cast("long").alias("ord"),
         "title",
         F.lit("").alias("description"),
@@ -275,14 +278,17 @@ def _rule_ats(rule: Column) -> Column:
     return F.element_at(F.array(*[F.lit(n) for n in names]), rule)
 
 
-def direct_links(parsed: DataFrame, min_links: int = rules.MIN_DIRECT_LINKS) -> DataFrame:
+def direct_links(
+    parsed: DataFrame, min_links: int = rules.MIN_DIRECT_LINKS, carry: tuple[str, ...] = ()
+) -> DataFrame:
     """Listings linked from a page: ``(page_id, url, ats, ord, title, description, location, job_url)``.
 
     A rule needs ``min_links`` matching links, counted before duplicates and
     untitled links are dropped; the first rule with any listing wins the page.
+    ``carry`` names page columns to keep.
     """
     links = (
-        parsed.select("page_id", "url", F.inline_outer(matched_links()))
+        parsed.select("page_id", "url", *carry, F.inline_outer(matched_links()))
         .filter(F.col("pre").isNotNull())
         .withColumn("rule", F.explode_outer("rules"))
         .repartition("page_id")
@@ -298,6 +304,7 @@ def direct_links(parsed: DataFrame, min_links: int = rules.MIN_DIRECT_LINKS) ->
     return winner.withColumn("nth", nth).filter(F.col("nth") == 1).select(
         "page_id",
         "url",
+        *carry,
         _rule_ats(F.col("rule")).alias("ats"),
         F.row_number().over(Window.partitionBy("page_id").orderBy("pre")).cast("long").alias("ord"),
         "title",

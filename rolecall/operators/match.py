@@ -227,7 +227,7 @@ def score_jobs(
     boards = pairs.groupBy("board_id").agg(F.count(F.lit(1)).alias("n_pairs"))
     jobs = skew.materialize(job_vectors(listings, boards))
     people = resume_vectors(resumes, pairs, board_df(jobs))
-    return _matches(jobs, people, listings, top_k, keep_idle)
+    return _matches(jobs, people, top_k, keep_idle)
 
 
 def score_new(resumes: DataFrame, listings: DataFrame, pairs: DataFrame, df: DataFrame) -> DataFrame:
@@ -255,14 +255,12 @@ def score_new(resumes: DataFrame, listings: DataFrame, pairs: DataFrame, df: Dat
         .filter(F.col("n_jobs").isNotNull() & F.col("n_pairs").isNotNull())
     )
     jobs = skew.materialize(jobs)
-    return _matches(jobs, resume_vectors(resumes, pairs, df), listings)
+    return _matches(jobs, resume_vectors(resumes, pairs, df))
 
 
-def _matches(
-    jobs: DataFrame, people: DataFrame, listings: DataFrame, top_k: int | None = None, keep_idle: bool = True
-) -> DataFrame:
+def _matches(jobs: DataFrame, people: DataFrame, top_k: int | None = None, keep_idle: bool = True) -> DataFrame:
     """Score, rank, cut to ``top_k``, and only then work out the keywords."""
-    ranked = rank_matches(_score(jobs, people, keep_idle), listings, top_k)
+    ranked = rank_matches(_score(jobs, people, keep_idle), jobs, top_k)
     details = with_ranked(jobs).select(
         "board_id", "ord", "ranked", "idle_top", _each_tile("n_pairs", TILE_RESUMES).alias("rt")
     )
@@ -367,17 +365,18 @@ def _words(row: DataFrame) -> DataFrame:
     )
 
 
-def rank_matches(scored: DataFrame, listings: DataFrame, top_k: int | None = None) -> DataFrame:
+def rank_matches(scored: DataFrame, jobs: DataFrame, top_k: int | None = None) -> DataFrame:
     """Rank by rounded score, then listing order, within (résumé, board).
 
-    The penalty scales the percentage only and does not move the rank. Board
-    sizes are counted first (one job over ``board_id``); boards beyond a task's
-    worth are ranked in cells from a written table, the others in one window.
+    The penalty scales the percentage only and does not move the rank. With
+    ``top_k`` the window is cut inside every task before its shuffle. Otherwise
+    the biggest board in ``jobs`` (one column of a written table) decides:
+    boards beyond a task's worth are ranked in cells from a written table.
     """
     keys = ["resume_id", "board_id"]
     if top_k is not None:
         ranked = skew.rank_in_groups(scored, keys, "score", "ord").filter(F.col("rank") <= top_k)
-    elif skew.largest_group(listings, ["board_id"]) <= skew.BLOCK_ROWS * 16:
+    elif (jobs.agg(F.max("n_jobs")).first()[0] or 0) <= skew.BLOCK_ROWS * 16:
         ranked = skew.rank_in_groups(scored, keys, "score", "ord")
     else:
         scored = skew.materialize(scored).withColumn("_hot", F.col("n_jobs") > skew.BLOCK_ROWS)

@@ -51,11 +51,6 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(target)
 
 
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Rows of the biggest group; one counting job that reads the keys only."""
-    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-
-
 def rank_in_groups(
     df: DataFrame,
     keys: list[str],

@@ -67,8 +67,7 @@ def linked_listings(careers: DataFrame, snapshots: DataFrame) -> DataFrame:
     pages = snapshots.filter(F.col("stage").isin(RAW, RENDERED)).join(
         _generic(careers).withColumnRenamed("careers_url", "url"), "url", "left_semi"
     )
-    found = extract.direct_links(dom.parse(pages))
-    return found.join(pages.select("page_id", "stage"), "page_id")
+    return extract.direct_links(dom.parse(pages, ("page_id", "url", "stage")), carry=("stage",))
 
 
 def listings(careers: DataFrame, snapshots: DataFrame, mode: str = "universal") -> tuple[DataFrame, DataFrame]:
@@ -89,12 +88,11 @@ def listings(careers: DataFrame, snapshots: DataFrame, mode: str = "universal")
         F.col("final_url").alias("url"), stage.alias("stage"), "ats"
     ).distinct()
     chosen = snapshots.join(wanted, ["url", "stage"])
-    keys = ("page_id", "url", "stage", "ats")
     if mode == "universal":
-        by_page = extract.universal(dom.parse(chosen, keys)).drop("url")
+        read = extract.universal(dom.parse(chosen, ("page_id", "url", "stage")), carry=("stage",))
     else:
-        by_page = board_rules.by_rules(dom.parse(chosen, keys)).drop("url", "ats")
-    read = by_page.join(chosen.select("page_id", "url", "stage"), "page_id").withColumnRenamed("url", "final_url")
+        read = board_rules.by_rules(dom.parse(chosen, ("page_id", "url", "stage", "ats")), carry=("stage",))
+    read = read.withColumnRenamed("url", "final_url")
     jobs = ["ord", "title", "description", "location", "job_url"]
     from_pages = skew.spread_lookup(
         decisions.filter(F.col("kind") != "links").select("careers_url", "final_url", "ats", stage.alias("stage")),

@@ -34,6 +34,8 @@ BOARD, CONTENT, WHOLE = 0, 1, 2
 # Kinds of text: plain, comment, raw (scripts and the like).
 PLAIN, COMMENT, RAW = 0, 1, 2
 
+BATCH_CHARS = 4_000_000
+
 _NODE = pa.struct(
     [(n, pa.int32()) for n in ("pre", "end", "parent", "depth")]
     + [(n, pa.string()) for n in ("tag", "id", "classes", "href")]
@@ -145,14 +147,24 @@ def tree(html: str) -> tuple[list[dict], list[dict]]:
 
 
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parse page by page, giving rows back in small batches to bound memory."""
     for batch in batches:
         at = batch.schema.get_field_index("html")
-        names = [f.name for i, f in enumerate(batch.schema) if i != at]
-        keys = [c for i, c in enumerate(batch.columns) if i != at]
-        pages = [tree(h) for h in batch.column(at).to_pylist()]
-        nodes = pa.array([p[0] for p in pages], pa.list_(_NODE))
-        texts = pa.array([p[1] for p in pages], pa.list_(_TEXT))
-        yield pa.RecordBatch.from_arrays([*keys, nodes, texts], names=[*names, "nodes", "texts"])
+        rest = batch.select([n for n in batch.schema.names if n != "html"])
+        html = batch.column(at)
+        start, size, pages = 0, 0, []
+        for row in range(batch.num_rows):
+            text = html[row].as_py()
+            pages.append(tree(text))
+            size += len(text or "")
+            if size >= BATCH_CHARS or row == batch.num_rows - 1:
+                nodes = pa.array([p[0] for p in pages], pa.list_(_NODE))
+                texts = pa.array([p[1] for p in pages], pa.list_(_TEXT))
+                keys = rest.slice(start, len(pages))
+                yield pa.RecordBatch.from_arrays(
+                    [*keys.columns, nodes, texts], names=[*keys.schema.names, "nodes", "texts"]
+                )
+                start, size, pages = row + 1, 0, []
 
 
 def parse(pages: DataFrame, keys: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -56,12 +56,18 @@ def write_matches(matches: DataFrame, path: str, mode: str = "overwrite", by_boa
 
 
 def widen(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Spread a table that arrives in fewer splits than there are cores.
+    """Spread a table too small to fill the cores with input splits.
 
-    Large tables come in many splits and pass through untouched. A small file
-    would otherwise keep row-local work (tokenizing, parsing) on one core.
+    Row-local work (tokenizing, parsing) on a small file would otherwise stay on
+    one core. The optimizer's size estimate decides, so nothing is executed and
+    only data that is cheap to move is moved; large tables pass untouched.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        spark.conf.get("spark.sql.files.maxPartitionBytes")
+    )
+    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if df.isStreaming or estimate >= cores * split:
         return df
     return df.repartition(cores, *keys)

@@ -8,14 +8,13 @@ from pyspark.sql import functions as F
 from rolecall.operators import match, skew
 
 RESUME = """
-Software engineer with 5 years experience in Python, FastAPI, PostgreSQL, Docker,
-Kubernetes, machine learning, scikit-learn, data pipelines, REST APIs, and cloud (AWS).
-Led backend teams, shipped production ML models, strong communication skills.
+Built event pipelines with Scala, Flink, Cassandra and Helm for a ticketing site.
+Ran Flink jobs on bare metal, tuned Cassandra, wrote Ansible and Bash.
 """
 JOBS = [
-    ("Senior Python Backend Engineer", "We need Python, FastAPI, Docker, Kubernetes, REST APIs, PostgreSQL."),
-    ("iOS Mobile Developer", "Swift, Xcode, UIKit, CoreData, Objective-C, App Store deployment."),
-    ("Data Scientist", "Python, scikit-learn, pandas, machine learning, data pipelines, AWS."),
+    ("Senior Stream Engineer", "Flink, Scala, Cassandra and Helm in production; Ansible is a plus."),
+    ("Game Artist", "Blender, Substance, ZBrush; sculpting, lighting, rigging."),
+    ("Warehouse Modeller", "Cassandra, dbt, Snowflake and Bash scripting for pipelines."),
 ]
 
 
