@@ -145,7 +145,7 @@ def doc_freqs(spark, sf):
     + " SELECT board_id, term, round(ln((2.0::DOUBLE + n_jobs) / (1.0::DOUBLE + df)) + 1, 6) AS idf FROM dfs JOIN sizes USING (board_id)",
 )
 def board_idf(spark, sf):
-    df = match.board_df(match.job_vectors(recipes.jobs(spark, sf)))
+    df = match.board_df(skew.materialize(match.job_vectors(recipes.jobs(spark, sf))))
     sizes = df.filter(F.col("term") == match.SENTINEL).select("board_id", F.col("df").alias("n_jobs"))
     terms = df.filter(F.col("term") != match.SENTINEL)
     return skew.spread_lookup(terms, sizes, ["board_id"], ["term"]).select(
@@ -193,18 +193,15 @@ def resume_years(spark, sf):
 
 @query(
     "seniority_multiplier",
-    _with(recipes.JOBS_SQL, recipes.RESUMES_SQL, YEARS)
-    + r""" SELECT p.resume_id, j.board_id, j.ord,
-           CASE WHEN regexp_matches(j.title, '(?i)\b(senior|sr\.?|staff|principal|lead|director|vp|vice\s+president)\b')
-                 AND y.years < 3 THEN 0.4::DOUBLE ELSE 1.0::DOUBLE END AS multiplier
-           FROM pairs p JOIN jobs j USING (board_id) JOIN years y USING (resume_id)""",
+    _with(recipes.JOBS_SQL)
+    + r""" SELECT board_id, ord,
+           CASE WHEN regexp_matches(title, '(?i)\b(senior|sr\.?|staff|principal|lead|director|vp|vice\s+president)\b')
+                 AND ord % 7 < 3 THEN 0.4::DOUBLE ELSE 1.0::DOUBLE END AS multiplier FROM jobs""",
 )
 def seniority_multiplier(spark, sf):
-    years = resume_years(spark, sf)
-    people = recipes.pairs(spark, sf).join(years, "resume_id")
-    titles = recipes.jobs(spark, sf).select("board_id", "ord", "title")
-    return people.join(titles, "board_id").select(
-        "resume_id", "board_id", "ord", text.seniority_multiplier(F.col("title"), F.col("years")).alias("multiplier")
+    """Every title against a candidate with ``ord % 7`` years."""
+    return recipes.jobs(spark, sf).select(
+        "board_id", "ord", text.seniority_multiplier(F.col("title"), F.col("ord") % 7).alias("multiplier")
     )
 
 

@@ -220,8 +220,9 @@ def score_jobs(
     term gives score 0 everywhere. The job vectors are written once to the shared
     folder and read by every later step.
 
-    ``top_k`` keeps the best k per pair; ``keep_idle=False`` leaves out jobs
-    that share no term with the résumé, before they are ever built.
+    ``top_k`` keeps the best k per pair and builds only jobs that share a term
+    with the résumé, plus the few that can fill up a short list.
+    ``keep_idle=False`` leaves out jobs that share no term altogether.
     """
     pairs = pairs.select("resume_id", "board_id").distinct()
     boards = pairs.groupBy("board_id").agg(F.count(F.lit(1)).alias("n_pairs"))
@@ -260,14 +261,17 @@ def score_new(resumes: DataFrame, listings: DataFrame, pairs: DataFrame, df: Dat
 
 def _matches(jobs: DataFrame, people: DataFrame, top_k: int | None = None, keep_idle: bool = True) -> DataFrame:
     """Score, rank, cut to ``top_k``, and only then work out the keywords."""
-    ranked = rank_matches(_score(jobs, people, keep_idle), jobs, top_k)
+    # Fewer than k jobs score above zero when a zero makes the list, and zeros are
+    # taken in listing order: the first 2k jobs of the board hold all of them.
+    idle = 0 if not keep_idle else None if top_k is None else 2 * top_k
+    ranked = rank_matches(_score(jobs, people, idle), jobs, top_k)
     details = with_ranked(jobs).select(
         "board_id", "ord", "ranked", "idle_top", _each_tile("n_pairs", TILE_RESUMES).alias("rt")
     )
     return _words(ranked.join(details, ["board_id", "rt", "ord"]).select("*", _corrected_top().alias("top")))
 
 
-def _score(jobs: DataFrame, people: DataFrame, keep_idle: bool = True) -> DataFrame:
+def _score(jobs: DataFrame, people: DataFrame, idle: int | None = None) -> DataFrame:
     """Join both sides tile by tile and score each (résumé, job) pair.
 
     A board of J jobs and R résumés is cut into ceil(J/4096) x ceil(R/256)
@@ -277,12 +281,21 @@ def _score(jobs: DataFrame, people: DataFrame, keep_idle: bool = True) -> DataFr
     """
     marks = F.array(F.struct(F.lit(SENTINEL).alias("term"), F.lit(0).alias("tf"), F.lit(0).cast("long").alias("df")))
     tile = ["board_id", "jt", "rt"]
-    job_terms = (
-        with_norm(jobs)
-        .withColumn("jt", _tile("ord", "n_jobs", TILE_JOBS))
-        .withColumn("rt", _each_tile("n_pairs", TILE_RESUMES))
-        .select(*tile, "ord", "senior", "base2", F.inline(F.concat(marks, "terms")).alias("term", "tf_j", "df"))
-    )
+
+    def tiled(rows: DataFrame, terms: Column) -> DataFrame:
+        cut = rows.withColumn("jt", _tile("ord", "n_jobs", TILE_JOBS)).withColumn("rt", _each_tile("n_pairs", TILE_RESUMES))
+        return cut.select(*tile, "ord", "senior", "base2", F.inline(terms).alias("term", "tf_j", "df"))
+
+    weighed = with_norm(jobs)
+    if idle is None:
+        job_terms = tiled(weighed, F.concat(marks, "terms"))
+    else:
+        job_terms = tiled(weighed, F.col("terms"))
+        if idle:
+            place = F.row_number().over(Window.partitionBy("board_id").orderBy("ord"))
+            head = jobs.select("board_id", "ord", place.alias("_place")).filter(F.col("_place") <= idle)
+            filling = weighed.join(head.drop("_place"), ["board_id", "ord"], "left_semi")
+            job_terms = job_terms.unionByName(tiled(filling, marks))
     person_terms = (
         people.withColumn("rt", _tile("resume_id", "n_pairs", TILE_RESUMES))
         .withColumn("jt", _each_tile("n_jobs", TILE_JOBS))
@@ -293,8 +306,6 @@ def _score(jobs: DataFrame, people: DataFrame, keep_idle: bool = True) -> DataFr
         .withColumn("in_top", F.array_contains("top", F.col("term")))
         .drop("top", "_df")
     )
-    if not keep_idle:
-        job_terms = job_terms.filter(F.col("term") != SENTINEL)
     raised = idf(F.col("n_jobs"), F.col("df") + 1)
     plain = idf(F.col("n_jobs"), F.col("df"))
     real = F.col("term") != SENTINEL

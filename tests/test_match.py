@@ -106,6 +106,17 @@ def test_top_k_and_idle(spark):
     assert {r.ord for r in busy} == {0, 2}
 
 
+def test_top_k_equals_the_cut_of_the_full_ranking(spark, small_tiles):
+    rnd = random.Random(3)
+    vocabulary = [f"term{chr(97 + i)}" for i in range(26)]
+    listed = [("", " ".join(rnd.sample(vocabulary, rnd.randint(0, 2)))) for _ in range(30)]
+    resumes, jobs = tables(spark, {i: " ".join(rnd.sample(vocabulary, 2)) for i in range(4)}, {"b": listed})
+    pairs = pairs_of(spark, [(i, "b") for i in range(4)])
+    full = match.score_jobs(resumes, jobs, pairs).filter("rank <= 9").collect()
+    assert sum(r.score == 0 for r in full) > 5
+    assert sorted(full) == sorted(match.score_jobs(resumes, jobs, pairs, top_k=9).collect())
+
+
 def test_no_usable_term_scores_zero(spark):
     resumes, jobs = tables(spark, {1: "the and of"}, {"b": [("the", ""), ("role", "team")]})
     rows = match.score_jobs(resumes, jobs, pairs_of(spark, [(1, "b")])).collect()
