@@ -54,13 +54,10 @@ def attach_details(listings: DataFrame, details: DataFrame) -> DataFrame:
     Only listings that need one take part in the join; the others pass by it.
     """
     need = needs_description(F.col("description"))
-    asked = F.when(need, F.col("url"))
-    joined = skew.spread_lookup(
-        listings.withColumn("_asked", asked), details.withColumnRenamed("url", "_asked"), ["_asked"],
-        ["board_id", "ord"], "left",
-    )
+    asked = skew.spread_lookup(listings.filter(need), details, ["url"], ["board_id", "ord"], "left")
     filled = F.when(F.coalesce(F.col("detail"), F.lit("")) != "", F.col("detail")).otherwise(F.col("description"))
-    return joined.withColumn("description", filled).drop("_asked", "detail")
+    answered = asked.withColumn("description", filled).select(*listings.columns)
+    return answered.unionByName(listings.filter(~need))
 
 
 def descriptions(listings: DataFrame, details: DataFrame) -> DataFrame:

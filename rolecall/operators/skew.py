@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,31 +17,36 @@ def spread_lookup(
     keys: list[str],
     spread: list[str],
     how: str = "inner",
-    buckets: int = 64,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Join ``left`` to ``right``, which is unique on ``keys``, without hot tasks.
 
     Left rows of one key are spread over ``buckets`` by a hash of ``spread``.
     The right side is copied only to the (key, bucket) pairs that occur: the
     distinct step is combined before its shuffle, so a hot key shrinks to at
-    most ``buckets`` rows there.
+    most ``buckets`` rows there. By default a key can fill every shuffle partition.
     """
+    if buckets is None:
+        buckets = max(64, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     left = left.withColumn("_bucket", F.pmod(F.xxhash64(*spread), F.lit(buckets)).cast("int"))
     targets = left.select(*keys, "_bucket").distinct().join(right, keys)
     return left.join(targets, [*keys, "_bucket"], how).drop("_bucket")
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """Folder for written intermediate tables: the cluster's checkpoint folder."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
-
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="rolecall-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder.rstrip("/")
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    if context.applicationId not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="rolecall-")
+    return _LOCAL_FOLDERS[context.applicationId]
 
 
 def materialize(df: DataFrame) -> DataFrame:

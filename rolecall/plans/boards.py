@@ -141,7 +141,7 @@ def scrape(
     careers = skew.materialize(discover.careers_urls(requests, probes, homepages))
     typed = discover.crawl_plan(careers).select("careers_url", "ats")
     found, empty = listings(typed, snapshots, mode)
-    failed = careers.join(empty, "careers_url").select("request_id", "stage", "message")
+    failed = skew.spread_lookup(careers, empty, ["careers_url"], ["request_id"]).select("request_id", "stage", "message")
     return careers, found, discover.invalid_requests(requests).unionByName(failed)
 
 
