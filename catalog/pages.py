@@ -24,6 +24,12 @@ def page_source(spark, sf):
     return tables.read_pages(spark, f"{sf}/pages.parquet").select("page_id", "url", F.length("html").alias("n_chars"))
 
 
+# The page's own heading, entities decoded.
+HEADING_SQL = "regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')"
+for _entity, _char in (("quot", '"'), ("lt", "<"), ("gt", ">"), ("#x27", "''"), ("#39", "''"), ("amp", "&")):
+    HEADING_SQL = f"regexp_replace({HEADING_SQL}, '&{_entity};?', '{_char}', 'g')"
+
+
 def _tag_count(tag: str) -> str:
     return f"CAST(len(regexp_extract_all(html, '<{tag}[ >]')) AS BIGINT)"
 
@@ -61,7 +67,7 @@ def noise_free_anchors(spark, sf):
 
 @query(
     "heading_text",
-    "SELECT page_id, trim(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1, 's'), '&amp;', '&')) AS heading FROM pages",
+    f"SELECT page_id, trim({HEADING_SQL}) AS heading FROM pages",
 )
 def heading_text(spark, sf):
     parsed = dom.parse(table(spark, sf, "pages"))
@@ -262,7 +268,7 @@ def _board_query(name, page_url, card, empty, url_sql):
     )
     where = ""
     if name == "workday":  # without cards the menu items of the page are not listings, but its heading is
-        details = f""" UNION ALL SELECT page_id, CAST(1 AS BIGINT), trim(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1, 's'), '&amp;', '&')),
+        details = f""" UNION ALL SELECT page_id, CAST(1 AS BIGINT), trim({HEADING_SQL}),
              '', '', '{page_url}' FROM bare WHERE n = 0"""
 
     @query(

@@ -120,3 +120,24 @@ def test_streams_survive_a_restart(spark, tmp_path):
     assert run() == 2
     crawl(2, 5, "append")
     assert run() == 2
+
+
+def test_boards_by_type_and_match_sink(spark, tmp_path):
+    careers = spark.createDataFrame([("https://jobs.lever.co/acme", "lever")], "careers_url STRING, ats STRING")
+    html = '<div class="posting"><a class="posting-title" href="/acme/1"><h5>Potter</h5></a><i class="location">Delft</i></div>'
+    shots = spark.createDataFrame(
+        [(1, "https://jobs.lever.co/acme", "board", html)], "page_id LONG, url STRING, stage STRING, html STRING"
+    )
+    found, errors = plan.listings(careers, shots, mode="by_ats")
+    assert [(r.ats, r.title, r.location, r.url) for r in found.collect()] == [("lever", "Potter", "Delft", "/acme/1")]
+    assert errors.count() == 0
+    people = spark.createDataFrame([(1, 9, "potter clay wheel")], "request_id LONG, resume_id LONG, resume_text STRING")
+    asked = spark.createDataFrame([(1, "https://jobs.lever.co/acme")], "request_id LONG, careers_url STRING")
+    page = "<main>" + "Throwing clay on a wheel, glazing and firing. " * 5 + "</main>"
+    details = spark.createDataFrame([(1, "/acme/1", page)], "page_id LONG, url STRING, html STRING")
+    matches = plan.match_requests(asked, found, details, people)
+    tables.write_matches(matches, str(tmp_path / "m"))
+    tables.write_matches(matches, str(tmp_path / "b"), by_board=True)
+    row = spark.read.parquet(str(tmp_path / "m")).first()
+    assert row.rank == 1 and {"clay", "wheel"} <= set(row.matched_keywords)
+    assert spark.read.parquet(str(tmp_path / "b")).count() == 1
