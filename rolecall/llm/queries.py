@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolecall.llm import bpe
+from rolecall.llm import bpe, licenses, secrets
 
 #: Vocabulary of operator 1; a path on the driver, its content is sent to executors.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -27,6 +27,27 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_bpe": op1_bpe}
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases, tags and labels of every document."""
+    found = licenses.scan(documents(spark, sf_dir, "doc_id", "text"), keep=["doc_id"])
+    return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    found = secrets.scan(documents(spark, sf_dir, "doc_id", "text"), keep=["doc_id"])
+    return found.select(
+        "doc_id",
+        *(F.size(kind).cast("long").alias(f"n_{kind}") for kind in secrets.KINDS),
+        F.sha2(secrets.listed(*secrets.KINDS), 256).alias("base_sha256"),
+        secrets.listed(*secrets.KINDS, "random").alias("spans"),
+    )
+
+
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op2_licenses": op2_licenses,
+    "op3_secrets": op3_secrets,
+}
 
 ORACLES: dict[str, str] = {}
