@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolecall.llm import bpe, licenses, secrets
+from rolecall.llm import bpe, decontaminate, langid, licenses, secrets
 
 #: Vocabulary of operator 1; a path on the driver, its content is sent to executors.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -44,10 +44,36 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate.matches(documents(spark, sf_dir, "doc_id", "text"), benchmark)
+    items = F.array_sort(F.transform("items", lambda i: i.cast("string")))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+        "contaminated",
+        F.size("near_items").cast("long").alias("n_near_items"),
+    )
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, by models of the documents that are not held out."""
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
+    model = langid.fit(docs)
+    found = langid.predict(docs, model, keep=["doc_id"])
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_licenses": op2_licenses,
     "op3_secrets": op3_secrets,
+    "op6_decontaminate": op6_decontaminate,
+    "op10_langid": op10_langid,
 }
 
 ORACLES: dict[str, str] = {}
