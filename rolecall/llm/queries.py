@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolecall.llm import bpe, decontaminate, langid, licenses, secrets
+from rolecall.llm import bpe, decontaminate, langid, licenses, linededup, secrets, simhash
 
 #: Vocabulary of operator 1; a path on the driver, its content is sent to executors.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -44,6 +44,13 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that every document loses, and what is left of it."""
+    found = linededup.clean(documents(spark, sf_dir, "doc_id", "text"))
+    kept = F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256")
+    return found.select("doc_id", "n_lines", "n_repeated", "n_near", kept)
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in every document."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -60,6 +67,12 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    found = simhash.classes(documents(spark, sf_dir, "doc_id", "text"))
+    return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, by models of the documents that are not held out."""
     docs = documents(spark, sf_dir, "doc_id", "text", "lang")
@@ -72,7 +85,9 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_licenses": op2_licenses,
     "op3_secrets": op3_secrets,
+    "op4_linededup": op4_linededup,
     "op6_decontaminate": op6_decontaminate,
+    "op8_simhash": op8_simhash,
     "op10_langid": op10_langid,
 }
 
