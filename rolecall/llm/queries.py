@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolecall.llm import bpe, decontaminate, langid, licenses, linededup, secrets, simhash
+from rolecall.llm import bpe, decontaminate, exactdedup, langid, licenses, linededup, secrets, simhash
 
 #: Vocabulary of operator 1; a path on the driver, its content is sent to executors.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -51,6 +51,27 @@ def op4_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_repeated", "n_near", kept)
 
 
+def op5_exactdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of equal texts of every document."""
+    found = exactdedup.classes(documents(spark, sf_dir, "doc_id", "text"))
+    return found.withColumn("digest", F.lower(F.hex("digest"))).withColumnRenamed("digest", "text_sha256")
+
+
+OP5_SQL = r"""
+WITH d AS (
+  SELECT doc_id, length(coalesce(text, '')) AS chars,
+         sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
+  FROM documents)
+SELECT doc_id,
+       first_value(doc_id) OVER w AS keep_id,
+       count(*) OVER (PARTITION BY text_sha256) AS group_size,
+       first_value(doc_id) OVER w = doc_id AS kept,
+       text_sha256
+FROM d
+WINDOW w AS (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id)
+"""
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in every document."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -81,14 +102,23 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline over all documents."""
+    import corpus_pipeline  # it imports this module
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_licenses": op2_licenses,
     "op3_secrets": op3_secrets,
     "op4_linededup": op4_linededup,
+    "op5_exactdedup": op5_exactdedup,
     "op6_decontaminate": op6_decontaminate,
     "op8_simhash": op8_simhash,
     "op10_langid": op10_langid,
+    "pipeline": pipeline,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_exactdedup": OP5_SQL}
