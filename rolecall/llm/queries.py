@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolecall.llm import bpe, decontaminate, exactdedup, langid, licenses, linededup, secrets, simhash
+from rolecall.llm import bpe, decontaminate, exactdedup, langid, licenses, linededup, pii, secrets, simhash
 
 #: Vocabulary of operator 1; a path on the driver, its content is sent to executors.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -94,6 +94,21 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    found = pii.scan(documents(spark, sf_dir, "doc_id", "text"), keep=["doc_id"])
+
+    def count(i: int):
+        return F.size(F.filter("base", lambda x: x["kind"] == i)).cast("long")
+
+    return found.select(
+        "doc_id",
+        *(count(i).alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS)),
+        F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"),
+        pii.listed(F.concat("base", "added")).alias("spans"),
+    )
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, by models of the documents that are not held out."""
     docs = documents(spark, sf_dir, "doc_id", "text", "lang")
@@ -117,6 +132,7 @@ QUERIES = {
     "op5_exactdedup": op5_exactdedup,
     "op6_decontaminate": op6_decontaminate,
     "op8_simhash": op8_simhash,
+    "op9_pii": op9_pii,
     "op10_langid": op10_langid,
     "pipeline": pipeline,
 }
