@@ -6,7 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolecall.llm import bpe, decontaminate, exactdedup, langid, licenses, linededup, pii, secrets, simhash
+from rolecall.llm import (
+    bpe,
+    chat,
+    decontaminate,
+    exactdedup,
+    langid,
+    licenses,
+    linededup,
+    pii,
+    planted_chat,
+    secrets,
+    simhash,
+)
 
 #: Vocabulary of operator 1; a path on the driver, its content is sent to executors.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -88,6 +100,24 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation with tool calls derived from its turns, linked, ordered, checked and serialised."""
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    found = chat.formatted(planted_chat.messages(conversations), planted_chat.tools(spark))
+    calls = F.coalesce("calls", F.array().cast(found.schema["calls"].dataType))
+    return found.select(
+        "conv_id",
+        "turn",
+        "role",
+        F.array_join(F.transform("place", lambda x: x.cast("string")), ":").alias("place"),
+        F.coalesce("status", F.lit("")).alias("status"),
+        F.size(calls).alias("n_calls"),
+        F.size(F.filter(calls, lambda c: c["result_turn"].isNotNull())).alias("n_answered"),
+        F.array_join(F.flatten(F.transform(calls, lambda c: c["errors"])), ",").alias("errors"),
+        "json",
+    )
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     found = simhash.classes(documents(spark, sf_dir, "doc_id", "text"))
@@ -131,10 +161,11 @@ QUERIES = {
     "op4_linededup": op4_linededup,
     "op5_exactdedup": op5_exactdedup,
     "op6_decontaminate": op6_decontaminate,
+    "op7_chat": op7_chat,
     "op8_simhash": op8_simhash,
     "op9_pii": op9_pii,
     "op10_langid": op10_langid,
     "pipeline": pipeline,
 }
 
-ORACLES: dict[str, str] = {"op5_exactdedup": OP5_SQL}
+ORACLES: dict[str, str] = {"op5_exactdedup": OP5_SQL, "op7_chat": planted_chat.SQL}
