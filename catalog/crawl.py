@@ -174,7 +174,7 @@ def choose_snapshot(spark, sf):
       SELECT b.board_id, min(i) AS gap FROM (SELECT DISTINCT board_id FROM board_pages) b, range(1, 132) t(i)
       WHERE NOT EXISTS (SELECT 1 FROM board_pages p WHERE p.board_id = b.board_id AND p.page = i) GROUP BY b.board_id)
     SELECT board_id, page FROM board_pages JOIN marks USING (board_id) JOIN gaps USING (board_id)
-    WHERE page <= 100 AND page < bad AND page < gap AND page <= last""",
+    WHERE page < bad AND page < gap AND page <= last""",
 )
 def page_prefix(spark, sf):
     o = table(spark, sf, "orders")
@@ -198,7 +198,7 @@ def page_prefix(spark, sf):
       SELECT url, round, tiles, tiles = 0 AS stopped FROM rounds WHERE round = 1
       UNION ALL
       SELECT r.url, r.round, r.tiles, r.tiles = w.tiles FROM walk w JOIN rounds r ON r.url = w.url AND r.round = w.round + 1
-      WHERE NOT w.stopped AND r.round <= 30)
+      WHERE NOT w.stopped)
     SELECT url, max(round) AS stop_round, max_by(tiles, round) AS tiles FROM walk GROUP BY url""",
 )
 def scroll_stop(spark, sf):

@@ -101,8 +101,8 @@ listed AS (
     ON w.resume_id = s.resume_id AND w.board_id = s.board_id AND w.ord = s.ord)"""
 EXPLAINED = """CASE WHEN score_pct >= 75 THEN 'Strong' WHEN score_pct >= 50 THEN 'Moderate' ELSE 'Weak' END
     || ' match (' || CAST(score_pct AS VARCHAR) || '%).'
-    || CASE WHEN len(matched) > 0 THEN ' Shared skills: ' || array_to_string(matched[1:8], ', ') || '.' ELSE '' END
-    || CASE WHEN len(missing) > 0 THEN ' Gap areas: ' || array_to_string(missing[1:5], ', ') || '.' ELSE '' END"""
+    || CASE WHEN len(matched) > 0 THEN ' Shared skills: ' || array_to_string(matched, ', ') || '.' ELSE '' END
+    || CASE WHEN len(missing) > 0 THEN ' Gap areas: ' || array_to_string(missing, ', ') || '.' ELSE '' END"""
 
 
 def _with(*ctes: str) -> str:
@@ -219,8 +219,8 @@ def resume_job_cosine(spark, sf):
 @query(
     "match_keywords",
     MATCH
-    + """ SELECT resume_id, board_id, ord, array_to_string(matched[1:10], ' ') AS matched_keywords,
-          array_to_string(missing[1:10], ' ') AS missing_keywords FROM listed""",
+    + """ SELECT resume_id, board_id, ord, array_to_string(matched, ' ') AS matched_keywords,
+          array_to_string(missing, ' ') AS missing_keywords FROM listed""",
 )
 def match_keywords(spark, sf):
     return _matches(spark, sf).select(
@@ -238,7 +238,7 @@ def match_explanation(spark, sf):
 
 
 RANKED = f""" SELECT resume_id, board_id, ord, score, score_pct,
-    array_to_string(matched[1:10], ' ') AS matched_keywords, array_to_string(missing[1:10], ' ') AS missing_keywords,
+    array_to_string(matched, ' ') AS matched_keywords, array_to_string(missing, ' ') AS missing_keywords,
     {EXPLAINED} AS explanation,
     CAST(row_number() OVER (PARTITION BY resume_id, board_id ORDER BY score DESC, ord) AS INT) AS rank FROM listed"""
 

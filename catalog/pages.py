@@ -329,7 +329,7 @@ def generic_cards(spark, sf):
 
 @query(
     "description_text",
-    """SELECT page_id, left(rtrim(repeat('skill' || page_id || ' ', CAST(30 + page_id % 900 AS INT))), 4000) AS description FROM pages""",
+    """SELECT page_id, rtrim(repeat('skill' || page_id || ' ', CAST(30 + page_id % 900 AS INT))) AS description FROM pages""",
 )
 def description_text(spark, sf):
     """Type-specific selector, fallback past a notice, and the generic list."""

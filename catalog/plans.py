@@ -109,7 +109,7 @@ def empty_board_errors(spark, sf):
 SKILLS = "python docker kubernetes airflow kafka spark terraform grafana golang rust postgres redis"
 DETAIL_WORDS = "'" + SKILLS + " ' || repeat('skill' || ord || ' area' || (length(title) % 7) || ' ', 15)"
 END_SQL = f"""{SITES_SQL},
-jobs AS (SELECT board_id, ord, title, left(rtrim({DETAIL_WORDS}), 4000) AS description, location, url FROM found),
+jobs AS (SELECT board_id, ord, title, rtrim({DETAIL_WORDS}) AS description, location, url FROM found),
 said AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS t FROM conversations WHERE role = 'user' GROUP BY conv_id),
 resumes AS (SELECT p.page_id AS resume_id, coalesce(s.t, '') || chr(10) || 'python kafka skill' || (p.page_id % 5 + 1) || ' area3'
     || chr(10) || '2019 - 2021' AS resume_text FROM pages p LEFT JOIN said s ON s.conv_id = p.page_id),

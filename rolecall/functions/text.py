@@ -68,15 +68,17 @@ def seniority_multiplier(title: Column, years: Column) -> Column:
     return F.when(is_senior_title(title) & (years < 3), 0.4).otherwise(1.0)
 
 
-def explain(score_pct: Column, matched: Column, missing: Column) -> Column:
-    """One sentence each for the grade, the shared skills and the gaps."""
+def explain(
+    score_pct: Column, matched: Column, missing: Column, shared: int | None = None, gaps: int | None = None
+) -> Column:
+    """One sentence each for the grade, the shared skills and the gaps; display limits cut the lists."""
     pct = F.concat(F.lit(" match ("), score_pct.cast("string"), F.lit("%)."))
     grade = F.when(score_pct >= 75, "Strong").when(score_pct >= 50, "Moderate").otherwise("Weak")
 
-    def listing(label: str, words: Column, n: int) -> Column:
-        listed = F.array_join(F.slice(words, 1, n), ", ")
+    def listing(label: str, words: Column, n: int | None) -> Column:
+        listed = F.array_join(F.slice(words, 1, n) if n else words, ", ")
         return F.when(F.size(words) > 0, F.concat(F.lit(label + ": "), listed, F.lit(".")))
 
     return F.concat_ws(
-        " ", F.concat(grade, pct), listing("Shared skills", matched, 8), listing("Gap areas", missing, 5)
+        " ", F.concat(grade, pct), listing("Shared skills", matched, shared), listing("Gap areas", missing, gaps)
     )

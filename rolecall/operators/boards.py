@@ -16,31 +16,26 @@ from ..functions import urls
 from ..functions.page import Page, empty_if_null, first, let, listing
 from ..sources.dom import CONTENT, WHOLE
 
-DETAIL_CHARS, WHOLE_PAGE_CHARS = 3000, 2000
-
 # Selectors of a page that shows one job.
-# ats: title, description, location, text limit
+# ats: title, description, location
 DETAIL_PAGES = {
-    "greenhouse": ("#header h1.app-title, #app_body h1", "#content div#app_body, #content .section", ".location", None),
-    "lever": ("div.posting-headline h2", "div.content", "div.posting-categories .location", None),
+    "greenhouse": ("#header h1.app-title, #app_body h1", "#content div#app_body, #content .section", ".location"),
+    "lever": ("div.posting-headline h2", "div.content", "div.posting-categories .location"),
     "ashby": (
         "h1",
         "div[class*='posting'], main, article",
         ".ashby-job-posting-brief-details, span[class*='location']",
-        DETAIL_CHARS,
     ),
     "workday": (
         "h1[data-automation-id='jobPostingHeader'], h1",
         "div[data-automation-id='jobPostingDescription'], div[class*='job-description'], main",
         "span[data-automation-id='location'], dd[data-automation-id='locations']",
-        DETAIL_CHARS,
     ),
-    "avature": ("h1.title, h1", ".article__body, main, article", ".list-item-location, .job-location", DETAIL_CHARS),
+    "avature": ("h1.title, h1", ".article__body, main, article", ".list-item-location, .job-location"),
     "oracle_hcm": (
         "h1[class*='job-title'], h1",
         "[class*='job-description'], main",
         "[aria-label='Locations'], [class*='location']",
-        DETAIL_CHARS,
     ),
 }
 # Card containers of unknown boards, in order of trust.
@@ -55,6 +50,7 @@ GENERIC_CARDS = [
     "div[class*='opening']",
     "div[class*='posting']",
 ]
+# Selectors inside the cards of the board types below, and their hosts.
 GREENHOUSE_NEW, GREENHOUSE_OLD = "https://job-boards.greenhouse.io", "https://boards.greenhouse.io"
 IBM_HOST = "https://careers.ibm.com"
 
@@ -112,8 +108,14 @@ def _lever(page: Page, base: Column) -> list[Column]:
 
 
 def _around(page: Page, node: Column, test) -> Column:
-    """Nearest ancestor that passes ``test``."""
-    return F.try_element_at(F.filter(page.nodes, lambda n: test(n) & pg.inside(node, n)), F.lit(-1))
+    """Nearest ancestor that passes ``test``: parent numbers are followed, a node's depth is the work."""
+    up = lambda n: F.get(page.nodes, n["parent"])
+    climbed = F.aggregate(
+        F.sequence(F.lit(1), F.greatest(node["depth"], F.lit(1))),
+        up(node),
+        lambda n, _: F.when(n.isNull() | test(n), n).otherwise(up(n)),
+    )
+    return let(climbed, lambda n: F.when(n.isNotNull() & test(n), n))
 
 
 def _ashby(page: Page, base: Column) -> list[Column]:
@@ -243,20 +245,19 @@ def _whole_page(page: Page, base: Column) -> Column:
         let(title, lambda n: F.when(n.isNotNull(), page.text(n, " ")).otherwise("Unknown Position")),
         F.lit(""),
         base,
-        F.substring(empty_if_null(text), 1, WHOLE_PAGE_CHARS),
+        empty_if_null(text),
     )
 
 
 def _detail_page(ats: str, page: Page, base: Column) -> Column:
-    title, description, location, limit = DETAIL_PAGES[ats]
+    title, description, location = DETAIL_PAGES[ats]
     text = page.text_of(description, sep=" ")
     place = page.text_of(location)
     if ats == "ashby":
         place = let(place, middle_segment)
-    shown = F.substring(text, 1, limit) if limit else text
     job = let(
         page.select_one(title),
-        lambda t: F.when(t.isNotNull(), listing(page.text(t), place, base, shown)),
+        lambda t: F.when(t.isNotNull(), listing(page.text(t), place, base, text)),
     )
     return F.array_compact(F.array(job))
 
@@ -290,13 +291,14 @@ def board_listings(ats: str) -> Column:
 
 
 def by_rules(
-    parsed: DataFrame, types: list[str] | None = None, carry: tuple[str, ...] = ()
+    parsed: DataFrame, types: list[str] | None = None, carry: tuple[str, ...] = (), max_chars: int | None = None
 ) -> DataFrame:
     """Listings of pages whose ``ats`` is known: one pass, one branch per type.
 
     ``parsed(page_id, url, ats, nodes, texts)`` to ``(page_id, url, ats, ord,
     title, description, location, job_url)``. ``types`` limits the branches,
-    ``carry`` names page columns to keep.
+    ``carry`` names page columns to keep. Descriptions are whole unless
+    ``max_chars`` cuts them.
     """
     found = F.when(F.lit(False), F.array().cast(f"ARRAY<{pg.LISTING}>"))
     for ats in types or list(BOARDS):
@@ -311,7 +313,7 @@ def by_rules(
             *carry,
             (F.col("ord") + 1).cast("long").alias("ord"),
             "job.title",
-            "job.description",
+            (F.substring("job.description", 1, max_chars) if max_chars else F.col("job.description")).alias("description"),
             "job.location",
             F.col("job.url").alias("job_url"),
         )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
@@ -73,11 +73,12 @@ def best_links(homepages: DataFrame) -> DataFrame:
     """``(base, careers_url)``: best careers-looking link of each parsed homepage.
 
     ``homepages(base, nodes, texts)``. Same-site links and URLs ending in
-    careers or jobs score higher; the first in the document wins ties. A page
-    is one row, so this is a projection.
+    careers or jobs score higher; the first in the document wins ties. A site
+    with several snapshots of its homepage has the best link of all of them.
     """
-    best = homepages.select("base", _best_link(F.col("base")).alias("best"))
-    return best.filter(F.col("best").isNotNull()).select("base", F.col("best.full").alias("careers_url"))
+    best = homepages.select("base", _best_link(F.col("base")).alias("best")).filter(F.col("best").isNotNull())
+    once = best.groupBy("base").agg(F.min("best").alias("best"))
+    return once.select("base", F.col("best.full").alias("careers_url"))
 
 
 def careers_urls(requests: DataFrame, probes: DataFrame, homepages: DataFrame) -> DataFrame:
@@ -115,9 +116,9 @@ def crawl_plan(careers: DataFrame) -> DataFrame:
 
 
 # --- snapshots ------------------------------------------------------------------------
-def is_spa(html: Column, chars: int = rules.SPA_SCAN_CHARS) -> Column:
-    """Markers of a page rendered in the browser, near the start of the page."""
-    return F.substring(html, 1, chars).rlike(rules.SPA_MARKER)
+def is_spa(html: Column, chars: int | None = None) -> Column:
+    """Markers of a page rendered in the browser, anywhere or in the first ``chars`` characters."""
+    return (F.substring(html, 1, chars) if chars else html).rlike(rules.SPA_MARKER)
 
 
 def is_thick(chars: Column, generic: Column) -> Column:
@@ -177,33 +178,42 @@ def next_page_link() -> Column:
     return page.select_one("a.paginationNextLink")["href"]
 
 
-def page_prefix(board_pages: DataFrame, max_pages: int = rules.MAX_PAGES) -> DataFrame:
+def page_prefix(board_pages: DataFrame, max_pages: int | None = None) -> DataFrame:
     """Pages ``1..n`` of each board up to the first missing, failed or last page.
 
-    ``board_pages(board_id, page, status, has_next, ...)``. Pages past the cap
-    are dropped first, so a window never holds more than ``max_pages`` rows.
+    ``board_pages(board_id, page, status, has_next, ...)``. The first failed page,
+    the first without a next link and the first gap are each one aggregate per
+    board, combined before its shuffle, so a board of any length is no window.
     """
-    order = Window.partitionBy("board_id").orderBy("page")
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    good = F.col("status").between(200, 299) & (F.col("page") == F.row_number().over(order))
-    return (
-        board_pages.filter(F.col("page").between(1, max_pages))
-        .withColumn("_good", good)
-        .withColumn("_all_good", F.bool_and("_good").over(so_far))
-        .withColumn("_linked", F.coalesce(F.bool_and("has_next").over(before), F.lit(True)))
-        .filter(F.col("_all_good") & F.col("_linked"))
-        .drop("_good", "_all_good", "_linked")
+    pages = board_pages.filter(F.col("page") >= 1)
+    if max_pages:
+        pages = pages.filter(F.col("page") <= max_pages)
+    failed = F.when(~F.coalesce(F.col("status").between(200, 299), F.lit(False)), F.col("page"))
+    ends = F.when(~F.coalesce("has_next", F.lit(False)), F.col("page"))
+    marks = pages.groupBy("board_id").agg(F.min(failed).alias("_bad"), F.min(ends).alias("_last"), F.min("page").alias("_first"))
+    here = pages.select("board_id", "page").distinct()
+    after = here.select("board_id", (F.col("page") - 1).alias("page"))
+    gaps = here.join(after, ["board_id", "page"], "left_anti").groupBy("board_id").agg(F.min("page").alias("_whole"))
+    limits = marks.join(gaps, "board_id").select(
+        "board_id",
+        F.when(F.col("_first") == 1, F.least("_whole", F.col("_bad") - 1, "_last")).otherwise(0).alias("_to"),
     )
+    joined = skew.spread_lookup(pages, limits, ["board_id"], ["page"])
+    return joined.filter(F.col("page") <= F.col("_to")).select(*board_pages.columns)
 
 
-def scroll_stop(rounds: DataFrame, max_rounds: int = rules.MAX_SCROLL_ROUNDS) -> DataFrame:
+def scroll_stop(rounds: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """``(url, stop_round, tiles)``: first round that showed nothing new.
 
-    ``rounds(url, round, tiles)``; rounds past the cap are dropped first.
+    ``rounds(url, round, tiles)``; each round meets the one before it by key, so
+    a page of any number of rounds is no window.
     """
-    previous = F.lag("tiles", 1, 0).over(Window.partitionBy("url").orderBy("round"))
-    seen = rounds.filter(F.col("round").between(1, max_rounds)).withColumn("_same", F.col("tiles") == previous)
+    seen = rounds.filter(F.col("round") >= 1)
+    if max_rounds:
+        seen = seen.filter(F.col("round") <= max_rounds)
+    before = seen.select("url", (F.col("round") + 1).alias("round"), F.col("tiles").alias("_before"))
+    met = seen.join(before, ["url", "round"], "left")
+    same = F.col("tiles") == F.coalesce("_before", F.lit(0))
     here = F.struct("round", "tiles")
-    stops = seen.groupBy("url").agg(F.coalesce(F.min(F.when(F.col("_same"), here)), F.max(here)).alias("stop"))
+    stops = met.groupBy("url").agg(F.coalesce(F.min(F.when(same, here)), F.max(here)).alias("stop"))
     return stops.select("url", F.col("stop.round").alias("stop_round"), F.col("stop.tiles").alias("tiles"))

@@ -17,12 +17,13 @@ def needs_description(description: Column) -> Column:
     return F.length(urls.strip(F.coalesce(description, F.lit("")))) < rules.MIN_DESCRIPTION_CHARS
 
 
-def description_of_page(ats: str | None = None, max_chars: int | None = rules.MAX_DESCRIPTION_CHARS) -> Column:
+def description_of_page(ats: str | None = None, max_chars: int | None = None) -> Column:
     """Description text of the current detail-page row, or the empty string.
 
     Selectors are tried in list order, the ones of the board type first. A text
-    counts if it is long enough and does not open with a notice. ``max_chars``
-    is the cut the matcher expects; None keeps whole texts.
+    counts if it is long enough and does not open with a notice. Texts
+    are whole; ``max_chars`` cuts them (``rules.MAX_DESCRIPTION_CHARS`` is the
+    usual cut of job sites).
     """
     page = pg.Page(F.col("nodes"), F.col("texts"), CONTENT)
 
@@ -43,18 +44,23 @@ def description_of_page(ats: str | None = None, max_chars: int | None = rules.MA
     return F.substring(text, 1, max_chars) if max_chars else text
 
 
-def detail_texts(parsed: DataFrame) -> DataFrame:
-    """``(url, detail)`` of parsed detail pages ``(url, ats, nodes, texts)``, found texts only."""
-    return parsed.select("url", description_of_page().alias("detail")).filter(F.col("detail") != "")
+def detail_texts(
+    parsed: DataFrame, max_chars: int | None = None, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """``(url, ats, *carry, detail)`` of parsed detail pages ``(url, ats, nodes, texts)``, found texts only."""
+    found = parsed.select("url", "ats", *carry, description_of_page(max_chars=max_chars).alias("detail"))
+    return found.filter(F.col("detail") != "")
 
 
 def attach_details(listings: DataFrame, details: DataFrame) -> DataFrame:
     """Fill short descriptions from ``details(url, detail)``, one row per URL.
 
+    With a column ``ats`` in both tables, a detail counts for its board type only.
     Only listings that need one take part in the join; the others pass by it.
     """
     need = needs_description(F.col("description"))
-    asked = skew.spread_lookup(listings.filter(need), details, ["url"], ["board_id", "ord"], "left")
+    keys = ["url", "ats"] if {"ats"} <= set(details.columns) & set(listings.columns) else ["url"]
+    asked = skew.spread_lookup(listings.filter(need), details, keys, ["board_id", "ord"], "left")
     filled = F.when(F.coalesce(F.col("detail"), F.lit("")) != "", F.col("detail")).otherwise(F.col("description"))
     answered = asked.withColumn("description", filled).select(*listings.columns)
     return answered.unionByName(listings.filter(~need))

@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import text
-from ..sources.tables import widen
 from . import skew
 
 SENTINEL = ""
@@ -53,9 +52,8 @@ def _counted(docs: DataFrame, keys: list[str], once: Column | None, thrice: Colu
 
 
 def _job_postings(listings: DataFrame, keys: list[str]) -> DataFrame:
-    listings = widen(listings, ["board_id", "ord"])
     description = F.coalesce("description", F.lit(""))
-    return _counted(listings, keys, text.raw_tokens(F.col("title")), text.raw_tokens(description))
+    return _counted(listings, keys, text.raw_tokens(F.coalesce("title", F.lit(""))), text.raw_tokens(description))
 
 
 def term_freqs(listings: DataFrame) -> DataFrame:
@@ -64,7 +62,7 @@ def term_freqs(listings: DataFrame) -> DataFrame:
 
 
 def _resume_postings(resumes: DataFrame, keys: list[str]) -> DataFrame:
-    return _counted(widen(resumes, ["resume_id"]), keys, None, text.raw_tokens(F.col("resume_text")))
+    return _counted(resumes, keys, None, text.raw_tokens(F.coalesce("resume_text", F.lit(""))))
 
 
 def resume_term_freqs(resumes: DataFrame) -> DataFrame:
@@ -94,7 +92,7 @@ def job_vectors(listings: DataFrame, boards: DataFrame | None = None) -> DataFra
     arrive from everywhere and combining them earlier would save nothing. ``boards(board_id, n_pairs)`` gives the
     number of paired résumés; jobs of boards without any are dropped.
     """
-    senior = listings.withColumn("senior", text.is_senior_title(F.col("title")))
+    senior = listings.withColumn("senior", text.is_senior_title(F.coalesce("title", F.lit(""))))
     postings = skew.materialize(
         _job_postings(senior, ["board_id", "ord", "senior"]).withColumn(
             "block", F.floor(F.col("ord") / skew.BLOCK_ROWS)
@@ -149,17 +147,21 @@ def board_df(vectors: DataFrame) -> DataFrame:
     )
 
 
-def resume_vectors(resumes: DataFrame, pairs: DataFrame, df: DataFrame) -> DataFrame:
-    """``(board_id, resume_id, years, n_jobs, n_pairs, norm2, terms)`` per pair.
-
-    A pair whose board has no jobs disappears.
-    """
-    dated = resumes.withColumn("years", text.years_of_experience(F.col("resume_text")))
-    terms = (
+def resume_terms(resumes: DataFrame) -> DataFrame:
+    """``(resume_id, years, terms)``: what a résumé is before it meets a board."""
+    dated = resumes.withColumn("years", text.years_of_experience(F.coalesce("resume_text", F.lit(""))))
+    return (
         _resume_postings(dated, ["resume_id", "years"])
         .groupBy("resume_id", "years")
         .agg(F.collect_list(F.struct("term", "tf")).alias("terms"))
     )
+
+
+def resume_vectors(terms: DataFrame, pairs: DataFrame, df: DataFrame) -> DataFrame:
+    """``(board_id, resume_id, years, n_jobs, n_pairs, norm2, terms)`` per pair, from ``resume_terms``.
+
+    A pair whose board has no jobs disappears.
+    """
     exploded = skew.spread_lookup(
         pairs.select("resume_id", "board_id"), terms, ["resume_id"], ["board_id"]
     ).select("board_id", "resume_id", "years", F.inline("terms"))
@@ -210,6 +212,8 @@ def score_jobs(
     pairs: DataFrame,
     top_k: int | None = None,
     keep_idle: bool = True,
+    listed: int | None = None,
+    told: tuple[int | None, int | None] = (None, None),
 ) -> DataFrame:
     """Score and rank every job of every paired board for every résumé.
 
@@ -223,23 +227,34 @@ def score_jobs(
     ``top_k`` keeps the best k per pair and builds only jobs that share a term
     with the résumé, plus the few that can fill up a short list.
     ``keep_idle=False`` leaves out jobs that share no term altogether.
+
+    Keyword lists and explanations are whole. Display limits: ``listed`` words in
+    each list, ``told`` shared and missing words in the explanation (job sites
+    show 10, 8 and 5).
     """
     pairs = pairs.select("resume_id", "board_id").distinct()
     boards = pairs.groupBy("board_id").agg(F.count(F.lit(1)).alias("n_pairs"))
     jobs = skew.materialize(job_vectors(listings, boards))
-    people = resume_vectors(resumes, pairs, board_df(jobs))
-    return _matches(jobs, people, top_k, keep_idle)
+    people = resume_vectors(resume_terms(resumes), pairs, board_df(jobs))
+    return _matches(jobs, people, top_k, keep_idle, listed, told)
 
 
-def score_new(resumes: DataFrame, listings: DataFrame, pairs: DataFrame, df: DataFrame) -> DataFrame:
-    """Score listings that are not part of the counted corpus.
+def score_new(terms: DataFrame, listings: DataFrame, pairs: DataFrame, df: DataFrame) -> DataFrame:
+    """Score listings that are not part of the counted corpus, for written ``resume_terms``.
 
     ``df`` is the frozen ``board_df`` of a snapshot. A term the snapshot has
-    not seen counts as found in no job; boards outside it give no rows.
+    not seen counts as found in no job. A board that the snapshot has not seen is
+    its own snapshot: its size is the number of its new listings, no term of it
+    counts as seen.
     """
     pairs = pairs.select("resume_id", "board_id").distinct()
     is_mark = F.col("term") == SENTINEL
-    senior = listings.withColumn("senior", text.is_senior_title(F.col("title")))
+    known = df.filter(is_mark).select("board_id")
+    unseen = listings.join(known, "board_id", "left_anti").groupBy("board_id").agg(F.count(F.lit(1)).alias("df"))
+    asked = pairs.groupBy("board_id").agg(F.count(F.lit(1)).alias("n_pairs"))
+    fresh = unseen.join(asked, "board_id").withColumn("term", F.lit(SENTINEL))
+    df = df.select("board_id", "term", "df", "n_pairs").unionByName(fresh.select("board_id", "term", "df", "n_pairs"))
+    senior = listings.withColumn("senior", text.is_senior_title(F.coalesce("title", F.lit(""))))
     postings = _job_postings(senior, ["board_id", "ord", "senior"])
     jobs = (
         skew.spread_lookup(postings, df, ["board_id", "term"], ["ord"], "left")
@@ -256,19 +271,26 @@ def score_new(resumes: DataFrame, listings: DataFrame, pairs: DataFrame, df: Dat
         .filter(F.col("n_jobs").isNotNull() & F.col("n_pairs").isNotNull())
     )
     jobs = skew.materialize(jobs)
-    return _matches(jobs, resume_vectors(resumes, pairs, df))
+    return _matches(jobs, resume_vectors(terms, pairs, df))
 
 
-def _matches(jobs: DataFrame, people: DataFrame, top_k: int | None = None, keep_idle: bool = True) -> DataFrame:
+def _matches(
+    jobs: DataFrame,
+    people: DataFrame,
+    top_k: int | None = None,
+    keep_idle: bool = True,
+    listed: int | None = None,
+    told: tuple[int | None, int | None] = (None, None),
+) -> DataFrame:
     """Score, rank, cut to ``top_k``, and only then work out the keywords."""
     # Fewer than k jobs score above zero when a zero makes the list, and zeros are
     # taken in listing order: the first 2k jobs of the board hold all of them.
     idle = 0 if not keep_idle else None if top_k is None else 2 * top_k
-    ranked = rank_matches(_score(jobs, people, idle), jobs, top_k)
+    ranked = rank_matches(_score(jobs, people, idle), top_k)
     details = with_ranked(jobs).select(
         "board_id", "ord", "ranked", "idle_top", _each_tile("n_pairs", TILE_RESUMES).alias("rt")
     )
-    return _words(ranked.join(details, ["board_id", "rt", "ord"]).select("*", _corrected_top().alias("top")))
+    return _words(ranked.join(details, ["board_id", "rt", "ord"]).select("*", _corrected_top().alias("top")), listed, told)
 
 
 def _score(jobs: DataFrame, people: DataFrame, idle: int | None = None) -> DataFrame:
@@ -355,8 +377,11 @@ def _corrected_top() -> Column:
     return F.when(F.size("shared") == 0, F.col("idle_top")).otherwise(corrected)
 
 
-def _words(row: DataFrame) -> DataFrame:
-    """Keyword lists and explanation from the corrected top terms."""
+def _words(row: DataFrame, listed: int | None = None, told: tuple[int | None, int | None] = (None, None)) -> DataFrame:
+    """Keyword lists and explanation from the corrected top terms; see ``score_jobs`` for the limits."""
+
+    def shown(words: str) -> Column:
+        return F.slice(words, 1, listed) if listed else F.col(words)
 
     def pick(wanted: bool) -> Column:
         chosen = F.filter("top", lambda t: t["in_top"] == F.lit(wanted))
@@ -369,26 +394,24 @@ def _words(row: DataFrame) -> DataFrame:
         "ord",
         "score",
         "score_pct",
-        F.slice("matched", 1, 10).alias("matched_keywords"),
-        F.slice("missing", 1, 10).alias("missing_keywords"),
-        text.explain(F.col("score_pct"), F.col("matched"), F.col("missing")).alias("explanation"),
+        shown("matched").alias("matched_keywords"),
+        shown("missing").alias("missing_keywords"),
+        text.explain(F.col("score_pct"), F.col("matched"), F.col("missing"), *told).alias("explanation"),
         "rank",
     )
 
 
-def rank_matches(scored: DataFrame, jobs: DataFrame, top_k: int | None = None) -> DataFrame:
+def rank_matches(scored: DataFrame, top_k: int | None = None) -> DataFrame:
     """Rank by rounded score, then listing order, within (résumé, board).
 
     The penalty scales the percentage only and does not move the rank. With
     ``top_k`` the window is cut inside every task before its shuffle. Otherwise
-    the biggest board in ``jobs`` (one column of a written table) decides:
-    boards beyond a task's worth are ranked in cells from a written table.
+    the scores are written, and rows of boards beyond a task's worth are ranked
+    in cells while the others take one window per pair, in one plan.
     """
     keys = ["resume_id", "board_id"]
     if top_k is not None:
         ranked = skew.rank_in_groups(scored, keys, "score", "ord").filter(F.col("rank") <= top_k)
-    elif (jobs.agg(F.max("n_jobs")).first()[0] or 0) <= skew.BLOCK_ROWS * 16:
-        ranked = skew.rank_in_groups(scored, keys, "score", "ord")
     else:
         scored = skew.materialize(scored).withColumn("_hot", F.col("n_jobs") > skew.BLOCK_ROWS)
         ranked = skew.rank_in_groups(scored, keys, "score", "ord", hot="_hot").drop("_hot")
@@ -396,7 +419,10 @@ def rank_matches(scored: DataFrame, jobs: DataFrame, top_k: int | None = None) -
 
 
 def attach_jobs(matches: DataFrame, listings: DataFrame) -> DataFrame:
-    """Nest the listing next to its match, the shape of the match result."""
+    """Nest the listing next to its match, the shape of the match result.
+
+    ``ats`` and ``source_url`` come along where the listings have them.
+    """
     job = F.struct("title", "description", "location", "url").alias("job")
-    jobs = listings.select("board_id", "ord", job)
+    jobs = listings.select("board_id", "ord", *(c for c in ("ats", "source_url") if c in listings.columns), job)
     return skew.spread_lookup(matches, jobs, ["board_id", "ord"], ["resume_id"])

@@ -17,6 +17,12 @@ def _generic(careers: DataFrame) -> DataFrame:
     return careers.filter(F.col("ats") == rules.GENERIC).select("careers_url")
 
 
+def _one_each(snapshots: DataFrame) -> DataFrame:
+    """The snapshot of the smallest page_id of each (url, stage); only ids are grouped."""
+    first = snapshots.groupBy("url", "stage").agg(F.min("page_id").alias("page_id")).select("page_id")
+    return snapshots.join(first, "page_id", "left_semi")
+
+
 def board_decisions(careers: DataFrame, snapshots: DataFrame, linked: DataFrame | None = None) -> DataFrame:
     """Where the listings of each careers page come from.
 
@@ -25,8 +31,10 @@ def board_decisions(careers: DataFrame, snapshots: DataFrame, linked: DataFrame
     is read itself. An unknown page is tried in this order: a board embedded
     in the raw page, direct links on it, the same two on the rendered page,
     and finally the rendered page as a board of its own. ``linked`` is the
-    result of ``linked_listings`` when the caller already has it.
+    result of ``linked_listings`` when the caller already has it. Of several
+    snapshots of a (url, stage) the one of the smallest page_id counts.
     """
+    snapshots = _one_each(snapshots)
     linked = linked_listings(careers, snapshots) if linked is None else linked
     known = careers.filter(F.col("ats") != rules.GENERIC).select(
         "careers_url", _option(0, F.col("careers_url"), F.col("ats"), BOARD, F.lit(None).cast("long")).alias("option")
@@ -64,7 +72,7 @@ def _option(priority: Column, final_url: Column, ats: Column, kind: str, page_id
 
 def linked_listings(careers: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Direct-link listings of unknown pages, with the ``stage`` they came from."""
-    pages = snapshots.filter(F.col("stage").isin(RAW, RENDERED)).join(
+    pages = _one_each(snapshots).filter(F.col("stage").isin(RAW, RENDERED)).join(
         _generic(careers).withColumnRenamed("careers_url", "url"), "url", "left_semi"
     )
     return extract.direct_links(dom.parse(pages, ("page_id", "url", "stage")), carry=("stage",))
@@ -87,7 +95,7 @@ def listings(careers: DataFrame, snapshots: DataFrame, mode: str = "universal")
     wanted = decisions.filter(F.col("kind") != "links").select(
         F.col("final_url").alias("url"), stage.alias("stage"), "ats"
     ).distinct()
-    chosen = snapshots.join(wanted, ["url", "stage"])
+    chosen = _one_each(snapshots).join(wanted, ["url", "stage"])
     if mode == "universal":
         read = extract.universal(dom.parse(chosen, ("page_id", "url", "stage")), carry=("stage",))
     else:
@@ -151,15 +159,20 @@ def match_requests(
     detail_pages: DataFrame,
     resumes: DataFrame,
     top_k: int | None = None,
+    max_chars: int | None = None,
 ) -> DataFrame:
     """Enrich the listings and rank them for every résumé.
 
     ``resumes(request_id, resume_id, resume_text)`` names the request each
-    résumé came with; ``detail_pages(page_id, url, html)`` are fetched job pages.
+    résumé came with; ``detail_pages(page_id, url, html)`` are fetched job pages,
+    read by the rules of each board type that lists them. Of several pages of a
+    URL the first with a text counts, by page_id. Matches carry ``ats``,
+    ``source_url`` and the listing as ``job``. ``max_chars`` cuts detail texts.
     """
     boards = found.select("url", "ats").distinct()
-    details = enrich.detail_texts(dom.parse(detail_pages.join(boards, "url"), ("url", "ats")))
-    once = details.groupBy("url").agg(F.min("detail").alias("detail"))
+    parsed = dom.parse(detail_pages.join(boards, "url"), ("url", "ats", "page_id"))
+    details = enrich.detail_texts(parsed, max_chars, ("page_id",))
+    once = details.groupBy("url", "ats").agg(F.min_by("detail", "page_id").alias("detail"))
     full = skew.materialize(enrich.descriptions(found, once))
     pairs = skew.spread_lookup(
         resumes.select("request_id", "resume_id"),
@@ -167,4 +180,4 @@ def match_requests(
         ["request_id"],
         ["resume_id"],
     )
-    return match.score_jobs(resumes, full, pairs, top_k)
+    return match.attach_jobs(match.score_jobs(resumes, full, pairs, top_k), full)

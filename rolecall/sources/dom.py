@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
-from .tables import widen
 
 # Void elements never hold children; text below the raw ones is
 # not part of the text around it.
@@ -122,6 +121,18 @@ class _Tree(HTMLParser):
         self.parts.append(data)
         self._flush(COMMENT)
 
+    def parse_marked_section(self, i, report=1):
+        """Other ``<![...`` than CDATA is a comment up to the next ``>``, as browsers take it."""
+        cdata = self.rawdata.startswith("<![CDATA[", i)
+        end = self.rawdata.find("]]>" if cdata else ">", i + 3)
+        if end < 0:
+            return -1
+        if cdata:
+            self.unknown_decl(self.rawdata[i + 3 : end])
+        else:
+            self.handle_comment(self.rawdata[i + 2 : end])
+        return end + (3 if cdata else 1)
+
     def unknown_decl(self, data):
         if data.upper().startswith("CDATA["):
             self._flush()
@@ -137,11 +148,8 @@ class _Tree(HTMLParser):
 def tree(html: str) -> tuple[list[dict], list[dict]]:
     """Elements and text pieces of one page."""
     page = _Tree()
-    try:
-        page.feed(html or "")
-        page.close()
-    except AssertionError:
-        pass  # markup the tokenizer rejects: keep what was read before it
+    page.feed(html or "")
+    page.close()
     page.finish()
     return page.nodes, page.texts
 
@@ -169,7 +177,7 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def parse(pages: DataFrame, keys: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """``(*keys, nodes, texts)``, one row per page; ``html`` is left behind."""
-    pages = widen(pages.select(*keys, "html"), [keys[0]])
+    pages = pages.select(*keys, "html")
     kept = ", ".join(f"`{k}` {pages.schema[k].dataType.simpleString()}" for k in keys)
     return pages.mapInArrow(_parse_batches, f"{kept}, {SCHEMA}")
 

@@ -33,7 +33,7 @@ def read_resumes(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
 
 
 def read_html_files(spark: SparkSession, path: str) -> DataFrame:
-    """Raw HTML files, one page per file, keyed by a hash of the file name."""
+    """Raw HTML files, one page per file; two files get the same number once in 2**64 pairs, ``url`` never."""
     return spark.read.text(path, wholetext=True).selectExpr(
         "xxhash64(_metadata.file_path) AS page_id", "_metadata.file_path AS url", "value AS html"
     )
@@ -53,21 +53,3 @@ def write_matches(matches: DataFrame, path: str, mode: str = "overwrite", by_boa
         matches.write.mode(mode).partitionBy("board_id").parquet(path)
     else:
         matches.sortWithinPartitions("board_id", "resume_id", "rank").write.mode(mode).parquet(path)
-
-
-def widen(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Spread a table too small to fill the cores with input splits.
-
-    Row-local work (tokenizing, parsing) on a small file would otherwise stay on
-    one core. The optimizer's size estimate decides, so nothing is executed and
-    only data that is cheap to move is moved; large tables pass untouched.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
-        spark.conf.get("spark.sql.files.maxPartitionBytes")
-    )
-    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if df.isStreaming or estimate >= cores * split:
-        return df
-    return df.repartition(cores, *keys)

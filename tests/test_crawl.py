@@ -53,10 +53,14 @@ def test_page_prefix_and_scroll(spark):
     got = {}
     for r in discover.page_prefix(df).collect():
         got[r.board_id] = max(got.get(r.board_id, 0), r.page)
-    assert got == {"a": 2, "b": 1, "c": 1, "e": rules.MAX_PAGES}
+    assert got == {"a": 2, "b": 1, "c": 1, "e": 129}
+    assert max(r.page for r in discover.page_prefix(df, rules.MAX_PAGES).collect()) == rules.MAX_PAGES
     rounds = [("a", 1, 5), ("a", 2, 9), ("a", 3, 9), ("a", 4, 12), ("b", 1, 0), ("c", 1, 3), ("c", 2, 4)]
     stops = discover.scroll_stop(spark.createDataFrame(rounds, "url STRING, round INT, tiles LONG")).collect()
     assert {(r.url, r.stop_round, r.tiles) for r in stops} == {("a", 3, 9), ("b", 1, 0), ("c", 2, 4)}
+    long = spark.createDataFrame([("u", i, min(i, 45)) for i in range(1, 60)], "url STRING, round INT, tiles LONG")
+    assert discover.scroll_stop(long).first().stop_round == 46
+    assert discover.scroll_stop(long, rules.MAX_SCROLL_ROUNDS).first().stop_round == rules.MAX_SCROLL_ROUNDS
 
 
 def test_descriptions_by_url(spark):

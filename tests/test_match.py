@@ -7,17 +7,6 @@ from pyspark.sql import functions as F
 
 from rolecall.operators import match, skew
 
-RESUME = """
-Built event pipelines with Scala, Flink, Cassandra and Helm for a ticketing site.
-Ran Flink jobs on bare metal, tuned Cassandra, wrote Ansible and Bash.
-"""
-JOBS = [
-    ("Senior Stream Engineer", "Flink, Scala, Cassandra and Helm in production; Ansible is a plus."),
-    ("Game Artist", "Blender, Substance, ZBrush; sculpting, lighting, rigging."),
-    ("Warehouse Modeller", "Cassandra, dbt, Snowflake and Bash scripting for pipelines."),
-]
-
-
 def tables(spark, resumes, boards):
     jobs = [(b, i, t, d) for b, listed in boards.items() for i, (t, d) in enumerate(listed)]
     return (
@@ -30,15 +19,54 @@ def pairs_of(spark, pairs):
     return spark.createDataFrame(pairs, "resume_id LONG, board_id STRING")
 
 
-def test_known_board(spark):
-    resumes, jobs = tables(spark, {1: RESUME}, {"b": JOBS})
-    rows = match.score_jobs(resumes, jobs, pairs_of(spark, [(1, "b"), (1, "no such board")])).orderBy("rank").collect()
-    assert [r.rank for r in rows] == [1, 2, 3]
-    assert [r.score for r in rows] == sorted((r.score for r in rows), reverse=True)
-    assert rows[-1].ord == 1 and rows[-1].score == 0 and rows[-1].matched_keywords == []
-    assert rows[0].matched_keywords
-    for r in rows:
-        assert 0 <= r.score_pct <= 100 and f"({r.score_pct}%)" in r.explanation
+def test_jobs_without_shared_words_come_last(spark):
+    """Boards of made-up words: job i of a board shares i mod 3 of its words with the résumé."""
+    random.seed(12)
+    words = [f"word{i:03d}" for i in range(60)]
+    own, others = words[:20], words[20:]
+    boards = {
+        b: [(f"job {b}{i}", " ".join(random.sample(own, i % 3 * 4) + random.sample(others, 6))) for i in range(n)]
+        for b, n in (("x", 9), ("y", 4))
+    }
+    resumes, jobs = tables(spark, {7: " ".join(own)}, boards)
+    rows = match.score_jobs(resumes, jobs, pairs_of(spark, [(7, "x"), (7, "y"), (7, "no such board")])).collect()
+    assert len(rows) == 13
+    for b, listed in boards.items():
+        mine = sorted((r for r in rows if r.board_id == b), key=lambda r: r.rank)
+        assert [(-r.score, r.ord) for r in mine] == sorted((-r.score, r.ord) for r in mine)
+        for r in mine:
+            shared = set(listed[r.ord][1].split()) & set(own)
+            assert set(r.matched_keywords) == shared and (r.score > 0) == bool(shared)
+            assert 0 <= r.score_pct <= 100 and f"({r.score_pct}%)" in r.explanation
+
+
+def test_missing_texts_keep_their_jobs(spark):
+    jobs = [("b", 0, None, "flink scala"), ("b", 1, "flink", None), ("b", 2, None, None)]
+    listed = spark.createDataFrame(jobs, "board_id STRING, ord LONG, title STRING, description STRING")
+    blank = spark.createDataFrame([("b", 0, "", "flink scala"), ("b", 1, "flink", ""), ("b", 2, "", "")], listed.schema)
+    people = spark.createDataFrame([(1, "flink kafka"), (2, None)], "resume_id LONG, resume_text STRING")
+    both = pairs_of(spark, [(1, "b"), (2, "b")])
+    got = sorted(match.score_jobs(people, listed, both).collect())
+    assert len(got) == 6 and got == sorted(match.score_jobs(people, blank, both).collect())
+
+
+def test_boards_that_a_snapshot_has_not_seen(spark):
+    people = spark.createDataFrame([(1, "flink scala kafka")], "resume_id LONG, resume_text STRING")
+    old = spark.createDataFrame([("a", 0, "x", "flink")], "board_id STRING, ord LONG, title STRING, description STRING")
+    new = spark.createDataFrame([("n", 0, "y", "scala flink"), ("n", 1, "z", "cook"), ("a", 5, "w", "kafka")], old.schema)
+    pairs = pairs_of(spark, [(1, "a"), (1, "n")])
+    frozen = match.board_df(skew.materialize(match.job_vectors(old, pairs.groupBy("board_id").agg(F.count("*").alias("n_pairs")))))
+    got = {(r.board_id, r.ord): r.score for r in match.score_new(skew.materialize(match.resume_terms(people)), new, pairs, frozen).collect()}
+    assert set(got) == {("n", 0), ("n", 1), ("a", 5)} and got["n", 0] > 0 and got["n", 1] == 0
+
+
+def test_display_limits(spark):
+    words = [f"skill{i:02d}" for i in range(15)]
+    resumes, jobs = tables(spark, {1: " ".join(words)}, {"b": [("job", " ".join(words))]})
+    whole = match.score_jobs(resumes, jobs, pairs_of(spark, [(1, "b")])).first()
+    assert whole.matched_keywords == words and all(w in whole.explanation for w in words)
+    cut = match.score_jobs(resumes, jobs, pairs_of(spark, [(1, "b")]), listed=10, told=(8, 5)).first()
+    assert cut.matched_keywords == words[:10] and words[7] in cut.explanation and words[8] not in cut.explanation
 
 
 # The direct computation: fit one corpus per (résumé, board) pair.
@@ -56,7 +84,7 @@ def direct(resume, listed):
         length = norm(person) * norm(job)
         cos = sum(v * job.get(w, 0) for w, v in person.items()) / length if length else 0.0
         mine, theirs = top(person, 50), top(job, 30)
-        out.append((i, cos, sorted(mine & theirs)[:10], sorted(theirs - mine)[:10]))
+        out.append((i, cos, sorted(mine & theirs), sorted(theirs - mine)))
     return out
 
 
@@ -89,7 +117,7 @@ def test_closed_form_equals_direct(spark, small_tiles):
 
 def test_huge_boards_are_ranked_in_cells(spark, monkeypatch):
     monkeypatch.setattr(skew, "BLOCK_ROWS", 2)
-    boards = {"big": [(f"t{i}", "python docker" if i % 3 else "swift") for i in range(50)], "small": JOBS}
+    boards = {"big": [(f"t{i}", "python docker" if i % 3 else "swift") for i in range(50)], "small": [("a", "python"), ("b", "go"), ("c", "swift")]}
     r, j = tables(spark, {1: "python swift", 2: "docker"}, boards)
     pairs = pairs_of(spark, [(1, "big"), (2, "big"), (1, "small")])
     rows = match.score_jobs(r, j, pairs).collect()
@@ -99,7 +127,7 @@ def test_huge_boards_are_ranked_in_cells(spark, monkeypatch):
 
 
 def test_top_k_and_idle(spark):
-    resumes, jobs = tables(spark, {1: RESUME}, {"b": JOBS})
+    resumes, jobs = tables(spark, {1: "python docker"}, {"b": [("x", "python go"), ("y", "rust"), ("z", "docker")]})
     pairs = pairs_of(spark, [(1, "b")])
     assert [r.rank for r in match.score_jobs(resumes, jobs, pairs, top_k=2).orderBy("rank").collect()] == [1, 2]
     busy = match.score_jobs(resumes, jobs, pairs, keep_idle=False).collect()
