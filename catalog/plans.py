@@ -120,8 +120,7 @@ END_MATCH = matching._with(
 )
 
 
-@query("scrape_enrich_match", END_MATCH + matching.RANKED)
-def scrape_enrich_match(spark, sf):
+def _whole_way(spark, sf):
     """Requests to ranked matches: discovery, extraction, enrichment and scoring."""
     pages = table(spark, sf, "pages")
     asked = pages.select(P().alias("request_id"), _careers_url().alias("url"))
@@ -151,9 +150,129 @@ def scrape_enrich_match(spark, sf):
             F.coalesce("t", F.lit("")), F.lit("\npython kafka skill"), (P() % 5 + 1).cast("string"), F.lit(" area3\n2019 - 2021")
         ).alias("resume_text"),
     )
-    return plan.match_requests(found_for, found, detail_pages, resumes).select(
+    return plan.match_requests(found_for, found, detail_pages, resumes)
+
+
+@query("scrape_enrich_match", END_MATCH + matching.RANKED)
+def scrape_enrich_match(spark, sf):
+    return _whole_way(spark, sf).select(
         "resume_id", "board_id", "ord", "score", "score_pct",
         F.array_join("matched_keywords", " ").alias("matched_keywords"),
         F.array_join("missing_keywords", " ").alias("missing_keywords"),
         "explanation", "rank",
     )
+
+
+@query(
+    "match_results",
+    END_MATCH
+    + """ SELECT l.resume_id, l.board_id, l.ord, f.ats, f.board_id AS source_url, f.title, f.location, f.url,
+          md5(j.description) AS description, l.score,
+          CAST(row_number() OVER (PARTITION BY l.resume_id, l.board_id ORDER BY l.score DESC, l.ord) AS INT) AS rank
+          FROM listed l JOIN found f USING (board_id, ord) JOIN jobs j USING (board_id, ord)""",
+)
+def match_results(spark, sf):
+    """The whole match: the listing nested as ``job``, with its board type and source."""
+    return _whole_way(spark, sf).select(
+        "resume_id", "board_id", "ord", "ats", "source_url", "job.title", "job.location", "job.url",
+        F.md5("job.description").alias("description"), "score", "rank",
+    )
+
+
+# --- pages of a board, fetch attempts, errors -------------------------------------------
+# Page p is page p % 4 + 1 of board p // 4; some have failed, some have no next link.
+PAGED_SQL = f"""{CARDS_SQL},
+numbered AS (SELECT page_id, page_id // 4 AS b, page_id % 4 + 1 AS page, page_id % 6 AS n,
+    page_id % 7 <> 0 AS has_next, page_id % 11 <> 0 AS ok FROM pages),
+walked AS (SELECT *, bool_and(ok) OVER w AND page = row_number() OVER w
+      AND coalesce(bool_and(has_next) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS good
+    FROM numbered WINDOW w AS (PARTITION BY b ORDER BY page)),
+counted AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY b ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+    FROM walked WHERE good)"""
+
+
+@query(
+    "paged_board",
+    f"""WITH {PAGED_SQL} SELECT 'https://careers.ibm.com/search/' || b AS board_id, CAST(ahead + k AS BIGINT) AS ord,
+        'Engineer ' || page_id || ' ' || k AS title, place AS location,
+        'https://careers.ibm.com/job/' || page_id || '-' || k AS url
+        FROM counted JOIN (SELECT page_id, k, place FROM cards) USING (page_id)""",
+)
+def paged_board(spark, sf):
+    card = '<article class="article--card"><h3 class="article__header__text__title"><a class="link" href="/job/{p}-{k}">Engineer {p} {k}</a></h3><span class="card-item-location">{place}</span></article>'
+    following = F.when(P() % 7 != 0, '<a class="paginationNextLink" href="?next">Next</a>').otherwise("")
+    board = F.concat(F.lit("https://careers.ibm.com/search/"), F.floor(P() / 4).cast("string"))
+    pages = planted.pages_with(spark, sf, F.concat(planted.cards(card), following), board)
+    pages = pages.select(
+        "page_id", board.alias("board_id"), F.lit("ibm").alias("ats"), "url", (P() % 4 + 1).cast("int").alias("page"),
+        F.when(P() % 11 == 0, 404).otherwise(200).alias("status"), "html",
+    )
+    found = plan.paged_listings(pages)
+    return found.select("board_id", "ord", "title", "location", "url")
+
+
+# Three attempts at each board: too small, good, and good with other jobs. Of every
+# fifth board all are too small; every ninth site could not be probed at all.
+def _attempts(spark, sf):
+    pages = table(spark, sf, "pages")
+    url = planted.fill("https://jobs.lever.co/c{p}", P())
+    padded = F.concat(planted.page_html(planted.board_block()), F.repeat(F.lit("<!-- -->"), 400))
+    other = F.replace(padded, F.lit("Engineer"), F.lit("Wrong"))
+
+    def attempt(number, command, html):
+        shown = pages.select("page_id", F.when(P() % 5 == 0, "<p>x</p>").otherwise(html).alias("html"))
+        return shown.select(
+            (P() * 3 + number).alias("page_id"), url.alias("url"), F.lit("board").alias("stage"), F.lit(False).alias("generic"),
+            F.lit(False).alias("browser"), F.lit(False).alias("wants_ai"), F.lit(command).alias("command"),
+            F.lit(number).alias("attempt"), F.lit(False).alias("ai_targeted"), "html",
+        )
+
+    first, second, third = attempt(0, "get", F.lit("<p>wait</p>")), attempt(1, "fetch", padded), attempt(2, "stealthy-fetch", other)
+    return first.unionByName(second).unionByName(third)
+
+
+def _from_attempts(spark, sf):
+    pages = table(spark, sf, "pages")
+    url = F.when(P() % 8 == 7, "/nowhere").otherwise(planted.fill("https://jobs.lever.co/c{p}", P()))
+    url = F.when(P() % 9 == 4, planted.fill("https://down{p}.example.org", P())).otherwise(url)
+    asked = pages.select(P().alias("request_id"), url.alias("url"))
+    down = pages.filter(P() % 9 == 4).select(
+        planted.fill("https://down{p}.example.org", P()).alias("base"), F.lit("timed out").alias("reason")
+    )
+    none = spark.createDataFrame([], "candidate STRING, status INT, final_url STRING")
+    home = plan.dom.parse(spark.createDataFrame([], "page_id LONG, base STRING, html STRING"), ("page_id", "base"))
+    return plan.scrape(asked, none, home, attempts=_attempts(spark, sf), failures=down)
+
+
+ASKED = "page_id % 9 <> 4 AND page_id % 8 <> 7"
+
+
+@query(
+    "chosen_listings",
+    f"""WITH {CARDS_SQL} SELECT 'https://jobs.lever.co/c' || page_id AS board_id, CAST(k AS BIGINT) AS ord,
+        'Engineer ' || page_id || ' ' || k AS title, place AS location, 'https://jobs.lever.co/jobs/' || page_id || '-' || k AS url
+        FROM cards WHERE {ASKED} AND page_id % 5 <> 0""",
+)
+def chosen_listings(spark, sf):
+    """Listings from the attempt that counts, of boards asked for."""
+    _, found, _ = _from_attempts(spark, sf)
+    return found.select("board_id", "ord", "title", "location", "url")
+
+
+@query(
+    "request_errors",
+    f"""SELECT page_id AS request_id, 'discover' AS stage,
+          'Failed to discover careers page for https://down' || page_id || '.example.org: timed out' AS message
+          FROM pages WHERE page_id % 9 = 4
+        UNION ALL SELECT page_id, 'discover', 'Invalid input URL: /nowhere — Invalid URL: https:///nowhere'
+          FROM pages WHERE page_id % 8 = 7 AND page_id % 9 <> 4
+        UNION ALL SELECT page_id, 'fetch', 'No usable page among the fetch attempts for https://jobs.lever.co/c' || page_id
+          FROM pages WHERE {ASKED} AND page_id % 5 = 0
+        UNION ALL SELECT page_id, 'extract', 'No jobs found on https://jobs.lever.co/c' || page_id
+          || ' (ATS: lever). The page structure may have changed or this may not be a job board.'
+          FROM pages WHERE {ASKED} AND page_id % 5 <> 0 AND page_id % 6 = 0""",
+)
+def request_errors(spark, sf):
+    """Errors of every stage, each with its own cause."""
+    _, _, errors = _from_attempts(spark, sf)
+    return errors.select("request_id", "stage", "message")

@@ -171,6 +171,38 @@ def choose_snapshot(attempts: DataFrame) -> DataFrame:
     )
 
 
+def chosen_snapshots(attempts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(snapshots, errors)`` of crawl attempts that still carry their page.
+
+    ``attempts(page_id, url, stage, generic, browser, wants_ai, command, attempt,
+    ai_targeted, html)`` to ``snapshots(page_id, url, stage, html)``, one per (url,
+    stage), and ``errors(url, stage, message)`` where no attempt is good enough.
+    Only sizes and markers are grouped; pages are joined by page_id.
+    """
+    key = F.concat_ws("\n", "stage", "url")
+    sized = attempts.select(
+        "page_id", key.alias("url"), F.col("url").alias("page_url"), "stage", "generic", "browser", "wants_ai", "command",
+        "attempt", "ai_targeted", F.length(F.coalesce("html", F.lit(""))).cast("long").alias("chars"),
+        F.coalesce(is_spa(F.col("html")), F.lit(False)).alias("spa"),
+    )
+    sized = skew.materialize(sized)
+    same = ["url", "command", "attempt", "ai_targeted"]
+    kept = sized.join(choose_snapshot(sized).select(*same), same, "left_semi")
+    kept = kept.groupBy("url").agg(F.min("page_id").alias("page_id"))
+    snapshots = attempts.join(kept.select("page_id"), "page_id", "left_semi").select("page_id", "url", "stage", "html")
+    lost = sized.select("url", "page_url", "stage").distinct().join(kept, "url", "left_anti")
+    message = F.concat(F.lit("No usable page among the fetch attempts for "), "page_url")
+    return snapshots, lost.select(F.col("page_url").alias("url"), "stage", message.alias("message"))
+
+
+def failed_discoveries(requests: DataFrame, failures: DataFrame) -> DataFrame:
+    """Error rows of requests whose site is in ``failures(base, reason)``: probing itself broke down."""
+    asked = normalized(requests).filter(F.col("base").isNotNull())
+    met = skew.spread_lookup(asked, failures.groupBy("base").agg(F.min("reason").alias("reason")), ["base"], ["request_id"])
+    message = F.concat(F.lit("Failed to discover careers page for "), "url", F.lit(": "), "reason")
+    return met.select("request_id", F.lit("discover").alias("stage"), message.alias("message"))
+
+
 # --- paging and scrolling -------------------------------------------------------------
 def next_page_link() -> Column:
     """Href of the next-page link of the current page row, or NULL."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import rules
@@ -78,13 +78,48 @@ def linked_listings(careers: DataFrame, snapshots: DataFrame) -> DataFrame:
     return extract.direct_links(dom.parse(pages, ("page_id", "url", "stage")), carry=("stage",))
 
 
-def listings(careers: DataFrame, snapshots: DataFrame, mode: str = "universal") -> tuple[DataFrame, DataFrame]:
+def paged_listings(board_pages: DataFrame) -> DataFrame:
+    """Listings of boards that go over several pages, numbered through all pages that count.
+
+    ``board_pages(page_id, board_id, ats, url, page, status, html)``. Pages count up to
+    the first failed or missing one and the first without a next link; their
+    listings, read by the rules of the board type, follow each other.
+    """
+    parsed = dom.parse(board_pages, ("page_id", "board_id", "ats", "url", "page", "status"))
+    found = skew.materialize(
+        parsed.select("page_id", "board_id", "page", "status", discover.next_page_link().isNotNull().alias("has_next"))
+    )
+    good = discover.page_prefix(found).select("page_id", "board_id", "page")
+    jobs = skew.materialize(
+        board_rules.by_rules(parsed, carry=("board_id", "page")).join(good.select("page_id"), "page_id", "left_semi")
+    )
+    counts = good.join(jobs.groupBy("page_id").agg(F.count(F.lit(1)).alias("n")), "page_id", "left")
+    # One row per page: even a long board is a small window.
+    ahead = F.sum(F.coalesce("n", F.lit(0))).over(
+        Window.partitionBy("board_id").orderBy("page", "page_id").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    starts = counts.select("page_id", F.coalesce(ahead, F.lit(0)).alias("ahead"))
+    return jobs.join(starts, "page_id").select(
+        "board_id", "ats", F.col("board_id").alias("source_url"), (F.col("ord") + F.col("ahead")).alias("ord"),
+        "title", "description", "location", F.col("job_url").alias("url"),
+    )
+
+
+def listings(
+    careers: DataFrame,
+    snapshots: DataFrame,
+    mode: str = "universal",
+    board_pages: DataFrame | None = None,
+    lost: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """Listings of every careers page, and error rows of those without any.
 
     ``listings(board_id, ats, source_url, ord, title, description, location,
     url)`` keyed by the careers page, ``errors(careers_url, stage, message)``.
     ``mode='by_ats'`` reads boards with the rules of their type instead of the
-    all-purpose extractor. Both results come from one written table.
+    all-purpose extractor. Boards in ``board_pages`` (see ``paged_listings``) are read
+    over all their pages instead. ``lost(url, stage, message)`` names pages that no
+    fetch attempt brought in: their error is that. Results come from one written table.
     """
     if mode not in ("universal", "by_ats"):
         raise ValueError(f"unknown mode {mode!r}")
@@ -111,20 +146,23 @@ def listings(careers: DataFrame, snapshots: DataFrame, mode: str = "universal")
     from_links = decisions.filter(F.col("kind") == "links").join(linked.select("page_id", *jobs), "page_id")
     columns = ["careers_url", "ats", *jobs]
     found = from_pages.select(*columns).unionByName(from_links.select(*columns))
-    out = skew.materialize(
-        found.select(
-            F.col("careers_url").alias("board_id"),
-            "ats",
-            F.col("careers_url").alias("source_url"),
-            *jobs[:-1],
-            F.col("job_url").alias("url"),
-        )
+    shaped = found.select(
+        F.col("careers_url").alias("board_id"),
+        "ats",
+        F.col("careers_url").alias("source_url"),
+        *jobs[:-1],
+        F.col("job_url").alias("url"),
     )
-    return out, empty_boards(decisions, out)
+    if board_pages is not None:
+        paged = board_pages.select("board_id").distinct()
+        whole = paged_listings(board_pages.join(careers.select(F.col("careers_url").alias("board_id")), "board_id", "left_semi"))
+        shaped = shaped.join(paged, "board_id", "left_anti").unionByName(whole)
+    out = skew.materialize(shaped)
+    return out, empty_boards(decisions, out, lost)
 
 
-def empty_boards(decisions: DataFrame, found: DataFrame) -> DataFrame:
-    """Error rows of careers pages that gave no listing."""
+def empty_boards(decisions: DataFrame, found: DataFrame, lost: DataFrame | None = None) -> DataFrame:
+    """Error rows of careers pages that gave no listing, or (stage fetch) whose page is ``lost``."""
     with_jobs = found.select(F.col("board_id").alias("careers_url")).distinct()
     message = F.concat(
         F.lit("No jobs found on "),
@@ -133,24 +171,50 @@ def empty_boards(decisions: DataFrame, found: DataFrame) -> DataFrame:
         "ats",
         F.lit("). The page structure may have changed or this may not be a job board."),
     )
-    return decisions.join(with_jobs, "careers_url", "left_anti").select(
-        "careers_url", F.lit("extract").alias("stage"), message.alias("message")
-    )
+    empty = decisions.join(with_jobs, "careers_url", "left_anti")
+    if lost is None:
+        return empty.select("careers_url", F.lit("extract").alias("stage"), message.alias("message"))
+    reasons = lost.groupBy(F.col("url").alias("final_url")).agg(F.min("message").alias("_lost"))
+    known = skew.spread_lookup(empty, reasons, ["final_url"], ["careers_url"], "left")
+    stage = F.when(F.col("_lost").isNotNull(), "fetch").otherwise("extract")
+    return known.select("careers_url", stage.alias("stage"), F.coalesce("_lost", message).alias("message"))
 
 
 def scrape(
-    requests: DataFrame, probes: DataFrame, homepages: DataFrame, snapshots: DataFrame, mode: str = "universal"
+    requests: DataFrame,
+    probes: DataFrame,
+    homepages: DataFrame,
+    snapshots: DataFrame | None = None,
+    mode: str = "universal",
+    attempts: DataFrame | None = None,
+    board_pages: DataFrame | None = None,
+    failures: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(careers, listings, errors)`` of a table of requested URLs.
 
     ``careers(request_id, url, careers_url, via)`` ties requests to boards, so a
     board asked for by many requests is read once and its rows are not copied.
+    Instead of ``snapshots`` the crawl's ``attempts`` may be given, of which the good
+    ones are chosen (``discover.chosen_snapshots``); ``failures(base, reason)`` are
+    sites whose discovery broke down.
     """
+    lost = None
+    if snapshots is None:
+        snapshots, lost = discover.chosen_snapshots(attempts)
+        snapshots, lost = skew.materialize(snapshots), skew.materialize(lost)
+    broken = []
+    if failures is not None:
+        broken = [discover.failed_discoveries(requests, failures)]
+        down = failures.select("base").distinct()
+        requests = discover.normalized(requests).join(down, "base", "left_anti").select(*requests.columns)
     careers = skew.materialize(discover.careers_urls(requests, probes, homepages))
     typed = discover.crawl_plan(careers).select("careers_url", "ats")
-    found, empty = listings(typed, snapshots, mode)
+    found, empty = listings(typed, snapshots, mode, board_pages, lost)
     failed = skew.spread_lookup(careers, empty, ["careers_url"], ["request_id"]).select("request_id", "stage", "message")
-    return careers, found, discover.invalid_requests(requests).unionByName(failed)
+    errors = discover.invalid_requests(requests).unionByName(failed)
+    for more in broken:
+        errors = errors.unionByName(more)
+    return careers, found, errors
 
 
 def match_requests(
