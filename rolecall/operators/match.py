@@ -16,6 +16,8 @@ résumé, so jobs that share no word come out of the same join with score 0.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -239,13 +241,19 @@ def score_jobs(
     return _matches(jobs, people, top_k, keep_idle, listed, told)
 
 
-def score_new(terms: DataFrame, listings: DataFrame, pairs: DataFrame, df: DataFrame) -> DataFrame:
+def score_new(
+    terms: DataFrame,
+    listings: DataFrame,
+    pairs: DataFrame,
+    df: DataFrame,
+    hold: Callable[[DataFrame], DataFrame] = skew.materialize,
+) -> DataFrame:
     """Score listings that are not part of the counted corpus, for written ``resume_terms``.
 
     ``df`` is the frozen ``board_df`` of a snapshot. A term the snapshot has
     not seen counts as found in no job. A board that the snapshot has not seen is
     its own snapshot: its size is the number of its new listings, no term of it
-    counts as seen.
+    counts as seen. ``hold`` keeps a table that is read more than once.
     """
     pairs = pairs.select("resume_id", "board_id").distinct()
     is_mark = F.col("term") == SENTINEL
@@ -270,8 +278,7 @@ def score_new(terms: DataFrame, listings: DataFrame, pairs: DataFrame, df: DataF
         )
         .filter(F.col("n_jobs").isNotNull() & F.col("n_pairs").isNotNull())
     )
-    jobs = skew.materialize(jobs)
-    return _matches(jobs, resume_vectors(terms, pairs, df))
+    return _matches(hold(jobs), resume_vectors(terms, pairs, df), hold=hold)
 
 
 def _matches(
@@ -281,12 +288,13 @@ def _matches(
     keep_idle: bool = True,
     listed: int | None = None,
     told: tuple[int | None, int | None] = (None, None),
+    hold: Callable[[DataFrame], DataFrame] = skew.materialize,
 ) -> DataFrame:
     """Score, rank, cut to ``top_k``, and only then work out the keywords."""
     # Fewer than k jobs score above zero when a zero makes the list, and zeros are
     # taken in listing order: the first 2k jobs of the board hold all of them.
     idle = 0 if not keep_idle else None if top_k is None else 2 * top_k
-    ranked = rank_matches(_score(jobs, people, idle), top_k)
+    ranked = rank_matches(_score(jobs, people, idle), top_k, hold)
     details = with_ranked(jobs).select(
         "board_id", "ord", "ranked", "idle_top", _each_tile("n_pairs", TILE_RESUMES).alias("rt")
     )
@@ -401,7 +409,9 @@ def _words(row: DataFrame, listed: int | None = None, told: tuple[int | None, in
     )
 
 
-def rank_matches(scored: DataFrame, top_k: int | None = None) -> DataFrame:
+def rank_matches(
+    scored: DataFrame, top_k: int | None = None, hold: Callable[[DataFrame], DataFrame] = skew.materialize
+) -> DataFrame:
     """Rank by rounded score, then listing order, within (résumé, board).
 
     The penalty scales the percentage only and does not move the rank. With
@@ -413,7 +423,7 @@ def rank_matches(scored: DataFrame, top_k: int | None = None) -> DataFrame:
     if top_k is not None:
         ranked = skew.rank_in_groups(scored, keys, "score", "ord").filter(F.col("rank") <= top_k)
     else:
-        scored = skew.materialize(scored).withColumn("_hot", F.col("n_jobs") > skew.BLOCK_ROWS)
+        scored = hold(scored).withColumn("_hot", F.col("n_jobs") > skew.BLOCK_ROWS)
         ranked = skew.rank_in_groups(scored, keys, "score", "ord", hot="_hot").drop("_hot")
     return ranked.drop("n_jobs")
 

@@ -50,9 +50,13 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and go on from the written table."""
+    """Write ``df`` once to the shared folder and go on from the written table.
+
+    All tables of an application share one folder, so that what it has left can be
+    dropped as one when the application has ended.
+    """
     spark = df.sparkSession
-    target = f"{scratch_dir(spark)}/table-{uuid.uuid4().hex}"
+    target = f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/table-{uuid.uuid4().hex}"
     df.write.parquet(target)
     return spark.read.schema(df.schema).parquet(target)
 
