@@ -9,15 +9,19 @@ so board-level statistics are built once and only shared terms are corrected:
     dot    = sum over shared terms of tf_r * tf_j * idf(df + 1)^2
     |j|^2  = sum tf_j^2 idf(df)^2 + sum over shared tf_j^2 (idf(df+1)^2 - idf(df)^2)
 
-The empty term is a sentinel carried by every document. Its document frequency
-is the number of jobs of the board, and it matches every job with every paired
-résumé, so jobs that share no word come out of the same join with score 0.
+The empty term is a sentinel carried by every document; its document frequency is
+the number of jobs of the board. Vectors of both sides meet in tiles of bounded
+size, where an inverted list of the tile's terms gives the shared ones.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -226,8 +230,8 @@ def score_jobs(
     term gives score 0 everywhere. The job vectors are written once to the shared
     folder and read by every later step.
 
-    ``top_k`` keeps the best k per pair and builds only jobs that share a term
-    with the résumé, plus the few that can fill up a short list.
+    ``top_k`` keeps the best k per pair; tiles pass on only rows that may be among
+    them, and keywords are worked out for those alone.
     ``keep_idle=False`` leaves out jobs that share no term altogether.
 
     Keyword lists and explanations are whole. Display limits: ``listed`` words in
@@ -290,113 +294,138 @@ def _matches(
     told: tuple[int | None, int | None] = (None, None),
     hold: Callable[[DataFrame], DataFrame] = skew.materialize,
 ) -> DataFrame:
-    """Score, rank, cut to ``top_k``, and only then work out the keywords."""
-    # Fewer than k jobs score above zero when a zero makes the list, and zeros are
-    # taken in listing order: the first 2k jobs of the board hold all of them.
-    idle = 0 if not keep_idle else None if top_k is None else 2 * top_k
-    ranked = rank_matches(_score(jobs, people, idle), top_k, hold)
-    details = with_ranked(jobs).select(
-        "board_id", "ord", "ranked", "idle_top", _each_tile("n_pairs", TILE_RESUMES).alias("rt")
-    )
-    return _words(ranked.join(details, ["board_id", "rt", "ord"]).select("*", _corrected_top().alias("top")), listed, told)
-
-
-def _score(jobs: DataFrame, people: DataFrame, idle: int | None = None) -> DataFrame:
-    """Join both sides tile by tile and score each (résumé, job) pair.
+    """Meet tile by tile, rank, and write the sentences.
 
-    A board of J jobs and R résumés is cut into ceil(J/4096) x ceil(R/256)
-    tiles, so neither a huge board nor a popular one lands in one task. The
-    tile join is a merge join on purpose: exploded sides are far bigger than
-    the table sizes a broadcast decision would be based on.
+    A board of J jobs and R résumés is cut into ceil(J/4096) x ceil(R/256) tiles, so
+    neither a huge board nor a popular one lands in one task. A vector moves once
+    to each of its tiles; terms are not joined as rows.
     """
-    marks = F.array(F.struct(F.lit(SENTINEL).alias("term"), F.lit(0).alias("tf"), F.lit(0).cast("long").alias("df")))
     tile = ["board_id", "jt", "rt"]
-
-    def tiled(rows: DataFrame, terms: Column) -> DataFrame:
-        cut = rows.withColumn("jt", _tile("ord", "n_jobs", TILE_JOBS)).withColumn("rt", _each_tile("n_pairs", TILE_RESUMES))
-        return cut.select(*tile, "ord", "senior", "base2", F.inline(terms).alias("term", "tf_j", "df"))
-
-    weighed = with_norm(jobs)
-    if idle is None:
-        job_terms = tiled(weighed, F.concat(marks, "terms"))
-    else:
-        job_terms = tiled(weighed, F.col("terms"))
-        if idle:
-            place = F.row_number().over(Window.partitionBy("board_id").orderBy("ord"))
-            head = jobs.select("board_id", "ord", place.alias("_place")).filter(F.col("_place") <= idle)
-            filling = weighed.join(head.drop("_place"), ["board_id", "ord"], "left_semi")
-            job_terms = job_terms.unionByName(tiled(filling, marks))
-    person_terms = (
+    left = (
+        jobs.withColumn("jt", _tile("ord", "n_jobs", TILE_JOBS))
+        .withColumn("rt", _each_tile("n_pairs", TILE_RESUMES))
+        .select(*tile, "ord", "senior", "terms")
+    )
+    right = (
         people.withColumn("rt", _tile("resume_id", "n_pairs", TILE_RESUMES))
         .withColumn("jt", _each_tile("n_jobs", TILE_JOBS))
-        .select(
-            *tile, "resume_id", "n_jobs", "norm2", "years", "top",
-            F.inline(F.concat(marks, "terms")).alias("term", "tf_r", "_df"),
-        )
-        .withColumn("in_top", F.array_contains("top", F.col("term")))
-        .drop("top", "_df")
+        .select(*tile, "resume_id", "years", "n_jobs", "norm2", "terms", "top")
     )
-    raised = idf(F.col("n_jobs"), F.col("df") + 1)
-    plain = idf(F.col("n_jobs"), F.col("df"))
-    real = F.col("term") != SENTINEL
-    hit = F.struct((-F.round(F.col("tf_j") * raised, WEIGHT_DIGITS)).alias("nw"), F.col("term").alias("term"), "in_top")
-    pair = ["board_id", "rt", "ord", "resume_id"]
-    summed = (
-        job_terms.hint("merge")
-        .join(person_terms, [*tile, "term"])
-        .select(
-            *pair, "n_jobs", "senior", "base2", "norm2", "years",
-            F.when(real, F.col("tf_r") * F.col("tf_j") * raised * raised).otherwise(0.0).alias("dot"),
-            F.when(real, F.pow("tf_j", F.lit(2.0)) * (raised * raised - plain * plain)).otherwise(0.0).alias("shift"),
-            F.when(real, hit).alias("hit"),
-        )
-        .repartition("board_id", "resume_id", "ord")
-        .groupBy(*pair)
-        .agg(
-            *[F.max(c).alias(c) for c in ("n_jobs", "senior", "base2", "norm2", "years")],
-            F.sum("dot").alias("dot"),
-            F.sum("shift").alias("shift"),
-            F.collect_list("hit").alias("shared"),
-        )
+    kinds = {f: people.schema[f].dataType.simpleString() for f in ("board_id", "resume_id")}
+    schema = (
+        f"board_id {kinds['board_id']}, resume_id {kinds['resume_id']}, ord bigint, n_jobs bigint, senior boolean, years double, "
+        "cosine double, matched array<string>, missing array<string>"
+    )
+    met = left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInArrow(
+        functools.partial(_meet, top_k=top_k, keep_idle=keep_idle), schema
     )
-    norm = F.sqrt(F.col("norm2") * (F.col("base2") + F.col("shift")))
-    scored = summed.select(*pair, "n_jobs", "senior", "years", "shared", F.when(norm > 0, F.col("dot") / norm).otherwise(0.0).alias("cosine"))
     penalty = F.when(F.col("senior") & (F.col("years") < 3), 0.4).otherwise(1.0)
-    return scored.select(
-        *pair,
-        "n_jobs",
-        "shared",
+    scored = met.select(
+        "resume_id", "board_id", "ord", "n_jobs", "matched", "missing",
         F.bround("cosine", 4).alias("score"),
         F.least(F.lit(100), F.bround(F.col("cosine") * 200 * penalty).cast("int")).alias("score_pct"),
-    )
+    )
+    return _words(rank_matches(scored, top_k, hold), listed, told)
 
 
-def _corrected_top() -> Column:
-    """Top terms of the job once the résumé counts as a document of the board.
+def _vectors(column: pa.ChunkedArray, weight: str) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Lengths of the term lists, their terms end to end, and one of their numbers."""
+    lists = column.combine_chunks()
+    items = lists.flatten()
+    return pc.list_value_length(lists).to_numpy(zero_copy_only=False), items.field("term"), items.field(weight).to_numpy(zero_copy_only=False)
 
-    Shared terms only lose weight, so a term of the corrected top sits at most
-    size(shared) places lower in the board-level order.
-    """
-    prefix = F.slice("ranked", 1, F.size("shared") + rules.JOB_TOP_TERMS)
-    names = F.transform("shared", lambda t: t["term"])
-    others = text.let(names, lambda seen: F.filter(prefix, lambda t: ~F.array_contains(seen, t["term"])))
-    unshared = F.transform(others, lambda t: F.struct(t["nw"], t["term"], F.lit(False).alias("in_top")))
-    corrected = F.slice(F.sort_array(F.concat("shared", unshared)), 1, rules.JOB_TOP_TERMS)
-    return F.when(F.size("shared") == 0, F.col("idle_top")).otherwise(corrected)
 
+def _meet(key: tuple, jobs: pa.Table, people: pa.Table, top_k: int | None, keep_idle: bool) -> pa.Table:
+    """Scores and keywords of all pairs in a tile, or of those that may be among the best ``top_k``.
 
-def _words(row: DataFrame, listed: int | None = None, told: tuple[int | None, int | None] = (None, None)) -> DataFrame:
-    """Keyword lists and explanation from the corrected top terms; see ``score_jobs`` for the limits."""
+    Posting lists of the tile's terms give a résumé its shared terms directly; only
+    those are corrected. Sorting for keywords is done for the rows that stay.
+    """
+    names = ["board_id", "resume_id", "ord", "n_jobs", "senior", "years", "cosine", "matched", "missing"]
+    columns: list[list] = [[] for _ in names]
+    if jobs.num_rows and people.num_rows:
+        n = people["n_jobs"][0].as_py()
+        sizes, terms, tf = _vectors(jobs["terms"], "tf")
+        df = _vectors(jobs["terms"], "df")[2].astype(float)
+        coded = terms.dictionary_encode()
+        # Numbers in the order of names, so that they break ties and sort lists.
+        names_of = coded.dictionary.to_pylist()
+        order = sorted(range(len(names_of)), key=lambda i: names_of[i].encode())
+        words = [names_of[i] for i in order]
+        number = {w: i for i, w in enumerate(words)}
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        term = place[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.empty(0, np.int64)
+        job = np.repeat(np.arange(len(sizes)), sizes)
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        plain = tf * (np.log((n + 2.0) / (df + 1.0)) + 1.0)
+        raised = np.log((n + 2.0) / (df + 2.0)) + 1.0
+        base2 = np.bincount(job, weights=plain * plain, minlength=len(sizes))
+        postings = np.argsort(term, kind="stable")
+        first = np.searchsorted(term[postings], np.arange(len(words) + 1))
+        ords = jobs["ord"].to_numpy()
+        senior = jobs["senior"].to_pylist()
+
+        def best_terms(j: int, own: dict[int, float]) -> np.ndarray:
+            """Terms of a job by weight, the best ones; ``own`` are corrected weights by position."""
+            at = np.arange(starts[j], starts[j + 1])
+            weight = plain[at]
+            for i, w in own.items():
+                weight[i - starts[j]] = w
+            return at[np.lexsort((term[at], -np.round(weight, WEIGHT_DIGITS)))[: rules.JOB_TOP_TERMS]]
+
+        alone: dict[int, list[str]] = {}
+        for person in people.select(["resume_id", "years", "norm2", "terms", "top"]).to_pylist():
+            known = [(number[t["term"]], t["tf"]) for t in person["terms"] if t["term"] in number]
+            hits = np.concatenate([postings[first[c] : first[c + 1]] for c, _ in known] or [np.empty(0, np.int64)])
+            count = np.concatenate([np.full(first[c + 1] - first[c], f, float) for c, f in known] or [np.empty(0)])
+            at = job[hits]
+            dot = np.bincount(at, weights=count * tf[hits] * raised[hits] ** 2, minlength=len(sizes))
+            moved = (tf[hits] * raised[hits]) ** 2 - plain[hits] ** 2
+            norm = np.sqrt(np.maximum(person["norm2"] * (base2 + np.bincount(at, weights=moved, minlength=len(sizes))), 0))
+            cosine = np.where(norm > 0, dot / np.where(norm > 0, norm, 1), 0.0)
+            busy = np.zeros(len(sizes), bool)
+            busy[at] = True
+            rows = np.arange(len(sizes)) if keep_idle else np.flatnonzero(busy)
+            if top_k is not None and len(rows) > top_k:
+                # Ranks go by rounded scores: whatever may round up to the last place stays, zeros by listing order.
+                least = np.partition(cosine[rows], -top_k)[-top_k]
+                zeros = rows[cosine[rows] == 0]
+                rows = np.concatenate([
+                    rows[(cosine[rows] > 0) & (cosine[rows] >= least - 1e-4)],
+                    zeros[np.argsort(ords[zeros], kind="stable")[:top_k]],
+                ])
+            corrected: dict[int, dict[int, float]] = {}
+            wanted = np.zeros(len(sizes), bool)
+            wanted[rows] = True
+            for i in hits[wanted[at]].tolist():
+                corrected.setdefault(int(job[i]), {})[i] = tf[i] * raised[i]
+            top = {number[t] for t in person["top"] if t in number}
+            for j in rows.tolist():
+                if j in corrected:
+                    best = sorted(term[best_terms(j, corrected[j])].tolist())
+                    shared = {int(term[i]) for i in corrected[j]} & top
+                    matched = [words[t] for t in best if t in shared]
+                    missing = [words[t] for t in best if t not in shared]
+                else:
+                    if j not in alone:
+                        alone[j] = [words[t] for t in sorted(term[best_terms(j, {})].tolist())]
+                    matched, missing = [], alone[j]
+                row = (key[0].as_py(), person["resume_id"], int(ords[j]), n, senior[j], person["years"], float(cosine[j]), matched, missing)
+                for column, value in zip(columns, row, strict=True):
+                    column.append(value)
+    kinds = [jobs.schema.field("board_id").type if "board_id" in jobs.column_names else key[0].type, people.schema.field("resume_id").type]
+    kinds += [pa.int64(), pa.int64(), pa.bool_(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.string())]
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+
+def _words(ranked: DataFrame, listed: int | None = None, told: tuple[int | None, int | None] = (None, None)) -> DataFrame:
+    """Keyword lists and explanation; see ``score_jobs`` for the limits."""
 
     def shown(words: str) -> Column:
         return F.slice(words, 1, listed) if listed else F.col(words)
 
-    def pick(wanted: bool) -> Column:
-        chosen = F.filter("top", lambda t: t["in_top"] == F.lit(wanted))
-        return F.sort_array(F.transform(chosen, lambda t: t["term"]))
-
-    lists = row.select("*", pick(True).alias("matched"), pick(False).alias("missing"))
-    return lists.select(
+    return ranked.select(
         "resume_id",
         "board_id",
         "ord",
