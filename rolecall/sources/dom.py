@@ -9,6 +9,7 @@ descendants of an element are a slice of ``nodes``, its text a slice of
 from __future__ import annotations
 
 import html as html_lib
+import itertools
 from collections.abc import Iterator
 from html.entities import html5
 from html.parser import HTMLParser
@@ -154,6 +155,15 @@ def tree(html: str) -> tuple[list[dict], list[dict]]:
     return page.nodes, page.texts
 
 
+def _lists(rows: list[list[dict]], kind: pa.StructType) -> pa.ListArray:
+    """Lists of structs, built one field at a time."""
+    flat = [item for row in rows for item in row]
+    ends = list(itertools.accumulate(map(len, rows), initial=0))
+    fields = [pa.array([item[f.name] for item in flat], f.type) for f in kind]
+    items = pa.StructArray.from_arrays(fields, fields=list(kind))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)
+
+
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Parse page by page, giving rows back in small batches to bound memory."""
     for batch in batches:
@@ -166,8 +176,8 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             pages.append(tree(text))
             size += len(text or "")
             if size >= BATCH_CHARS or row == batch.num_rows - 1:
-                nodes = pa.array([p[0] for p in pages], pa.list_(_NODE))
-                texts = pa.array([p[1] for p in pages], pa.list_(_TEXT))
+                nodes = _lists([p[0] for p in pages], _NODE)
+                texts = _lists([p[1] for p in pages], _TEXT)
                 keys = rest.slice(start, len(pages))
                 yield pa.RecordBatch.from_arrays(
                     [*keys.columns, nodes, texts], names=[*keys.schema.names, "nodes", "texts"]
