@@ -74,17 +74,14 @@ def heading_text(spark, sf):
     return parsed.select("page_id", pg.Page(F.col("nodes"), F.col("texts")).text_of("h1").alias("heading"))
 
 
-SPA_SQL = rules.SPA_MARKER.replace("'", "''")
-
-
-@query(
-    "spa_marker",
-    f"""SELECT page_id, regexp_matches(substring(CASE WHEN page_id % 3 = 0 THEN '<div id="app"></div>' ELSE '' END || html, 1, 10000),
-        '{SPA_SQL}') AS spa FROM pages""",
-)
+@query("spa_marker", "SELECT page_id, page_id % 3 <> 2 AS spa FROM pages")
 def spa_marker(spark, sf):
-    shell = F.when(P() % 3 == 0, '<div id="app"></div>').otherwise("")
-    return table(spark, sf, "pages").select("page_id", discover.is_spa(F.concat(shell, F.col("html"))).alias("spa"))
+    """A marker at the start of one third of the pages, far behind the start of another; the rest has none."""
+    shell = F.lit('<div id="app"></div>')
+    html = F.when(P() % 3 == 0, F.concat(shell, F.col("html"))).when(
+        P() % 3 == 1, F.concat(F.col("html"), F.repeat(F.lit("<!-- -->"), 2000), shell)
+    ).otherwise(F.col("html"))
+    return table(spark, sf, "pages").select("page_id", discover.is_spa(html).alias("spa"))
 
 
 @query(

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rolecall import rules
 from rolecall.functions import urls
 from rolecall.operators import discover
 
@@ -69,16 +68,17 @@ def base_url(spark, sf):
 
 @query(
     "is_careers_url",
-    WITH + f" SELECT request_id, regexp_matches(full_url, '{rules.BOARD_DOMAINS}') OR regexp_matches({PATH}, '{rules.CAREERS_PATH}') AS careers FROM full_urls",
+    WITH + " SELECT request_id, request_id % 9 <> 8 AS careers FROM requests",  # all templates but the bare site
 )
 def is_careers_url(spark, sf):
     return full_urls(spark, sf).select("request_id", urls.is_careers_url(F.col("full_url")).alias("careers"))
 
 
-ATS_SQL = "CASE " + " ".join(f"WHEN regexp_matches({{c}}, '{p}') THEN '{n}'" for n, p in rules.ATS_URL_PATTERNS) + " ELSE 'generic' END"
+# Board types of the templates, by hand.
+ATS_SQL = "['greenhouse', 'lever', 'ashby', 'workday', 'avature', 'oracle_hcm', 'ibm', 'generic', 'generic'][request_id % 9 + 1]"
 
 
-@query("detect_ats", WITH + f" SELECT request_id, {ATS_SQL.format(c='full_url')} AS ats FROM full_urls")
+@query("detect_ats", WITH + f" SELECT request_id, {ATS_SQL} AS ats FROM requests")
 def detect_ats(spark, sf):
     return full_urls(spark, sf).select("request_id", urls.detect_ats(F.col("full_url")).alias("ats"))
 
@@ -105,7 +105,10 @@ def url_base_pattern(spark, sf):
 
 @query(
     "is_job_url",
-    WITH + f" SELECT request_id, (request_id % 2 = 0) AND regexp_matches(full_url, '{rules.JOB_URL}') AS job FROM full_urls",
+    # The lever template has no job word, only a number that counts from five digits on.
+    WITH
+    + """ SELECT request_id, request_id % 2 = 0 AND request_id % 9 <> 8
+          AND (request_id % 9 NOT IN (1, 2) OR request_id % 9 = 1 AND request_id >= 10000) AS job FROM requests""",
 )
 def is_job_url(spark, sf):
     domain = F.when(F.col("request_id") % 2 == 0, urls.netloc(F.col("full_url"))).otherwise("elsewhere.example.com")
@@ -161,23 +164,27 @@ def self_hosted_href(spark, sf):
 
 @query(
     "strip_fragment_and_embed",
-    WITH + " SELECT request_id, split_part(full_url, '#', 1) AS no_fragment, split_part(full_url, '#', 1) AS no_embed FROM full_urls",
+    WITH
+    + """ SELECT request_id, split_part(full_url, '#', 1) AS no_fragment, split_part(full_url, '#', 1) AS no_embed FROM full_urls""",
 )
 def strip_fragment_and_embed(spark, sf):
     bare = urls.strip_fragment(F.col("full_url"))
     return full_urls(spark, sf).select(
         "request_id",
         bare.alias("no_fragment"),
-        urls.strip_embed(F.concat(bare, F.lit("/embed"))).alias("no_embed"),
+        urls.strip_embed(F.concat(bare, F.when(F.col("request_id") % 2 == 0, "/embed").otherwise(""))).alias("no_embed"),
     )
 
 
 @query(
     "crawl_plan",
     WITH
-    + ", plans(ats, strategy, ai_targeted, browser, network_idle) AS (VALUES "
-    + ", ".join(f"('{a}', '{s}', {x}, {b}, {n})" for a, s, x, b, n in rules.CRAWL_STRATEGIES)
-    + f") SELECT request_id, full_url AS careers_url, p.* FROM full_urls JOIN plans p ON p.ats = {ATS_SQL.format(c='full_url')}",
+    + f""", plans(ats, strategy, ai_targeted, browser, network_idle) AS (VALUES
+          ('greenhouse', 'standard', true, false, false), ('lever', 'standard', true, false, false),
+          ('avature', 'standard', true, false, false), ('ashby', 'browser', true, true, true),
+          ('workday', 'browser', true, true, true), ('oracle_hcm', 'scroll', false, true, true),
+          ('ibm', 'paginate', false, true, true), ('generic', 'generic', false, false, true))
+        SELECT request_id, full_url AS careers_url, p.* FROM full_urls JOIN plans p ON p.ats = {ATS_SQL}""",
 )
 def crawl_plan(spark, sf):
     careers = full_urls(spark, sf).select("request_id", F.col("full_url").alias("careers_url"))
@@ -188,8 +195,9 @@ def crawl_plan(spark, sf):
     "candidate_paths",
     WITH
     + f", bases AS (SELECT DISTINCT split_part(full_url, '://', 1) || '://' || {HOST} AS base FROM full_urls), "
-    + "paths(path_ord, path) AS (VALUES " + ", ".join(f"({i}, '{p}')" for i, p in enumerate(rules.CANDIDATE_PATHS))
-    + ") SELECT base, path_ord, base || path AS candidate FROM bases, paths",
+    + """paths(path_ord, path) AS (VALUES (0, '/careers'), (1, '/jobs'), (2, '/work-with-us'), (3, '/join-us'),
+         (4, '/about/careers'), (5, '/company/careers'), (6, '/company/jobs'), (7, '/en/careers'), (8, '/en/jobs'))
+         SELECT base, path_ord, base || path AS candidate FROM bases, paths""",
 )
 def candidate_paths(spark, sf):
     return discover.candidate_paths(full_urls(spark, sf).select("base").distinct())
