@@ -63,6 +63,34 @@ def test_page_prefix_and_scroll(spark):
     assert discover.scroll_stop(long, rules.MAX_SCROLL_ROUNDS).first().stop_round == rules.MAX_SCROLL_ROUNDS
 
 
+def test_several_snapshots_are_one_page(spark):
+    """Two homepages of a site, two snapshots of a board, and a text per board type."""
+    link = lambda href: f'<p><a href="{href}">Careers</a></p>'
+    homes = [(1, "https://x.org", link("/careers-here")), (2, "https://x.org", link("/careers"))]
+    home = dom.parse(spark.createDataFrame(homes, "page_id LONG, base STRING, html STRING"), ("page_id", "base"))
+    asked = spark.createDataFrame([(1, "x.org")], tables.REQUESTS)
+    none = spark.createDataFrame([], "candidate STRING, status INT, final_url STRING")
+    got = discover.careers_urls(asked, none, home).collect()
+    assert [(r.careers_url, r.via) for r in got] == [("https://x.org/careers", "link")]
+
+    html = "".join(f'<div class="posting"><a class="posting-title" href="/j/{i}"><h5>Job {i}</h5></a></div>' for i in range(2))
+    shots = [(i, "https://jobs.lever.co/c", "board", html) for i in (5, 6)]
+    snapshots = spark.createDataFrame(shots, "page_id LONG, url STRING, stage STRING, html STRING")
+    careers = spark.createDataFrame([("https://jobs.lever.co/c", "lever")], "careers_url STRING, ats STRING")
+    found, _ = plan.listings(careers, snapshots, "by_ats")
+    assert sorted((r.board_id, r.ord) for r in found.collect()) == [("https://jobs.lever.co/c", 1), ("https://jobs.lever.co/c", 2)]
+
+    jobs = [("b", 0, "A", "", "", "u", "lever"), ("c", 0, "A", "", "", "u", "ibm")]
+    listed = spark.createDataFrame(jobs, tables.LISTINGS + ", ats STRING")
+    details = spark.createDataFrame([("u", "lever", "of lever"), ("u", "ibm", "an ibm text")], "url STRING, ats STRING, detail STRING")
+    assert {r.board_id: r.description for r in enrich.descriptions(listed, details).collect()} == {"b": "of lever", "c": "an ibm text"}
+
+
+def test_odd_declarations_hide_nothing():
+    nodes, _ = dom.tree('<a href="1">x</a><![weird stuff]><![if IE]><a href="2">y</a><![endif]><![CDATA[z]]><a href="3">w</a>')
+    assert [n["href"] for n in nodes if n["tag"] == "a"] == ["1", "2", "3"]
+
+
 def test_descriptions_by_url(spark):
     long = "x" * 120
     rows = [("b", 0, "A", "", "", "u1"), ("b", 1, "B", long, "", "u1"), ("b", 2, "C", "", "", "u1"), ("b", 3, "D", long, "", "u2"),

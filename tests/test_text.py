@@ -39,9 +39,10 @@ def test_seniority(spark):
 
 def test_explanation(spark):
     words = lambda *w: F.array(*[F.lit(x) for x in w]) if w else F.array().cast("array<string>")
-    say = lambda p, a, b: one(spark, text.explain(F.lit(p), a, b))
+    say = lambda p, a, b, *shown: one(spark, text.explain(F.lit(p), a, b, *shown))
     assert say(75, words(), words()) == "Strong match (75%)."
     assert say(50, words("a"), words()) == "Moderate match (50%). Shared skills: a."
-    assert say(49, words(*"abcdefghi"), words(*"uvwxyz")) == (
+    assert say(49, words(*"abcdefghi"), words(*"uvwxyz"), 8, 5) == (
         "Weak match (49%). Shared skills: a, b, c, d, e, f, g, h. Gap areas: u, v, w, x, y."
     )
+    assert say(10, words(), words(*"uvwxyz")) == "Weak match (10%). Gap areas: u, v, w, x, y, z."
