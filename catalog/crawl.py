@@ -10,7 +10,7 @@ from rolecall.sources import dom
 
 from . import recipes
 from .registry import query, table
-from .urls import ATS_SQL, HOST, WITH, full_urls, requests  # noqa: F401
+from .urls import HOST, WITH, full_urls, requests
 
 PATHS_SQL = "paths(path_ord, path) AS (VALUES " + ", ".join(f"({i}, '{p}')" for i, p in enumerate(rules.CANDIDATE_PATHS)) + ")"
 # Every site answers each candidate path, or not, by its name length and key.

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rolecall import rules
 from rolecall.functions import page as pg
-from rolecall.functions import urls
 from rolecall.operators import boards, discover, enrich, extract
 from rolecall.sources import dom, tables
 
