@@ -6,7 +6,8 @@ import re
 import numpy as np
 import xxhash
 
-from rolecall.llm import components, decontaminate, exactdedup, linededup, queries, simhash
+import corpus_pipeline
+from rolecall.llm import components, decontaminate, exactdedup, linededup, nearsets, queries, simhash
 
 
 def distance(a, b):
@@ -135,6 +136,51 @@ def test_near_dedup_keeps_one(spark):
     assert sorted(r.doc_id for r in left.collect()) == [1, 3, 8]
 
 
+def test_near_sets_join_all_pairs_at_the_similarity(spark, monkeypatch):
+    random.seed(12)
+    vocabulary = [f"w{i}" for i in range(300)]
+    texts = [None, "", " ", "one two", "One  two"]
+    for _ in range(40):
+        words = random.choices(vocabulary, k=random.randint(3, 150))
+        for _ in range(random.randint(1, 4)):
+            copy = list(words)
+            for _ in range(random.randint(0, 4)):
+                copy[random.randrange(len(copy))] = "new" + random.choice(vocabulary)
+            texts.append(" ".join(copy))
+    # One large group of near copies, and a passage that stands in very different texts.
+    base = random.choices(vocabulary, k=120)
+    texts += [" ".join([*base[:i], "x", *base[i:]]) for i in range(60)]
+    texts += [" ".join(base[:20] + random.choices(vocabulary, k=40)) for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(t) for t in texts]
+    roots, linked = list(range(len(sets))), 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                linked += 1
+                old, new = max(roots[i], roots[j]), min(roots[i], roots[j])
+                roots = [new if r == old else r for r in roots]
+    assert linked > 60
+    read = lambda: {r.doc_id: r.component_id for r in nearsets.classes(docs).collect()}
+    assert read() == dict(enumerate(roots))
+    monkeypatch.setattr(nearsets, "BLOCK", 7)  # a hot shingle in several blocks
+    monkeypatch.setattr(nearsets, "SENT_NODES", 0)
+    assert read() == dict(enumerate(roots))
+
+
+def test_near_dedup_stage_reaches_similarity_eight_tenths(spark):
+    words = [f"w{i}" for i in range(200)]
+    near = [*words[:50], "x", *words[51:110], "y", *words[111:150], "z", *words[151:]]  # 181 of 211 shingles: 0.86
+    docs = [(1, " ".join(words)), (2, " ".join(near))]
+    left = corpus_pipeline.near_dedup(spark, spark.createDataFrame(docs, "doc_id long, text string"), "")
+    assert [r.doc_id for r in left.collect()] == [1]
+
+
 def test_exact_dedup_has_no_false_alarms_or_misses(sf, spark):
     random.seed(8)
     texts = [random.choice(["a b", "ab", "a\tb ", "c", None, "", " ", f"t{i}"]) for i in range(500)]
