@@ -10,9 +10,10 @@ A search answers each window of test words in every shard: the posting lists of
 its words are moved by the words' offsets and intersected, from the rarest term
 in that shard to the most common, until nothing is left or all words have been
 met. What remains are exact phrase matches, with no look at the texts. Windows
-that only come near (the terms that are rarest in the benchmark stand within
-``SLACK`` words of their places, and the document has no exact match of the
-item) are proximity matches.
+that only come near (all but ``MISSED`` of 13 terms, in proportion for shorter
+ones, stand in order within ``SLACK`` words of their places, and the document has
+no exact match of the item) are proximity matches. They are looked for from each
+of the rarest terms in the shard, one more than may be missed, so none gets lost.
 
 The test side is sent to executors in blocks of at most ``BLOCK_WORDS`` words;
 a larger benchmark is searched block by block and the hits are merged.
@@ -20,7 +21,7 @@ a larger benchmark is searched block by block and the hits are merged.
 
 from __future__ import annotations
 
-from collections import Counter
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,8 +45,9 @@ from rolecall.operators.skew import materialize
 #: Words of a window, and words of the benchmark that are searched for at once.
 WINDOW = 13
 BLOCK_WORDS = 1_000_000
-#: A proximity match: so many of a window's rarest terms, each at most SLACK words from its place.
-NEAR_TERMS = 5
+#: A proximity match: all but so many of a window's terms in order, each at most SLACK words from its place.
+#: With these values a match can't reach over the ``WINDOW`` numbers between documents.
+MISSED = 3
 SLACK = 3
 #: Characters of documents in a shard.
 SHARD_CHARS = 8_000_000
@@ -125,8 +127,7 @@ def build_index(docs: DataFrame, terms: dict[bytes, int], text: str = "text", do
 
 
 def windows_of(block: list[tuple[int, list[bytes]]], terms: dict[bytes, int]) -> list[tuple]:
-    """Distinct windows as term numbers, with the places of their items and the offsets of their rarest terms."""
-    counts = Counter(terms[w] for _, words in block for w in words)
+    """Distinct windows as term numbers, with the places of their items."""
     windows: dict[tuple[int, ...], list[int]] = {}
     for place, (_, words) in enumerate(block):
         numbers = [terms[w] for w in words]
@@ -134,8 +135,7 @@ def windows_of(block: list[tuple[int, list[bytes]]], terms: dict[bytes, int]) ->
             owners = windows.setdefault(tuple(numbers[i : i + WINDOW]), [])
             if not owners or owners[-1] != place:
                 owners.append(place)
-    rarest = lambda w: sorted(range(len(w)), key=lambda k: (counts[w[k]], k))[:NEAR_TERMS]
-    return [(w, owners, rarest(w) if len(w) > NEAR_TERMS else []) for w, owners in windows.items()]
+    return list(windows.items())
 
 
 def intersect(window: tuple[int, ...], lists: dict[int, np.ndarray]) -> np.ndarray:
@@ -151,20 +151,61 @@ def intersect(window: tuple[int, ...], lists: dict[int, np.ndarray]) -> np.ndarr
     return starts
 
 
-def nearby(window: tuple[int, ...], rarest: list[int], lists: dict[int, np.ndarray]) -> np.ndarray:
-    """Starts around which the window's rarest terms all stand within SLACK words of their places."""
-    if not rarest or not all(window[k] in lists for k in rarest):
+def nearby(window: tuple[int, ...], lists: dict[int, np.ndarray]) -> np.ndarray:
+    """Positions, one for each place where enough of the window's terms stand in order within SLACK words of theirs."""
+    missed = MISSED * len(window) // WINDOW
+    present = [k for k, t in enumerate(window) if t in lists]
+    spare = missed - (len(window) - len(present))
+    if spare < 0:
         return np.empty(0, "i8")
-    starts = lists[window[rarest[0]]] - rarest[0]
-    for k in rarest[1:]:
+    present.sort(key=lambda k: len(lists[window[k]]))
+    # At most ``spare`` of the terms in the shard are missed: one of the rarest spare + 1 is met.
+    starts = np.concatenate([lists[window[k]] - k for k in present[: spare + 1]])
+    # Seen from a met term's own place, other terms may be off by twice the slack: few places are left by that.
+    starts = _met(starts, present, window, lists, 2 * SLACK, spare)
+    if not len(starts):
+        return starts
+    starts = np.unique(starts[:, None] + np.arange(-SLACK, SLACK + 1))
+    starts = _met(starts, present, window, lists, SLACK, spare)
+    need = len(window) - missed
+    ends = [in_order(int(s), window, lists, need) for s in starts]
+    return np.array([e for e in ends if e is not None], "i8")
+
+
+def _met(
+    starts: np.ndarray, terms: list[int], window: tuple[int, ...], lists: dict[int, np.ndarray], slack: int, spare: int
+) -> np.ndarray:
+    """Starts that miss at most ``spare`` of the window's ``terms`` within ``slack`` words of their places."""
+    lost = np.zeros(len(starts), "i8")
+    for i, k in enumerate(terms):
         if not len(starts):
             break
         other = lists[window[k]]
-        at = np.searchsorted(other, starts + k - SLACK)
-        starts = starts[(at < len(other)) & (other[np.minimum(at, len(other) - 1)] <= starts + k + SLACK)]
+        at = np.searchsorted(other, starts + (k - slack))
+        lost += (at == len(other)) | (other[np.minimum(at, len(other) - 1)] > starts + (k + slack))
+        if i >= spare:
+            left = lost <= spare
+            starts, lost = starts[left], lost[left]
     return starts
 
 
+def in_order(start: int, window: tuple[int, ...], lists: dict[int, np.ndarray], need: int) -> int | None:
+    """Position of a term in a chain of ``need`` ascending positions near the places from ``start`` on; None without."""
+    best: list[int] = []  # smallest end of a chain of each length
+    for k, term in enumerate(window):
+        if term not in lists:
+            continue
+        other = lists[term]
+        a, b = np.searchsorted(other, (start + k - SLACK, start + k + SLACK + 1))
+        for p in other[a:b][::-1].tolist():
+            at = bisect_left(best, p)
+            if at == len(best):
+                best.append(p)
+            else:
+                best[at] = p
+    return best[need - 1] if len(best) >= need else None
+
+
 def merge_spans(starts: np.ndarray, ends: np.ndarray) -> list[dict[str, int]]:
     """Union of intervals as ascending disjoint ones."""
     order = np.argsort(starts, kind="stable")
@@ -191,11 +232,11 @@ def search(index: DataFrame, block: list[tuple[int, list[bytes]]], terms: dict[b
                 found: dict[int, list] = {}
                 near: dict[int, set[int]] = {}
                 document = lambda starts, bases=bases: (np.searchsorted(bases, np.maximum(starts, 0), "right") - 1).tolist()
-                for window, owners, rarest in queries:
+                for window, owners in queries:
                     starts = intersect(window, lists) if all(t in lists for t in window) else ()
                     for start, d in zip(list(starts), document(starts) if len(starts) else (), strict=True):
                         found.setdefault(d, []).append((start, start + len(window), owners))
-                    for d in set(document(nearby(window, rarest, lists))):
+                    for d in set(document(nearby(window, lists))):
                         near.setdefault(d, set()).update(owners)
                 columns: list[list] = [[], [], [], [], []]
                 for d, (doc, n) in enumerate(zip(shard["doc_ids"], shard["n_words"], strict=True)):

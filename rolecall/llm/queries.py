@@ -99,6 +99,13 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that every document comes near without an exact match of them."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate.matches(documents(spark, sf_dir, "doc_id", "text"), benchmark)
+    return found.select("doc_id", F.array_join("near_items", ",").alias("near_items"))
+
+
 OP6_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -185,6 +192,7 @@ QUERIES = {
     "op4_linededup": op4_linededup,
     "op5_exactdedup": op5_exactdedup,
     "op6_decontaminate": op6_decontaminate,
+    "op6_near": op6_near,
     "op7_chat": op7_chat,
     "op8_simhash": op8_simhash,
     "op9_pii": op9_pii,

@@ -242,6 +242,46 @@ def test_proximity(spark):
     assert got[2][0] == []
 
 
+def near_by_hand(words, window):
+    """Whether 10 of 13 terms (in proportion) stand in order within 3 words of their places, by dynamic programming."""
+    need = len(window) - 3 * len(window) // 13
+    for start in range(-9, len(words)):
+        ends = {}  # longest chain by its last position
+        for k, w in enumerate(window):
+            fits = [p for p in range(max(0, start + k - 3), min(len(words), start + k + 4)) if words[p] == w]
+            ends |= {p: max([ends.get(p, 0)] + [1 + n for q, n in ends.items() if q < p] + [1]) for p in reversed(fits)}
+        if max(ends.values(), default=0) >= need:
+            return True
+    return False
+
+
+def test_near_items_are_those_by_hand(sf, spark, monkeypatch):
+    random.seed(14)
+    vocabulary = [f"v{i}" for i in range(60)]
+    items = [(i, " ".join(random.choices(vocabulary, k=random.choice([2, 5, 9, 13, 16])))) for i in range(25)]
+    docs = [(0, items[0][1])]
+    for d in range(1, 120):
+        words = random.choice(items)[1].split()
+        for _ in range(random.randint(1, 4)):
+            at = random.randrange(len(words))
+            words[at : at + random.randint(0, 1)] = random.choice([[], ["new"], ["a", "b"]])
+            words = words or ["x"]
+        docs.append((d, " ".join(random.choices(vocabulary, k=random.randint(0, 6)) + words)))
+    exact = {d: set(found) for d, (_, _, found, _) in windows_by_hand(docs, items)}
+    want = {}
+    for d, t in docs:
+        near = set()
+        for i, x in items:
+            w = x.split()
+            if any(near_by_hand(t.split(), w[j : j + 13]) for j in range(max(1, len(w) - 12))):
+                near.add(i)
+        want[d] = sorted(near - exact[d])
+    monkeypatch.setattr(decontaminate, "SHARD_CHARS", 700)
+    folder = sf(documents=[(d, t, "en", "s", 1) for d, t in docs], benchmark=items)
+    got = {r.doc_id: [int(i) for i in r.near_items.split(",") if i] for r in queries.op6_near(spark, folder).collect()}
+    assert got == want and sum(map(bool, want.values())) > 30
+
+
 def test_op4_and_op8_queries(sf, spark):
     folder = sf(documents=[(1, "one line that is surely long enough\nshort", "en", "s", 1), (2, "one line that is surely long enough", "en", "s", 1)])
     lines = {r.doc_id: (r.n_lines, r.n_repeated, r.n_near) for r in queries.op4_linededup(spark, folder).collect()}
