@@ -8,16 +8,19 @@ from pyspark.sql import functions as F
 
 from rolecall.llm import (
     bpe,
+    centroids,
     chat,
     decontaminate,
     exactdedup,
     langid,
     licenses,
     linededup,
+    oracles,
     pii,
     planted_chat,
     secrets,
     simhash,
+    spelling,
 )
 
 #: Vocabulary of operator 1; a path on the driver, its content is sent to executors.
@@ -178,6 +181,26 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every usable vector, with the inertia of its cluster and of all."""
+    found = centroids.fit(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    rows = [(c, found.inertia[c], ",".join(map(str, x))) for c, x in enumerate(found.centroids)]
+    each = spark.createDataFrame(rows, "cluster int, cluster_inertia bigint, components string")
+    return found.members.join(F.broadcast(each), "cluster").select(
+        F.col("id").alias("vec_id"),
+        "cluster",
+        "distance",
+        "cluster_inertia",
+        F.lit(sum(found.inertia)).cast("bigint").alias("inertia"),
+        F.sha2("components", 256).alias("centroid_sha256"),
+    )
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, form and root of every word."""
+    return spelling.variants(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline over all documents."""
     import corpus_pipeline  # it imports this module
@@ -197,6 +220,8 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_pii": op9_pii,
     "op10_langid": op10_langid,
+    "op11_centroids": op11_centroids,
+    "op13_spelling": op13_spelling,
     "pipeline": pipeline,
 }
 
@@ -204,4 +229,6 @@ ORACLES: dict[str, str] = {
     "op5_exactdedup": OP5_SQL,
     "op6_decontaminate": OP6_SQL,
     "op7_chat": planted_chat.SQL,
+    "op11_centroids": oracles.OP11_SQL,
+    "op13_spelling": oracles.OP13_SQL,
 }
