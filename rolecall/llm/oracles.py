@@ -31,28 +31,27 @@ SELECT vec_id, best.c::INTEGER AS cluster, best.d AS distance,
 FROM near4 JOIN centroids3 m ON m.c = best.c
 """
 
-#: Windows are told apart by their hexadecimal text, two digits a byte.
+#: Windows are told apart by their MD5.
 OP12_SQL = """
-WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+WITH d AS MATERIALIZED (SELECT doc_id, encode(coalesce(text, '')) AS x FROM documents),
 windows AS MATERIALIZED (
-  SELECT doc_id, unnest(range(length(x) // 2 - 99)) AS p,
-         unnest(list_transform(range(length(x) // 2 - 99), lambda i: md5_number(substr(x, 2 * i + 1, 200)))) AS w
-  FROM d WHERE length(x) >= 200),
+  SELECT doc_id, unnest(range(octet_length(x) - 99)) AS p,
+         unnest(list_transform(range(octet_length(x) - 99), lambda i: md5(x[i + 1 : i + 100]))) AS w
+  FROM d WHERE octet_length(x) >= 100),
 firsts AS (SELECT w, min(struct_pack(doc_id := doc_id, p := p)) AS f FROM windows GROUP BY w HAVING count(*) > 1),
 again AS (SELECT doc_id, p FROM windows JOIN firsts USING (w) WHERE doc_id <> f.doc_id OR p <> f.p),
-starts AS (
-  SELECT doc_id, p, p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 100 IS NOT TRUE AS opens FROM again),
+starts AS (SELECT doc_id, p, p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 100 IS NOT TRUE AS opens FROM again),
 runs AS (SELECT doc_id, p, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM starts),
 spans AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM runs GROUP BY doc_id, run),
 kept AS (
   SELECT doc_id, coalesce(lag(b) OVER w, 0) AS a, a AS b FROM spans WINDOW w AS (PARTITION BY doc_id ORDER BY a)
   UNION ALL SELECT doc_id, max(b), NULL FROM spans GROUP BY doc_id),
-left_over AS (SELECT doc_id, string_agg(substr(x, 2 * a + 1, 2 * (coalesce(b, length(x) // 2) - a)), '' ORDER BY a) AS x
+left_over AS (SELECT doc_id, string_agg(hex(x[a + 1 : coalesce(b, octet_length(x))]), '' ORDER BY a) AS h
               FROM kept JOIN d USING (doc_id) GROUP BY doc_id),
 sizes AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
-SELECT doc_id, length(d.x) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
-       sha256(unhex(coalesce(l.x, d.x))) AS kept_sha256
-FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN left_over l USING (doc_id)
+SELECT doc_id, octet_length(x) AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(coalesce(unhex(h), x)) AS kept_sha256
+FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN left_over USING (doc_id)
 """
 
 #: CRC-32 is worked out byte by byte over a table made by its rule.

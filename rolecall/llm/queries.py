@@ -21,6 +21,7 @@ from rolecall.llm import (
     secrets,
     simhash,
     spelling,
+    substrings,
 )
 
 #: Vocabulary of operator 1; a path on the driver, its content is sent to executors.
@@ -196,6 +197,12 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document keeps when bytes in strings that stand earlier go."""
+    found = substrings.clean(documents(spark, sf_dir, "doc_id", "text"), keep=["doc_id"])
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near words, form and root of every word."""
     return spelling.variants(documents(spark, sf_dir, "doc_id", "text"))
@@ -221,6 +228,7 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_langid": op10_langid,
     "op11_centroids": op11_centroids,
+    "op12_substrings": op12_substrings,
     "op13_spelling": op13_spelling,
     "pipeline": pipeline,
 }
@@ -230,5 +238,6 @@ ORACLES: dict[str, str] = {
     "op6_decontaminate": OP6_SQL,
     "op7_chat": planted_chat.SQL,
     "op11_centroids": oracles.OP11_SQL,
+    "op12_substrings": oracles.OP12_SQL,
     "op13_spelling": oracles.OP13_SQL,
 }
