@@ -16,22 +16,20 @@ size, where an inverted list of the tile's terms gives the shared ones.
 
 from __future__ import annotations
 
-import functools
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .. import rules
 from ..functions import text
-from . import skew
+from . import skew, tiles
 
 SENTINEL = ""
 TILE_JOBS, TILE_RESUMES = 4096, 256
-WEIGHT_DIGITS = 10
 
 
 def idf(n_jobs: Column, df: Column) -> Column:
@@ -81,29 +79,34 @@ def doc_freqs(postings: DataFrame) -> DataFrame:
     return postings.groupBy("board_id", "term").agg(F.count(F.lit(1)).alias("df"))
 
 
+def board_counts(listings: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, board_id, term, n): jobs of each board that have a term; the sentinel's n is their number."""
+    postings = _job_postings(listings, [*keys, "board_id", "ord"])
+    return postings.groupBy(*keys, "board_id", "term").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _ordered(terms: Column, weight) -> Column:
     """Terms by weight, best first, names breaking ties."""
     return F.sort_array(
-        F.transform(terms, lambda t: F.struct((-F.round(weight(t), WEIGHT_DIGITS)).alias("nw"), t["term"].alias("term")))
+        F.transform(terms, lambda t: F.struct((-F.round(weight(t), tiles.WEIGHT_DIGITS)).alias("nw"), t["term"].alias("term")))
     )
 
 
 def job_vectors(listings: DataFrame, boards: DataFrame | None = None) -> DataFrame:
     """``(board_id, ord, senior, n_jobs, n_pairs, terms)``, one row per job.
 
-    ``terms`` holds (term, tf, df) with df counted over the board. A frequent
-    term of a huge board is joined per block of listing positions, so no key
-    has more than a block of postings. Postings are written once, so texts are
+    ``terms`` holds (term, tf, df) with df counted over the board, in two steps: jobs
+    of a board are dealt to as many blocks as there are shuffle partitions by a hash of
+    ``ord``, terms counted per block, and the counts of at most so many blocks added up. So
+    a frequent term of a huge board is no hot key, however sparse ``ord`` is. Postings are written once, so texts are
     tokenized once, and moved to their job before collecting: terms of one job
     arrive from everywhere and combining them earlier would save nothing. ``boards(board_id, n_pairs)`` gives the
     number of paired résumés; jobs of boards without any are dropped.
     """
     senior = listings.withColumn("senior", text.is_senior_title(F.coalesce("title", F.lit(""))))
-    postings = skew.materialize(
-        _job_postings(senior, ["board_id", "ord", "senior"]).withColumn(
-            "block", F.floor(F.col("ord") / skew.BLOCK_ROWS)
-        )
-    )
+    blocks = int(listings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    block = F.pmod(F.xxhash64("ord"), F.lit(blocks)).cast("int")
+    postings = skew.materialize(_job_postings(senior, ["board_id", "ord", "senior"]).withColumn("block", block))
     counts = postings.groupBy("board_id", "block", "term").agg(F.count(F.lit(1)).alias("_n"))
     over_blocks = F.sum("_n").over(Window.partitionBy("board_id", "term"))
     per_block = counts.select("board_id", "block", "term", over_blocks.alias("df"))
@@ -311,14 +314,21 @@ def _matches(
         .withColumn("jt", _each_tile("n_jobs", TILE_JOBS))
         .select(*tile, "resume_id", "years", "n_jobs", "norm2", "terms", "top")
     )
-    kinds = {f: people.schema[f].dataType.simpleString() for f in ("board_id", "resume_id")}
-    schema = (
-        f"board_id {kinds['board_id']}, resume_id {kinds['resume_id']}, ord bigint, n_jobs bigint, senior boolean, years double, "
-        "cosine double, matched array<string>, missing array<string>"
-    )
-    met = left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInArrow(
-        functools.partial(_meet, top_k=top_k, keep_idle=keep_idle), schema
+    item = "array<struct<term: string, tf: bigint, df: bigint>>"
+    parts = left.withColumn("is_job", F.lit(True)).unionByName(right.withColumn("is_job", F.lit(False)), allowMissingColumns=True)
+    parts = parts.withColumn("terms", F.col("terms").cast(item))
+    schema = StructType(
+        [people.schema["board_id"], people.schema["resume_id"]]
+        + StructType.fromDDL(
+            "ord bigint, n_jobs bigint, senior boolean, years double, cosine double, matched array<string>, missing array<string>"
+        ).fields
     )
+    arrow = to_arrow_schema(schema)
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from tiles.meet(key, batches, arrow, top_k, keep_idle)
+
+    met = parts.groupBy(*tile).applyInArrow(run, schema)
     penalty = F.when(F.col("senior") & (F.col("years") < 3), 0.4).otherwise(1.0)
     scored = met.select(
         "resume_id", "board_id", "ord", "n_jobs", "matched", "missing",
@@ -328,97 +338,6 @@ def _matches(
     return _words(rank_matches(scored, top_k, hold), listed, told)
 
 
-def _vectors(column: pa.ChunkedArray, weight: str) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    """Lengths of the term lists, their terms end to end, and one of their numbers."""
-    lists = column.combine_chunks()
-    items = lists.flatten()
-    return pc.list_value_length(lists).to_numpy(zero_copy_only=False), items.field("term"), items.field(weight).to_numpy(zero_copy_only=False)
-
-
-def _meet(key: tuple, jobs: pa.Table, people: pa.Table, top_k: int | None, keep_idle: bool) -> pa.Table:
-    """Scores and keywords of all pairs in a tile, or of those that may be among the best ``top_k``.
-
-    Posting lists of the tile's terms give a résumé its shared terms directly; only
-    those are corrected. Sorting for keywords is done for the rows that stay.
-    """
-    names = ["board_id", "resume_id", "ord", "n_jobs", "senior", "years", "cosine", "matched", "missing"]
-    columns: list[list] = [[] for _ in names]
-    if jobs.num_rows and people.num_rows:
-        n = people["n_jobs"][0].as_py()
-        sizes, terms, tf = _vectors(jobs["terms"], "tf")
-        df = _vectors(jobs["terms"], "df")[2].astype(float)
-        coded = terms.dictionary_encode()
-        # Numbers in the order of names, so that they break ties and sort lists.
-        names_of = coded.dictionary.to_pylist()
-        order = sorted(range(len(names_of)), key=lambda i: names_of[i].encode())
-        words = [names_of[i] for i in order]
-        number = {w: i for i, w in enumerate(words)}
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        term = place[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.empty(0, np.int64)
-        job = np.repeat(np.arange(len(sizes)), sizes)
-        starts = np.concatenate([[0], np.cumsum(sizes)])
-        plain = tf * (np.log((n + 2.0) / (df + 1.0)) + 1.0)
-        raised = np.log((n + 2.0) / (df + 2.0)) + 1.0
-        base2 = np.bincount(job, weights=plain * plain, minlength=len(sizes))
-        postings = np.argsort(term, kind="stable")
-        first = np.searchsorted(term[postings], np.arange(len(words) + 1))
-        ords = jobs["ord"].to_numpy()
-        senior = jobs["senior"].to_pylist()
-
-        def best_terms(j: int, own: dict[int, float]) -> np.ndarray:
-            """Terms of a job by weight, the best ones; ``own`` are corrected weights by position."""
-            at = np.arange(starts[j], starts[j + 1])
-            weight = plain[at]
-            for i, w in own.items():
-                weight[i - starts[j]] = w
-            return at[np.lexsort((term[at], -np.round(weight, WEIGHT_DIGITS)))[: rules.JOB_TOP_TERMS]]
-
-        alone: dict[int, list[str]] = {}
-        for person in people.select(["resume_id", "years", "norm2", "terms", "top"]).to_pylist():
-            known = [(number[t["term"]], t["tf"]) for t in person["terms"] if t["term"] in number]
-            hits = np.concatenate([postings[first[c] : first[c + 1]] for c, _ in known] or [np.empty(0, np.int64)])
-            count = np.concatenate([np.full(first[c + 1] - first[c], f, float) for c, f in known] or [np.empty(0)])
-            at = job[hits]
-            dot = np.bincount(at, weights=count * tf[hits] * raised[hits] ** 2, minlength=len(sizes))
-            moved = (tf[hits] * raised[hits]) ** 2 - plain[hits] ** 2
-            norm = np.sqrt(np.maximum(person["norm2"] * (base2 + np.bincount(at, weights=moved, minlength=len(sizes))), 0))
-            cosine = np.where(norm > 0, dot / np.where(norm > 0, norm, 1), 0.0)
-            busy = np.zeros(len(sizes), bool)
-            busy[at] = True
-            rows = np.arange(len(sizes)) if keep_idle else np.flatnonzero(busy)
-            if top_k is not None and len(rows) > top_k:
-                # Ranks go by rounded scores: whatever may round up to the last place stays, zeros by listing order.
-                least = np.partition(cosine[rows], -top_k)[-top_k]
-                zeros = rows[cosine[rows] == 0]
-                rows = np.concatenate([
-                    rows[(cosine[rows] > 0) & (cosine[rows] >= least - 1e-4)],
-                    zeros[np.argsort(ords[zeros], kind="stable")[:top_k]],
-                ])
-            corrected: dict[int, dict[int, float]] = {}
-            wanted = np.zeros(len(sizes), bool)
-            wanted[rows] = True
-            for i in hits[wanted[at]].tolist():
-                corrected.setdefault(int(job[i]), {})[i] = tf[i] * raised[i]
-            top = {number[t] for t in person["top"] if t in number}
-            for j in rows.tolist():
-                if j in corrected:
-                    best = sorted(term[best_terms(j, corrected[j])].tolist())
-                    shared = {int(term[i]) for i in corrected[j]} & top
-                    matched = [words[t] for t in best if t in shared]
-                    missing = [words[t] for t in best if t not in shared]
-                else:
-                    if j not in alone:
-                        alone[j] = [words[t] for t in sorted(term[best_terms(j, {})].tolist())]
-                    matched, missing = [], alone[j]
-                row = (key[0].as_py(), person["resume_id"], int(ords[j]), n, senior[j], person["years"], float(cosine[j]), matched, missing)
-                for column, value in zip(columns, row, strict=True):
-                    column.append(value)
-    kinds = [jobs.schema.field("board_id").type if "board_id" in jobs.column_names else key[0].type, people.schema.field("resume_id").type]
-    kinds += [pa.int64(), pa.int64(), pa.bool_(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.string())]
-    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
-
-
 def _words(ranked: DataFrame, listed: int | None = None, told: tuple[int | None, int | None] = (None, None)) -> DataFrame:
     """Keyword lists and explanation; see ``score_jobs`` for the limits."""
 

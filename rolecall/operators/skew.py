@@ -49,18 +49,26 @@ def scratch_dir(spark: SparkSession) -> str:
     return _LOCAL_FOLDERS[context.applicationId]
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, folder: str | None = None, compression: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table.
 
     All tables of an application share one folder, so that what it has left can be
-    dropped as one when the application has ended.
+    dropped as one when the application has ended. ``folder`` is another one, for
+    tables that a step drops itself (``drop_folder``). ``compression`` other than
+    the session's codec pays for whole texts.
     """
     spark = df.sparkSession
-    target = f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/table-{uuid.uuid4().hex}"
-    df.write.parquet(target)
+    target = f"{folder or f'{scratch_dir(spark)}/{spark.sparkContext.applicationId}'}/table-{uuid.uuid4().hex}"
+    df.write.parquet(target, compression=compression)
     return spark.read.schema(df.schema).parquet(target)
 
 
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of written tables, in whatever store it is."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def rank_in_groups(
     df: DataFrame,
     keys: list[str],
