@@ -84,6 +84,11 @@ class Page:
     def where(self, test: Callable[[Column], Column], root: Column | None = None) -> Column:
         return F.filter(self.below(root), lambda n: self.visible(n) & test(n))
 
+    def ranked(self, found: Column, rank: str, root: Column) -> Column:
+        """Of the page-wide list ``found`` that ``rank`` counts, the slice that lies inside an element."""
+        before = root[rank]
+        return F.slice(found, before + 1, self.node(root["end"])[rank] - before)
+
     def matches(self, node: Column, rule: str) -> Column:
         """A rule with at most one ancestor step."""
         *above, own = re.sub(r"\s+", " ", rule).split(" ")

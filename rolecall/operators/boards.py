@@ -290,6 +290,14 @@ def board_listings(ats: str) -> Column:
     return first_filled(formats)
 
 
+def rule_listings(types: list[str] | None = None) -> Column:
+    """``ARRAY<listing>`` of the current page row, read as a board of its type ``ats``; one branch per type."""
+    found = F.when(F.lit(False), F.array().cast(f"ARRAY<{pg.LISTING}>"))
+    for ats in types or list(BOARDS):
+        found = found.when(F.col("ats") == ats, board_listings(ats))
+    return found
+
+
 def by_rules(
     parsed: DataFrame, types: list[str] | None = None, carry: tuple[str, ...] = (), max_chars: int | None = None
 ) -> DataFrame:
@@ -300,11 +308,14 @@ def by_rules(
     ``carry`` names page columns to keep. Descriptions are whole unless
     ``max_chars`` cuts them.
     """
-    found = F.when(F.lit(False), F.array().cast(f"ARRAY<{pg.LISTING}>"))
-    for ats in types or list(BOARDS):
-        found = found.when(F.col("ats") == ats, board_listings(ats))
+    return numbered(parsed.select("page_id", "url", "ats", *carry, rule_listings(types).alias("jobs")), carry, max_chars)
+
+
+def numbered(found: DataFrame, carry: tuple[str, ...] = (), max_chars: int | None = None) -> DataFrame:
+    """The listings of pages ``(page_id, url, ats, *carry, jobs)`` one per row, in their order."""
+    description = F.substring("job.description", 1, max_chars) if max_chars else F.col("job.description")
     return (
-        parsed.select("page_id", "url", "ats", *carry, F.posexplode_outer(found).alias("ord", "job"))
+        found.select("page_id", "url", "ats", *carry, F.posexplode_outer("jobs").alias("ord", "job"))
         .filter(F.col("job").isNotNull())
         .select(
             "page_id",
@@ -313,7 +324,7 @@ def by_rules(
             *carry,
             (F.col("ord") + 1).cast("long").alias("ord"),
             "job.title",
-            (F.substring("job.description", 1, max_chars) if max_chars else F.col("job.description")).alias("description"),
+            description.alias("description"),
             "job.location",
             F.col("job.url").alias("job_url"),
         )

@@ -14,7 +14,7 @@ from .. import rules
 from ..functions import page as pg
 from ..functions import urls
 from ..functions.text import let
-from ..sources.dom import WHOLE
+from ..sources.dom import LINE_CHARS, LINE_TAGS, WHOLE
 
 HEADINGS = ("h1", "h2", "h3", "h4")
 
@@ -61,8 +61,8 @@ def _is_title(text: Column) -> Column:
     return (text != "") & ~text.rlike(rules.BOARD_NAV_NOISE) & (F.length(text) <= rules.MAX_TITLE_CHARS)
 
 
-def _card_title(page: pg.Page, headings: Column, card: Column, anchor: Column) -> Column:
-    """First heading of each level, else the link text, else the first real text."""
+def _card_title(page: pg.Page, found: Column, card: Column, anchor: Column) -> Column:
+    """First heading of each level among those ``found`` in the card, else the link text, else the first real text."""
 
     def usable(text: Column) -> Column:
         return let(text, lambda t: F.when(_is_title(t), t))
@@ -78,8 +78,7 @@ def _card_title(page: pg.Page, headings: Column, card: Column, anchor: Column) -
     piece = pg.first(
         F.filter(page.pieces(card), lambda t: (t["noise"] <= page.level) & _is_title(t["s"]) & (F.length(t["s"]) > 4))
     )
-    by_heading = let(F.filter(headings, lambda h: pg.inside(h, card)), by_level)
-    return F.coalesce(by_heading, usable(page.text(anchor, " ")), piece["s"], F.lit(""))
+    return F.coalesce(let(found, by_level), usable(page.text(anchor, " ")), piece["s"], F.lit(""))
 
 
 def board_links() -> Column:
@@ -89,19 +88,17 @@ def board_links() -> Column:
 
     def job(anchor: Column, headings: Column, places: Column, lines: Column, site: Column) -> Column:
         def with_card(card: Column) -> Column:
-            place = pg.first(F.filter(places, lambda n: pg.inside(n, card)))
-            line = pg.first(F.filter(lines, lambda n: pg.inside(n, card)))
+            place = pg.first(page.ranked(places, "place_rank", card))
+            line = pg.first(F.filter(page.ranked(lines, "line_rank", card), lambda location: location != ""))
             location = let(
                 place,
-                lambda p: F.when(p.isNotNull(), location_from_text(page.text(p))).otherwise(
-                    pg.empty_if_null(line["location"])
-                ),
+                lambda p: F.when(p.isNotNull(), location_from_text(page.text(p))).otherwise(pg.empty_if_null(line)),
             )
             return F.struct(
                 anchor["pre"].alias("pre"),
                 anchor["href"].alias("href"),
                 urls.canonical(urls.resolve_in(site, anchor["href"])).alias("job_url"),
-                _card_title(page, headings, card, anchor).alias("title"),
+                _card_title(page, page.ranked(headings, "head_rank", card), card, anchor).alias("title"),
                 location.alias("location"),
             )
 
@@ -112,11 +109,8 @@ def board_links() -> Column:
 
     headings = page.where(lambda n: n["tag"].isin(*HEADINGS))
     places = page.where(lambda n: F.concat(n["classes"], n["id"]).rlike(rules.BOARD_LOCATION_CLASS))
-    short = page.where(lambda n: n["tag"].isin("span", "p", "div", "li") & n["tlen"].between(1, 119))
-    located = F.transform(
-        short, lambda n: F.struct(n["pre"].alias("pre"), location_from_text(page.text(n)).alias("location"))
-    )
-    lines = F.filter(located, lambda n: n["location"] != "")
+    short = page.where(lambda n: n["tag"].isin(*LINE_TAGS) & n["tlen"].between(1, LINE_CHARS))
+    lines = F.transform(short, lambda n: location_from_text(page.text(n)))
     found = let(urls.netloc(base), links)
 
     def jobs(anchors: Column) -> Column:
@@ -135,13 +129,24 @@ def universal(
 ) -> DataFrame:
     """Listings of any job board: ``(page_id, url, ord, title, description, location, job_url)``.
 
+    ``carry`` names page columns to keep; ``grouped_links`` says which links count.
+    """
+    found = parsed.select("page_id", "url", *carry, board_links().alias("links"))
+    return grouped_links(found, min_jobs, carry)
+
+
+def grouped_links(
+    found: DataFrame, min_jobs: int = rules.MIN_BOARD_LINKS, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """Listings among the ``board_links`` of each page, ``found(page_id, url, *carry, links)``.
+
     Links are grouped by their leading path. The biggest group of at least
     ``min_jobs`` links decides; groups with the same top-level path join it.
     Without any such group every job link counts. The first link to a job wins,
-    even when it turns out to have no title. ``carry`` names page columns to keep.
+    even when it turns out to have no title.
     """
     links = (
-        parsed.select("page_id", "url", *carry, F.inline_outer(board_links()))
+        found.select("page_id", "url", *carry, F.inline_outer("links"))
         .filter(F.col("pre").isNotNull())
         .withColumn("pattern", urls.base_pattern(F.col("href")))
         .repartition("page_id")
@@ -202,26 +207,12 @@ def _link_title(page: pg.Page, anchor: Column, children: Column) -> Column:
     return F.coalesce(pg.first(good), own)
 
 
-def _section_heading(page: pg.Page, spine: Column, anchor: Column) -> Column:
-    """Text of the nearest heading ahead of the link that is not around it.
-
-    ``spine`` holds headings and everything that contains one. The last heading
-    that ended before the link lies in the nearest preceding sibling (of the
-    link or of an ancestor); that sibling is the outermost element around it
-    that also ended before the link, and its first heading is the label.
-    """
-    ended = F.filter(spine, lambda n: n["end"] < anchor["pre"])
-
-    def label(before: Column) -> Column:
-        is_heading = lambda n: n["tag"].rlike("^h[1-6]$")
-        last = F.try_element_at(F.filter(before, is_heading), F.lit(-1))
-        outer = let(last, lambda h: pg.first(F.filter(before, lambda n: (n["pre"] <= h["pre"]) & (n["end"] >= h["pre"]))))
-        return let(outer, lambda o: pg.first(F.filter(before, lambda n: is_heading(n) & (n["pre"] >= o["pre"]))))
+def _section_heading(page: pg.Page, anchor: Column) -> Column:
+    """Text of the nearest heading ahead of the link that is not around it; the page pass left a pointer to it."""
+    return F.when(anchor["label"] >= 0, page.text(page.node(anchor["label"])))
 
-    return let(ended, lambda before: F.when(F.size(before) > 0, let(label(before), lambda h: page.text(h))))
 
-
-def _link_location(page: pg.Page, spine: Column, anchor: Column, children: Column, title: Column) -> Column:
+def _link_location(page: pg.Page, anchor: Column, children: Column, title: Column) -> Column:
     marked = pg.first(page.where(lambda n: n["classes"].rlike(rules.LINK_LOCATION_CLASS), anchor))
     by_class = let(marked, lambda n: F.when(n.isNotNull(), page.text(n)))
     later = F.transform(F.slice(children, 2, F.greatest(F.size(children) - 1, F.lit(0))), lambda n: page.text(n))
@@ -233,7 +224,7 @@ def _link_location(page: pg.Page, spine: Column, anchor: Column, children: Colum
         & (F.length(t) > 1)
         & (t.rlike(rules.LINK_LOCATION_HINT) | (F.length(t) < 40)),
     )
-    heading = let(_section_heading(page, spine, anchor), lambda h: F.when(h.rlike(rules.LINK_LOCATION_HINT), h))
+    heading = let(_section_heading(page, anchor), lambda h: F.when(h.rlike(rules.LINK_LOCATION_HINT), h))
     not_empty = lambda c: let(c, lambda t: F.when(t != "", t))
     return F.coalesce(not_empty(by_class), pg.first(fits), heading, F.lit(""))
 
@@ -243,7 +234,7 @@ def matched_links() -> Column:
     page = pg.Page(F.col("nodes"), F.col("texts"), WHOLE)
     base = F.col("url")
 
-    def job(anchor: Column, spine: Column) -> Column:
+    def job(anchor: Column) -> Column:
         children = page.where(lambda n: n["tag"].isin("span", "div", "p"), anchor)
         href = anchor["href"]
         origin = F.concat(urls.scheme(base), F.lit("://"), urls.netloc(base))
@@ -255,22 +246,14 @@ def matched_links() -> Column:
                 link_rules(href).alias("rules"),
                 urls.canonical(full).alias("job_url"),
                 title.alias("title"),
-                F.when(title != "", _link_location(page, spine, anchor, kids, title)).alias("location"),
+                F.when(title != "", _link_location(page, anchor, kids, title)).alias("location"),
             )
 
         return let(children, lambda kids: let(_link_title(page, anchor, kids), lambda title: finish(title, kids)))
 
     any_rule = "|".join(f"(?:{p})" for p in [*(p for _, p in rules.DIRECT_LINK_PATTERNS), rules.UUID_HREF])
     anchors = page.where(lambda n: (n["tag"] == "a") & n["href"].rlike(any_rule))
-    headings = page.where(lambda n: n["tag"].rlike("^h[1-6]$"))
-    spine = let(
-        headings,
-        lambda hs: page.where(lambda n: F.exists(hs, lambda h: (n["pre"] <= h["pre"]) & (h["pre"] <= n["end"]))),
-    )
-    return let(
-        anchors,
-        lambda found: F.when(F.size(found) > 0, let(spine, lambda sp: F.transform(found, lambda a: job(a, sp)))),
-    )
+    return let(anchors, lambda found: F.when(F.size(found) > 0, F.transform(found, job)))
 
 
 def _rule_ats(rule: Column) -> Column:
@@ -283,12 +266,22 @@ def direct_links(
 ) -> DataFrame:
     """Listings linked from a page: ``(page_id, url, ats, ord, title, description, location, job_url)``.
 
+    ``carry`` names page columns to keep; ``ruled_links`` says which links count.
+    """
+    found = parsed.select("page_id", "url", *carry, matched_links().alias("links"))
+    return ruled_links(found, min_links, carry)
+
+
+def ruled_links(
+    found: DataFrame, min_links: int = rules.MIN_DIRECT_LINKS, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """Listings among the ``matched_links`` of each page, ``found(page_id, url, *carry, links)``.
+
     A rule needs ``min_links`` matching links, counted before duplicates and
     untitled links are dropped; the first rule with any listing wins the page.
-    ``carry`` names page columns to keep.
     """
     links = (
-        parsed.select("page_id", "url", *carry, F.inline_outer(matched_links()))
+        found.select("page_id", "url", *carry, F.inline_outer("links"))
         .filter(F.col("pre").isNotNull())
         .withColumn("rule", F.explode_outer("rules"))
         .repartition("page_id")
