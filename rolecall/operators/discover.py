@@ -36,18 +36,24 @@ def candidate_paths(bases: DataFrame) -> DataFrame:
     )
 
 
-def first_probe(bases: DataFrame, probes: DataFrame) -> DataFrame:
-    """``(base, careers_url)``: first candidate that answered below status 400.
+def answered_probes(probes: DataFrame) -> DataFrame:
+    """``(base, careers_url)`` of every site with a candidate that answered below status 400, the first of its paths.
 
-    ``probes(candidate, status, final_url)``; a probe that failed has no row.
+    ``probes(candidate, status, final_url)``; a probe that failed has no row. A
+    candidate is split into site and path once, so sites are not multiplied by paths.
     """
-    answered = probes.filter(F.col("status") < 400).select("candidate", "final_url")
-    return (
-        candidate_paths(bases)
-        .join(answered, "candidate")
-        .groupBy("base")
-        .agg(F.min_by("final_url", "path_ord").alias("careers_url"))
-    )
+    order = F.create_map(*[F.lit(x) for i, p in enumerate(rules.CANDIDATE_PATHS) for x in (p, i)])
+    site = F.concat(urls.scheme(F.col("candidate")), F.lit("://"), urls.netloc(F.col("candidate")))
+    split = probes.filter(F.col("status") < 400).select("candidate", site.alias("base"), "final_url")
+    path = F.substring(F.col("candidate"), F.length("base") + 1, F.length("candidate"))
+    known = split.filter(F.col("candidate").startswith(F.col("base"))).withColumn("place", F.try_element_at(order, path))
+    first = known.filter(F.col("place").isNotNull()).groupBy("base").agg(F.min(F.struct("place", "final_url")).alias("first"))
+    return first.select("base", F.col("first.final_url").alias("careers_url"))
+
+
+def first_probe(bases: DataFrame, probes: DataFrame) -> DataFrame:
+    """``answered_probes`` of the sites in ``bases``."""
+    return answered_probes(probes).join(bases.select("base"), "base", "left_semi")
 
 
 def _best_link(base: Column) -> Column:
@@ -84,16 +90,15 @@ def best_links(homepages: DataFrame) -> DataFrame:
 def careers_urls(requests: DataFrame, probes: DataFrame, homepages: DataFrame) -> DataFrame:
     """``(request_id, url, careers_url, via)`` for every valid request.
 
-    Sites are looked up once each, however many requests name them.
+    Requests are read once. A site asked for by very many of them is one row of
+    the other side, so a skewed join splits the requests.
     """
     valid = normalized(requests).filter(F.col("base").isNotNull()).withColumn(
         "already", urls.is_careers_url(F.col("full_url"))
     )
-    bases = valid.filter(~F.col("already")).select("base").distinct()
-    probed = first_probe(bases, probes).withColumnRenamed("careers_url", "probed")
+    probed = answered_probes(probes).withColumnRenamed("careers_url", "probed")
     linked = best_links(homepages).withColumnRenamed("careers_url", "linked")
-    sites = bases.join(probed, "base", "left").join(linked, "base", "left")
-    joined = skew.spread_lookup(valid, sites, ["base"], ["request_id"], "left")
+    joined = valid.join(probed.join(linked, "base", "full"), "base", "left")
     direct = F.when(F.col("already"), F.col("full_url"))
     via = (
         F.when(F.col("already"), "input")
