@@ -121,20 +121,38 @@ END_MATCH = matching._with(
 
 
 def _whole_way(spark, sf):
-    """Requests to ranked matches: discovery, extraction, enrichment and scoring."""
+    """Requests to ranked matches: discovery, extraction, enrichment and scoring.
+
+    Requests name bare domains, or a board. Of even companies a probe finds the careers
+    page (behind failed ones and one too late in the order), of odd ones the homepage links it.
+    Detail pages come from several attempts: some raw ones are empty and the rendered one
+    counts, others are good and the rendered one must not count.
+    """
     pages = table(spark, sf, "pages")
-    asked = pages.select(P().alias("request_id"), _careers_url().alias("url"))
-    none = spark.createDataFrame([], "candidate STRING, status INT, final_url STRING")
-    no_home = spark.createDataFrame([], "page_id LONG, base STRING, html STRING")
-    found_for, found, _ = plan.scrape(asked, none, plan.dom.parse(no_home, ("page_id", "base")), snapshots(spark, sf))
+    site = planted.fill("https://c{p}.example.org", P())
+    named = F.when(P() % 7 % 6 == 5, _careers_url()).when(P() % 4 < 2, planted.fill("c{p}.example.org", P())).otherwise(site)
+    asked = pages.select(P().alias("request_id"), named.alias("url"))
+    answers = [("/careers", 404, "/x"), ("/jobs", 301, "/careers"), ("/en/jobs", 200, "/wrong"), ("/blog", 200, "/wrong")]
+    tried = F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(a, ("path", "status", "to"))]) for a in answers])
+    probes = pages.filter(P() % 2 == 0).select(site.alias("base"), F.inline(tried)).select(
+        F.concat("base", "path").alias("candidate"), "status", F.concat("base", "to").alias("final_url")
+    )
+    home = pages.filter(P() % 2 == 1).withColumn("base", site).withColumn(
+        "html", F.replace("html", F.lit("<footer>"), F.lit('<p><a href="/about">About</a><a href="/careers">Careers</a></p><footer>'))
+    )
+    found_for, found, _ = plan.scrape(asked, probes, plan.dom.parse(home, ("page_id", "base")), snapshots(spark, sf))
     words = F.concat(
         F.lit(SKILLS + " "),
         F.repeat(
             F.concat(F.lit("skill"), F.col("ord").cast("string"), F.lit(" area"), (F.length("title") % 7).cast("string"), F.lit(" ")), 15
         ),
     )
-    detail_pages = found.select(
-        F.xxhash64("url").alias("page_id"), "url", F.concat(F.lit("<html><body><main><nav>x</nav>"), words, F.lit("</main>")).alias("html")
+    page = F.concat(F.lit("<html><body><main><nav>x</nav>"), words, F.lit("</main>"))
+    empty = F.col("ord") % 2 == 0
+    wrong = F.concat(F.lit("<main>"), F.repeat(F.lit("wrong words "), 50))
+    detail_pages = found.select(F.xxhash64("url").alias("page_id"), "url", F.lit("get").alias("command"), F.when(empty, "").otherwise(page).alias("html"))
+    detail_pages = detail_pages.unionByName(
+        found.select(F.xxhash64("url", F.lit(1)).alias("page_id"), "url", F.lit("fetch").alias("command"), F.when(empty, page).otherwise(wrong).alias("html"))
     )
     said = (
         table(spark, sf, "conversations")
@@ -199,16 +217,18 @@ counted AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY b ORDER BY page ROWS BE
         FROM counted JOIN (SELECT page_id, k, place FROM cards) USING (page_id)""",
 )
 def paged_board(spark, sf):
+    return plan.paged_listings(_paged(spark, sf)).select("board_id", "ord", "title", "location", "url")
+
+
+def _paged(spark, sf, path="search"):
     card = '<article class="article--card"><h3 class="article__header__text__title"><a class="link" href="/job/{p}-{k}">Engineer {p} {k}</a></h3><span class="card-item-location">{place}</span></article>'
     following = F.when(P() % 7 != 0, '<a class="paginationNextLink" href="?next">Next</a>').otherwise("")
-    board = F.concat(F.lit("https://careers.ibm.com/search/"), F.floor(P() / 4).cast("string"))
+    board = F.concat(F.lit(f"https://careers.ibm.com/{path}/"), F.floor(P() / 4).cast("string"))
     pages = planted.pages_with(spark, sf, F.concat(planted.cards(card), following), board)
-    pages = pages.select(
+    return pages.select(
         "page_id", board.alias("board_id"), F.lit("ibm").alias("ats"), "url", (P() % 4 + 1).cast("int").alias("page"),
         F.when(P() % 11 == 0, 404).otherwise(200).alias("status"), "html",
-    )
-    found = plan.paged_listings(pages)
-    return found.select("board_id", "ord", "title", "location", "url")
+    )
 
 
 # Three attempts at each board: too small, good, and good with other jobs. Of every
@@ -276,3 +296,30 @@ def request_errors(spark, sf):
     """Errors of every stage, each with its own cause."""
     _, _, errors = _from_attempts(spark, sf)
     return errors.select("request_id", "stage", "message")
+
+
+# --- boards by their type, some over several pages ---------------------------------------
+@query(
+    "scraped_by_type",
+    f"""WITH {PAGED_SQL},
+        lever AS (SELECT 'https://jobs.lever.co/c' || page_id AS board_id, 'lever' AS ats, CAST(k AS BIGINT) AS ord,
+          'Engineer ' || page_id || ' ' || k AS title, place AS location, 'https://jobs.lever.co/c' || page_id || '/' || k AS url FROM cards)
+        SELECT * FROM lever UNION ALL
+        SELECT 'https://careers.ibm.com/jobs/' || b, 'ibm', CAST(ahead + k AS BIGINT),
+          'Engineer ' || page_id || ' ' || k, place, 'https://careers.ibm.com/job/' || page_id || '-' || k
+        FROM counted JOIN (SELECT page_id, k, place FROM cards) USING (page_id)""",
+)
+def scraped_by_type(spark, sf):
+    """Requests for boards of two types, read by the rules of their type; one type goes over several pages."""
+    pages = table(spark, sf, "pages")
+    lever = planted.fill("https://jobs.lever.co/c{p}", P())
+    board = F.concat(F.lit("https://careers.ibm.com/jobs/"), F.floor(P() / 4).cast("string"))
+    asked = pages.select(P().alias("request_id"), lever.alias("url")).unionByName(
+        pages.select((P() + 1000000).alias("request_id"), board.alias("url"))
+    )
+    card = '<div class="posting"><a class="posting-title" href="https://jobs.lever.co/c{p}/{k}"><h5>Engineer {p} {k}</h5><span class="sort-by-location">{place}</span></a></div>'
+    shots = planted.pages_with(spark, sf, planted.cards(card), lever).select("page_id", "url", F.lit("board").alias("stage"), "html")
+    none = spark.createDataFrame([], "candidate STRING, status INT, final_url STRING")
+    home = plan.dom.parse(spark.createDataFrame([], "page_id LONG, base STRING, html STRING"), ("page_id", "base"))
+    _, found, _ = plan.scrape(asked, none, home, shots, mode="by_ats", board_pages=_paged(spark, sf, "jobs"))
+    return found.select("board_id", "ats", "ord", "title", "location", "url")

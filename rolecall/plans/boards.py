@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..operators import boards as board_rules
+from ..functions import urls
 from ..operators import discover, enrich, extract, match, skew
 from ..sources import dom
 
@@ -17,35 +18,67 @@ def _generic(careers: DataFrame) -> DataFrame:
     return careers.filter(F.col("ats") == rules.GENERIC).select("careers_url")
 
 
-def _one_each(snapshots: DataFrame) -> DataFrame:
-    """The snapshot of the smallest page_id of each (url, stage); only ids are grouped."""
-    first = snapshots.groupBy("url", "stage").agg(F.min("page_id").alias("page_id")).select("page_id")
-    return snapshots.join(first, "page_id", "left_semi")
+def read_pages(snapshots: DataFrame, mode: str = "universal") -> DataFrame:
+    """Everything that any decision needs of a page, in one pass over the pages; written.
 
+    ``snapshots(page_id, url, stage, html)`` to ``(page_id, url, stage, ats, embedded,
+    links, jobs)``: the board embedded in a raw or rendered page, the direct links
+    on it, and what a rendered page or a board lists, by the all-purpose extractor or
+    (``mode='by_ats'``) by the rules of the types that its URL may stand for, a row each.
+    HTML and elements end here: all that follows moves small rows. Of several
+    snapshots of a (url, stage) the one of the smallest page_id counts.
+    """
+    if mode not in ("universal", "by_ats"):
+        raise ValueError(f"unknown mode {mode!r}")
+    careers, listing = F.col("stage").isin(RAW, RENDERED), F.col("stage").isin(RENDERED, BOARD)
+    pages = snapshots.withColumn("embedded", F.when(careers, extract.embedded_board(F.col("html"))))
+    parsed = dom.parse(pages, ("page_id", "url", "stage", "embedded"))
+    keys = ["page_id", "url", "stage", "embedded"]
+    if mode == "universal":
+        read = parsed.withColumn("ats", F.lit(None).cast("string")).select(
+            *keys, "ats", F.when(careers, extract.matched_links()).alias("links"), F.when(listing, extract.board_links()).alias("jobs")
+        )
+    else:
+        types = F.array_distinct(F.array(urls.detect_ats(F.col("url")), *_embed_types(), F.when(F.col("stage") == RENDERED, rules.GENERIC)))
+        types = F.when(listing, F.array_compact(types))
+        typed = parsed.select(*keys, "nodes", "texts", F.posexplode_outer(types).alias("nth", "ats"))
+        once = careers & (F.coalesce("nth", F.lit(0)) == 0)
+        read = typed.select(*keys, "ats", F.when(once, extract.matched_links()).alias("links"), board_rules.rule_listings().alias("jobs"))
+    read = skew.materialize(read)
+    first = read.groupBy("url", "stage").agg(F.min("page_id").alias("page_id")).select("page_id")
+    return read.join(first, "page_id", "left_semi")
+
+
+def _embed_types() -> list[Column]:
+    """Types of the boards that the page's URL would be taken for if it were embedded somewhere."""
+    source = F.concat(F.lit('src="'), F.col("url"), F.lit('"'))
+    return [F.when(source.rlike(pattern), ats) for ats, pattern in rules.EMBED_PATTERNS]
 
-def board_decisions(careers: DataFrame, snapshots: DataFrame, linked: DataFrame | None = None) -> DataFrame:
+
+def board_decisions(careers: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """``decided`` for the pages of ``snapshots(page_id, url, stage, html)``."""
+    pages = read_pages(snapshots)
+    return decided(careers, pages, linked_listings(careers, pages))
+
+
+def decided(careers: DataFrame, pages: DataFrame, linked: DataFrame) -> DataFrame:
     """Where the listings of each careers page come from.
 
-    ``careers(careers_url, ats)`` distinct, ``snapshots(page_id, url, stage,
-    html)`` to ``(careers_url, final_url, ats, kind, page_id)``. A known board
+    ``careers(careers_url, ats)`` distinct, ``read_pages`` and ``linked_listings`` of
+    them to ``(careers_url, final_url, ats, kind, page_id)``. A known board
     is read itself. An unknown page is tried in this order: a board embedded
     in the raw page, direct links on it, the same two on the rendered page,
-    and finally the rendered page as a board of its own. ``linked`` is the
-    result of ``linked_listings`` when the caller already has it. Of several
-    snapshots of a (url, stage) the one of the smallest page_id counts.
+    and finally the rendered page as a board of its own.
     """
-    snapshots = _one_each(snapshots)
-    linked = linked_listings(careers, snapshots) if linked is None else linked
     known = careers.filter(F.col("ats") != rules.GENERIC).select(
         "careers_url", _option(0, F.col("careers_url"), F.col("ats"), BOARD, F.lit(None).cast("long")).alias("option")
     )
-    pages = snapshots.filter(F.col("stage").isin(RAW, RENDERED)).join(
-        _generic(careers).withColumnRenamed("careers_url", "url"), "url", "left_semi"
-    )
     rendered = F.when(F.col("stage") == RENDERED, 2).otherwise(0)
     embedded = (
-        pages.select("url", "stage", extract.embedded_board(F.col("html")).alias("b"))
-        .filter(F.col("b").isNotNull())
+        pages.filter(F.col("embedded").isNotNull())
+        .select("url", "stage", F.col("embedded").alias("b"))
+        .distinct()
+        .join(_generic(careers).withColumnRenamed("careers_url", "url"), "url", "left_semi")
         .select("url", _option(rendered + 1, F.col("b.board_url"), F.col("b.ats"), BOARD, F.lit(None).cast("long")).alias("option"))
     )
     by_links = (
@@ -70,12 +103,11 @@ def _option(priority: Column, final_url: Column, ats: Column, kind: str, page_id
     return F.struct(*[f.alias(n) for f, n in zip(fields, names)])
 
 
-def linked_listings(careers: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """Direct-link listings of unknown pages, with the ``stage`` they came from."""
-    pages = _one_each(snapshots).filter(F.col("stage").isin(RAW, RENDERED)).join(
-        _generic(careers).withColumnRenamed("careers_url", "url"), "url", "left_semi"
-    )
-    return extract.direct_links(dom.parse(pages, ("page_id", "url", "stage")), carry=("stage",))
+def linked_listings(careers: DataFrame, pages: DataFrame) -> DataFrame:
+    """Direct-link listings of unknown pages among ``read_pages``, with the ``stage`` they came from."""
+    asked = _generic(careers).withColumnRenamed("careers_url", "url")
+    found = pages.filter(F.size("links") > 0).select("page_id", "url", "stage", "links").join(asked, "url", "left_semi")
+    return extract.ruled_links(found, carry=("stage",))
 
 
 def paged_listings(board_pages: DataFrame) -> DataFrame:
@@ -121,20 +153,18 @@ def listings(
     over all their pages instead. ``lost(url, stage, message)`` names pages that no
     fetch attempt brought in: their error is that. Results come from one written table.
     """
-    if mode not in ("universal", "by_ats"):
-        raise ValueError(f"unknown mode {mode!r}")
     careers = careers.select("careers_url", "ats").distinct()
-    linked = skew.materialize(linked_listings(careers, snapshots))
-    decisions = skew.materialize(board_decisions(careers, snapshots, linked))
+    pages = read_pages(snapshots, mode)
+    linked = skew.materialize(linked_listings(careers, pages))
+    decisions = skew.materialize(decided(careers, pages, linked))
     stage = F.when(F.col("kind") == RENDERED, RENDERED).otherwise(BOARD)
-    wanted = decisions.filter(F.col("kind") != "links").select(
-        F.col("final_url").alias("url"), stage.alias("stage"), "ats"
-    ).distinct()
-    chosen = _one_each(snapshots).join(wanted, ["url", "stage"])
+    wanted = decisions.filter(F.col("kind") != "links").select(F.col("final_url").alias("url"), stage.alias("stage"), "ats").distinct()
     if mode == "universal":
-        read = extract.universal(dom.parse(chosen, ("page_id", "url", "stage")), carry=("stage",))
+        chosen = pages.select("page_id", "url", "stage", F.col("jobs").alias("links"))
+        read = extract.grouped_links(chosen.join(wanted, ["url", "stage"], "left_semi"), carry=("stage",))
     else:
-        read = board_rules.by_rules(dom.parse(chosen, ("page_id", "url", "stage", "ats")), carry=("stage",))
+        chosen = pages.select("page_id", "url", "stage", "ats", "jobs").join(wanted, ["url", "stage", "ats"], "left_semi")
+        read = board_rules.numbered(chosen, carry=("stage",))
     read = read.withColumnRenamed("url", "final_url")
     jobs = ["ord", "title", "description", "location", "job_url"]
     from_pages = skew.spread_lookup(
@@ -229,13 +259,20 @@ def match_requests(
 
     ``resumes(request_id, resume_id, resume_text)`` names the request each
     résumé came with; ``detail_pages(page_id, url, html)`` are fetched job pages,
-    read by the rules of each board type that lists them. Of several pages of a
-    URL the first with a text counts, by page_id. Matches carry ``ats``,
+    read by the rules of each board type that lists them. With a column ``command`` they are
+    attempts: the first command (raw, then rendered) that brought any page counts. Of several
+    pages of a URL the first with a text counts, by page_id. Matches carry ``ats``,
     ``source_url`` and the listing as ``job``. ``max_chars`` cuts detail texts.
     """
     boards = found.select("url", "ats").distinct()
-    parsed = dom.parse(detail_pages.join(boards, "url"), ("url", "ats", "page_id"))
-    details = enrich.detail_texts(parsed, max_chars, ("page_id",))
+    order = F.array_position(F.array(*map(F.lit, rules.FETCH_COMMANDS)), F.col("command")) if "command" in detail_pages.columns else F.lit(0)
+    tried = detail_pages.select("page_id", "url", order.alias("step"), "html").filter(F.coalesce("html", F.lit("")) != "")
+    first = tried.groupBy("url").agg(F.min("step").alias("step"))
+    # Every page is parsed where it lies; what a board type makes of it follows the small rows.
+    parsed = dom.parse(tried, ("url", "page_id", "step"))
+    texts = skew.materialize(enrich.texts_by_type(parsed, max_chars, ("page_id", "step")))
+    details = texts.join(first, ["url", "step"]).join(boards, "url")
+    details = details.withColumn("detail", enrich.text_of_type(F.col("ats"))).filter("detail is not null")
     once = details.groupBy("url", "ats").agg(F.min_by("detail", "page_id").alias("detail"))
     full = skew.materialize(enrich.descriptions(found, once))
     pairs = skew.spread_lookup(
