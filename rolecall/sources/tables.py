@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from ..operators.skew import materialize
 
 PAGES = "page_id LONG, url STRING, html STRING"
 REQUESTS = "request_id LONG, url STRING"
@@ -16,7 +19,7 @@ def read_table(spark: SparkSession, path: str, schema: str, fmt: str = "parquet"
     """Read a stored table with its declared schema; nothing is inferred."""
     if fmt not in FORMATS:
         raise ValueError(f"unsupported format {fmt!r}")
-    return spark.read.schema(T._parse_datatype_string(schema)).format(fmt).load(path)
+    return spark.read.schema(StructType.fromDDL(schema)).format(fmt).load(path)
 
 
 def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -32,10 +35,57 @@ def read_resumes(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
     return read_table(spark, path, RESUMES, fmt)
 
 
-def read_html_files(spark: SparkSession, path: str) -> DataFrame:
-    """Raw HTML files, one page per file; two files get the same number once in 2**64 pairs, ``url`` never."""
-    return spark.read.text(path, wholetext=True).selectExpr(
-        "xxhash64(_metadata.file_path) AS page_id", "_metadata.file_path AS url", "value AS html"
+def _numbered(pages: DataFrame) -> DataFrame:
+    """``pages`` with a ``page_id`` that is unique by its place in the table; written, so that it stays the same."""
+    return materialize(pages.select(F.monotonically_increasing_id().alias("page_id"), *pages.columns))
+
+
+def read_html_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """Raw HTML files below a folder as ``(page_id, url, html)``, one page per file; ``url`` is the file.
+
+    Small files share a task up to ``spark.sql.files.maxPartitionBytes``.
+    """
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path, wholetext=True)
+    return _numbered(files.select(F.col("_metadata.file_path").alias("url"), F.col("value").alias("html")))
+
+
+#: First line of every record of a web archive.
+ARCHIVE_RECORD = "WARC/1.0\r\n"
+
+
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """Response records of web archives (WARC 1.0) as ``(page_id, url, status, whole, html)``.
+
+    Records are parted where a task finds their first line, so one large file is read by
+    many tasks, split wherever ``spark.sql.files.maxPartitionBytes`` falls (a compressed one
+    by a single task). A body that holds such a line itself, or a broken download, is shorter than
+    its record says: ``whole`` is false then.
+    """
+    records = spark.read.option("lineSep", ARCHIVE_RECORD).text(path)
+
+    def field(name: str):
+        return F.regexp_extract("head", rf"(?im)^{name}:[ \t]*<?([^\s>]*)", 1)
+
+    end = F.lit("\r\n\r\n")
+    at = F.instr("value", end)
+    parted = records.filter(at > 0).select(
+        F.substring(F.col("value"), F.lit(1), at - 1).alias("head"), F.substring(F.col("value"), at + 4, F.length("value")).alias("body")
+    )
+    found = parted.filter(F.lower(field("WARC-Type")) == "response").select(
+        field("WARC-Target-URI").alias("url"),
+        F.try_to_number(field("Content-Length"), F.lit("999999999999999999")).cast("bigint").alias("_size"),
+        F.octet_length("body").alias("_found"),
+        "body",
+    )
+    start = F.instr("body", end)
+    html = F.regexp_replace(F.substring(F.col("body"), start + 4, F.length("body")), r"\r\n\r\n$", "")
+    return _numbered(
+        found.select(
+            "url",
+            F.try_to_number(F.regexp_extract("body", r"^HTTP/\S+ (\d{3})", 1), F.lit("999")).cast("int").alias("status"),
+            (F.col("_found") >= F.col("_size")).alias("whole"),
+            F.when(start > 0, html).otherwise("").alias("html"),
+        )
     )
 
 
