@@ -488,7 +488,8 @@ def _written(docs: DataFrame, text: str, doc: str) -> tuple[DataFrame, list[str]
                 F.coalesce(F.col(at[doc]).cast("bigint"), F.lit(LAST)).alias("doc"),
                 F.col(at[text]).cast("string").alias("text"),
                 *(c for c in names if c != at[text]),
-            )
+            ),
+            compression="zstd",
         ),
         names,
     )
