@@ -10,13 +10,20 @@ sides. Rows meet by (length, segment number, text). What meets is compared by a
 sketch of letter counts, which an edit changes by two at most, and what is left
 is verified on the texts with a banded bit-parallel edit distance.
 
-Lines are known by 128-bit hashes outside the tasks that read them. Texts of
-lines are fetched for candidate pairs only; a Bloom filter of bounded size tells
-tasks which lines these may be.
+A line has to go if *some* earlier line is near. So in each bucket it is paired with
+the ``FIRST`` earliest lines whose sketch is alike; copies of one line all meet the first of
+them, and pairs stay in proportion to lines. Lines that had more such partners and for which none of
+the first was near are paired with all the others in a second pass.
+
+Lines are known by 128-bit hashes outside the tasks that read them; in buckets 64
+bits do, as all texts of a hash are verified. Texts of lines are fetched for candidate
+pairs only; a Bloom filter of bounded size tells tasks which lines these may be.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -36,8 +43,11 @@ SPACE = " \t\n\r\x0b\x0c"
 FILTER_BITS = 1 << 27
 #: Lines that a task remembers so as not to send their rows again.
 REMEMBERED = 500_000
-#: Candidates of a bucket that are compared at once.
+#: Candidates of a bucket that are compared at once, and partners of a line there that are verified first.
 BLOCK = 1024
+FIRST = 4
+#: A line's place is one number: its row, then its number among the long lines of the text. Rows are numbered below 2**36.
+LINE_BITS, ROW_BITS = 27, 36
 
 
 def lines_of(text: str) -> list[str]:
@@ -155,22 +165,36 @@ def places(docs: DataFrame) -> DataFrame:
 
 
 def keys(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(key, h1, mark) for each line and substring; mark is the sketch, doubled, plus 1 for own segments."""
+    """(key, h1, mark, at) for each line and substring.
+
+    ``mark`` is the sketch, doubled, plus 1 for own segments; ``at`` the line's first place
+    among those that the task has seen.
+    """
 
     def run(batches):
         plans: dict[int, tuple] = {}
-        seen: set[int] = set()
+        seen: dict[int, int] = {}
         hashed = xxhash.xxh64_digest
         for batch in batches:
-            texts = batch.column(0).to_pylist()
+            ids, texts = (c.to_pylist() for c in batch.columns)
             for start, end in slices(texts, 1_000_000):
-                lines = list({line for x in texts[start:end] if x for line in lines_of(x) if len(line) >= LEAST_CHARS})
+                first: dict[str, int] = {}
+                for i in range(start, end):
+                    if texts[i]:
+                        at = ids[i] << LINE_BITS
+                        for line in lines_of(texts[i]):
+                            if len(line) >= LEAST_CHARS:
+                                if first.setdefault(line, at) > at:
+                                    first[line] = at
+                                at += 1
+                lines = list(first)
                 found: list[bytes] = []
-                h1, counts, marks = [], [], []
+                h1, counts, marks, places = [], [], [], []
                 for line, h in zip(lines, digests(lines)[:, 0].tolist(), strict=True):
-                    if h in seen:
+                    at = first[line]
+                    if seen.get(h, at + 1) <= at:
                         continue
-                    seen.add(h)
+                    seen[h] = at
                     if len(plans) > 10_000:
                         plans.clear()
                     if len(line) not in plans:
@@ -187,6 +211,7 @@ def keys(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
                     h1.append(h)
                     counts.append(len(plan))
                     marks.append(own + 2 * mark)
+                    places.append(at)
                 if len(seen) > REMEMBERED:
                     seen.clear()
                 if h1:
@@ -195,43 +220,80 @@ def keys(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
                             pa.array(np.frombuffer(b"".join(found), "<i8")),
                             pa.array(np.repeat(np.array(h1, np.int64), counts)),
                             pa.array(np.concatenate(marks)),
+                            pa.array(np.repeat(np.array(places, np.int64), counts)),
                         ],
-                        ["key", "h1", "mark"],
+                        ["key", "h1", "mark", "at"],
                     )
 
-    return docs.select("text").mapInArrow(run, "key bigint, h1 bigint, mark bigint")
+    return docs.select("doc_id", "text").mapInArrow(run, "key bigint, h1 bigint, mark bigint, at bigint")
 
 
-def candidates(rows: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Distinct (a, b) of lines that meet in a bucket and whose sketches are alike, a < b.
+def partners(
+    h1: np.ndarray, mark: np.ndarray, at: np.ndarray, threshold: int, most: int | None, asked: np.ndarray | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(later, earlier) of the lines of a bucket whose sketches are alike, block by block.
 
-    Rows are dealt out by key and read sorted, as a stream; a task holds one bucket at a time.
+    Of each line the ``most`` earliest partners, or all; a line that has more comes with itself
+    too. ``asked`` are the lines that want any.
+    """
+    order = np.lexsort((at, h1))
+    h1, mark, at = h1[order], mark[order], at[order]
+    starts = np.flatnonzero(np.concatenate([[True], h1[1:] != h1[:-1]]))
+    own = np.maximum.reduceat(mark & 1, starts).astype(bool)
+    if len(starts) < 2 or not own.any():
+        return
+    order = np.argsort(at[starts], kind="stable")
+    h1, sketches, own = h1[starts][order], (mark >> 1)[starts][order], own[order]
+    wants = np.ones(len(h1), bool) if asked is None else np.isin(h1, asked)
+    for low in range(0, len(h1), BLOCK):
+        later = low + np.flatnonzero(wants[low : low + BLOCK])
+        found = np.zeros(len(later), np.int64)
+        for j in range(0, low + BLOCK, BLOCK):
+            # A line with more than enough partners looks no further.
+            still = np.flatnonzero(found <= most) if most is not None else np.arange(len(later))
+            earlier = np.arange(j, min(j + BLOCK, len(h1)))
+            if not len(still):
+                break
+            rows = later[still]
+            near = alike(sketches[rows], sketches[earlier], threshold)
+            near &= (own[rows, None] | own[None, earlier]) & (earlier[None, :] < rows[:, None])
+            if most is not None:
+                count = near.cumsum(1) + found[still, None]
+                found[still] = count[:, -1]
+                near &= count <= most
+            x, y = np.nonzero(near)
+            if len(x):
+                yield h1[rows[x]], h1[earlier[y]]
+        if most is not None and (found > most).any():
+            yield h1[later[found > most]], h1[later[found > most]]
+
+
+def candidates(rows: DataFrame, threshold: int = THRESHOLD, most: int | None = FIRST, asked: DataFrame | None = None) -> DataFrame:
+    """Distinct (a, b) of a line and an earlier one that meet in a bucket and whose sketches are alike.
+
+    At most ``most`` for each line and bucket; a line that has more comes with itself too. ``asked(h1)``
+    limits the lines that look for partners. Rows are dealt out by key and read sorted, as a stream.
     """
+    if asked is not None:
+        marked = spread_lookup(rows, asked.withColumn("asked", F.lit(True)), ["h1"], ["key"], "left")
+        marked = marked.withColumn("asked", F.coalesce("asked", F.lit(False)))
+        busy = marked.filter("asked").select("key").distinct()
+        rows = spread_lookup(marked, busy, ["key"], ["h1"])
+
+    everyone = asked is None
 
-    def close(h1: np.ndarray, mark: np.ndarray):
-        own = (mark & 1).astype(bool)
-        if not own.any():
-            return
-        a, first = np.unique(h1[own], return_index=True)
-        if len(a) == 1 and (h1 == a[0]).all():
-            return
-        b, other = np.unique(h1, return_index=True)
-        sa, sb = mark[own][first] >> 1, mark[other] >> 1
-        for i in range(0, len(a), BLOCK):
-            for j in range(0, len(b), BLOCK):
-                x, y = a[i : i + BLOCK], b[j : j + BLOCK]
-                near = alike(sa[i : i + BLOCK], sb[j : j + BLOCK], threshold) & (x[:, None] != y[None, :])
-                left, right = np.nonzero(near)
-                if len(left):
-                    pair = np.sort(np.stack([x[left], y[right]]), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
+    def close(parts):
+        h1, mark, at, wants = (np.concatenate(c) for c in zip(*parts, strict=True))
+        for a, b in partners(h1, mark, at, threshold, most, None if everyone else h1[wants]):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     def run(batches):
         current, held = None, []
         for batch in batches:
-            key, h1, mark = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            key, h1, mark, at, *wants = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             if not len(key):
                 continue
+            wants = wants[0] if wants else np.ones(len(key), bool)
             cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
             starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(key)]])
             # Whole buckets inside this batch that have one row meet nobody.
@@ -240,18 +302,19 @@ def candidates(rows: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
             for start, end in zip(starts[busy].tolist(), ends[busy].tolist(), strict=True):
                 if key[start] != current:
                     if len(held) > 1 or (held and len(held[0][0]) > 1):
-                        yield from close(*(np.concatenate(c) for c in zip(*held, strict=True)))
+                        yield from close(held)
                     current, held = key[start], []
-                held.append((h1[start:end], mark[start:end]))
+                held.append((h1[start:end], mark[start:end], at[start:end], wants[start:end]))
         if held:
-            yield from close(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            yield from close(held)
 
-    dealt = rows.repartition("key").sortWithinPartitions("key")
+    columns = ["key", "h1", "mark", "at", *(["asked"] if asked is not None else [])]
+    dealt = rows.select(*columns).repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(h1, text) of lines whose hash is in ``wanted`` (h1), and perhaps of some others."""
+    """(h1, h2, text) of the lines whose first half of the hash is in ``wanted`` (h1)."""
     n = wanted.count()
     bits = 1 << 20
     while bits < min(16 * n, FILTER_BITS):
@@ -273,88 +336,119 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             texts = batch.column(0).to_pylist()
             for start, end in slices(texts):
                 lines = list({line for x in texts[start:end] if x for line in lines_of(x) if len(line) >= LEAST_CHARS})
-                h = digests(lines)[:, 0]
+                both = digests(lines)
+                h = both[:, 0]
                 at = h % bits
                 hit = np.flatnonzero(sent.value[at >> 3] >> (at & 7).astype(np.uint8) & 1)
-                new = [i for i in hit.tolist() if int(h[i]) not in seen]
-                seen.update(h[new].tolist())
+                new = [i for i in hit.tolist() if int(both[i, 1]) not in seen]
+                seen.update(both[new, 1].tolist())
                 if len(seen) > REMEMBERED:
                     seen.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(h[new]), pa.array([lines[i] for i in new], pa.string())], ["h1", "text"])
+                halves = [pa.array(both[new, k].copy()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*halves, pa.array([lines[i] for i in new], pa.string())], ["h1", "h2", "text"])
 
-    found = docs.select("text").mapInArrow(run, "h1 bigint, text string")
-    return found.join(wanted, "h1", "left_semi").dropDuplicates(["h1"])
+    found = docs.select("text").mapInArrow(run, "h1 bigint, h2 bigint, text string")
+    return found.join(wanted, "h1", "left_semi").dropDuplicates(["h1", "h2"])
 
 
-def near_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(a, b, edits): hashes of all pairs of different lines at most ``threshold`` edits apart; doc_id, text in."""
-    pairs = materialize(candidates(keys(docs, threshold), threshold))
+def verified(docs: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
+    """(a, a2, b, b2): both halves of the hashes of pairs (a, b) of lines that are at most ``threshold`` edits apart."""
     wanted = materialize(pairs.select(F.col("a").alias("h1")).union(pairs.select(F.col("b").alias("h1"))).distinct())
     texts = materialize(line_texts(docs, wanted))
     for side, other in (("a", "b"), ("b", "a")):
-        named = texts.select(F.col("h1").alias(side), F.col("text").alias(f"text_{side}"))
+        named = texts.select(F.col("h1").alias(side), F.col("h2").alias(f"{side}2"), F.col("text").alias(f"text_{side}"))
         pairs = spread_lookup(pairs, named, [side], [other])
 
     def run(batches):
         for batch in batches:
-            a, b, x, y = (batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))
-            far = [edits(p, q, threshold) for p, q in zip(x, y, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(far, pa.int32())], ["a", "b", "edits"]
-            )
+            x, y = (batch.column(c).to_pylist() for c in ("text_a", "text_b"))
+            near = [edits(p, q, threshold) is not None for p, q in zip(x, y, strict=True)]
+            yield batch.select(["a", "a2", "b", "b2"]).filter(pa.array(near, pa.bool_()))
+
+    return pairs.mapInArrow(run, "a bigint, a2 bigint, b bigint, b2 bigint")
+
 
-    return pairs.mapInArrow(run, "a bigint, b bigint, edits int").filter("edits is not null")
+def near_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(h1, h2) of the lines of ``docs(doc_id, text)`` that are near to an earlier, different one."""
+    rows = keys(docs, threshold)
+    met = materialize(candidates(rows, threshold))
+    close = materialize(verified(docs, met.filter("a <> b"), threshold))
+    later = close.select(F.col("a").alias("h1"), F.col("a2").alias("h2"))
+    undecided = met.filter("a = b").select(F.col("a").alias("h1")).join(later.select("h1"), "h1", "left_anti")
+    undecided = materialize(undecided)
+    if not undecided.isEmpty():
+        rest = materialize(candidates(rows, threshold, None, undecided))
+        rest = rest.join(met, ["a", "b"], "left_anti")
+        more = materialize(verified(docs, materialize(rest), threshold))
+        later = later.union(more.select("a", "a2"))
+    return later.distinct()
 
 
 def repeated(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, line, near): lines that repeat an earlier one; ``near`` if no earlier line is equal.
 
-    Lines stand in order of (doc_id, number in the document). The first of equal
+    ``docs(doc_id, text)`` with different ids. Lines stand in order of (doc_id, number in the document). The first of equal
     lines repeats another only if some line before it is near; so for every line
     that goes, one at most ``threshold`` edits away stands before it.
     """
     found = materialize(places(docs))
-    firsts = materialize(
-        found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first"))
-    )
-    close = materialize(near_lines(docs, threshold))
-    for side, other in (("a", "b"), ("b", "a")):
-        named = firsts.groupBy(F.col("h1").alias(side)).agg(F.min("first").alias(f"first_{side}"))
-        close = spread_lookup(close, materialize(named), [side], [other])
-    later = materialize(
-        close.select(F.when(F.col("first_a") > F.col("first_b"), F.col("a")).otherwise(F.col("b")).alias("h1"))
-        .distinct()
-        .withColumn("near", F.lit(True))
-    )
-    known = materialize(firsts.join(later, "h1", "left"))
+    firsts = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first"))
+    later = near_lines(docs, threshold).withColumn("near", F.lit(True))
+    known = materialize(firsts.join(later, ["h1", "h2"], "left"))
     marked = spread_lookup(found, known, ["h1", "h2"], ["doc_id", "line"])
     first = F.struct("doc_id", "line") == F.col("first")
     return marked.filter(~first | F.coalesce("near", F.lit(False))).select("doc_id", "line", first.alias("near"))
 
 
+def numbered(docs: DataFrame, doc: str) -> DataFrame:
+    """``docs`` with ``_row``, a different number for each row in order of (``doc``, place in the table), null first.
+
+    That is the id itself where ids are different and small; otherwise rows are numbered in written tables.
+    """
+    key = F.col(doc).cast("bigint")
+    spread = docs.select(key.alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    seen = spread.agg(F.max("n").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), F.count_if(F.col("id").isNull()).alias("none")).first()
+    if not seen["none"] and (seen["n"] or 1) == 1 and (seen["low"] or 0) >= 0 and (seen["high"] or 0) < 1 << ROW_BITS:
+        return docs.withColumn("_row", key)
+    rows = materialize(docs.withColumn("_at", F.monotonically_increasing_id()), compression="zstd")
+    ordered = rows.select(key.alias("_id"), "_at").orderBy(F.col("_id").asc_nulls_first(), "_at")
+    ordered = materialize(ordered.select("_at", F.monotonically_increasing_id().alias("_nth")))
+    # The upper bits of the number are the partition, a dense number needs those before it.
+    part = F.shiftright("_nth", 33)
+    sizes = sorted(ordered.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
+    starts = dict(zip([r["part"] for r in sizes], np.cumsum([0, *(r["n"] for r in sizes)]).tolist(), strict=False))
+    if not starts:
+        return rows.withColumn("_row", F.col("_at")).drop("_at")
+    start = F.element_at(F.create_map(*[F.lit(x) for k, v in starts.items() for x in (k, v)]), part)
+    ranked = ordered.select("_at", (start + F.col("_nth").bitwiseAND(F.lit((1 << 33) - 1))).alias("_row"))
+    return materialize(rows.join(ranked, "_at").drop("_at"), compression="zstd")
+
+
 def clean(docs: DataFrame, text: str = "text", doc: str = "doc_id", threshold: int = THRESHOLD) -> DataFrame:
     """``docs`` without repeated lines in ``text``, plus ``n_lines``, ``n_repeated`` and ``n_near``.
 
     ``n_lines`` counts the lines of ``LEAST_CHARS`` or more, ``n_repeated`` those that
     went because an equal line stands before, ``n_near`` the others that went. Null
-    texts stay null. Rows that repeat a doc_id count as one document (lines that are
-    first in it stay in all its rows); a null doc_id counts as the smallest. Input
-    columns with the names of the new ones are replaced.
+    texts stay null. Rows are documents of their own: those that share a doc_id follow each other in
+    the order of the table, those without one come first. Input columns with the names of the
+    new ones are replaced.
     """
-    plain = docs.select(F.coalesce(F.col(doc).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.col(text).alias("text"))
+    new = ("n_lines", "n_repeated", "n_near")
+    kept = [c for c in docs.columns if c.lower() not in new]
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    rows = numbered(docs.toDF(*names.values()), names[doc])
+    plain = rows.select(F.col("_row").alias("doc_id"), F.col(names[text]).alias("text"))
     gone = repeated(plain, threshold).groupBy(F.col("doc_id").alias("_id")).agg(
         F.collect_set(F.when(~F.col("near"), F.col("line"))).alias("_equal"),
         F.collect_set(F.when(F.col("near"), F.col("line"))).alias("_near"),
     )
-    new = ("n_lines", "n_repeated", "n_near")
-    kept = [c for c in docs.columns if c.lower() not in new]
-    key = F.coalesce(F.col(doc).cast("long"), F.lit(-(1 << 63)))
-    joined = docs.select(*(docs[f"`{c}`"] for c in kept)).join(gone, key == F.col("_id"), "left").drop("_id")
+    joined = rows.select("_row", *(names[c] for c in kept)).join(gone, F.col("_row") == F.col("_id"), "left").drop("_id", "_row")
     schema = StructType(joined.schema.fields[: len(kept)])
-    schema[text].nullable = True
+    schema[names[text]].nullable = True
     for name in new:
-        schema = schema.add(name, "long")
+        schema = schema.add(f"_{name}", "long")
     place = kept.index(text)
+    made = schema.names
 
     def run(batches):
         for batch in batches:
@@ -369,6 +463,6 @@ def clean(docs: DataFrame, text: str = "text", doc: str = "doc_id", threshold: i
             columns = columns[:-2]
             columns[place] = pa.array(out, columns[place].type)
             counts = np.array(counts, np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c) for c in counts.T.copy())], [*kept, *new])
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c) for c in counts.T.copy())], made)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(run, schema).toDF(*kept, *new)

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rolecall.llm import components, decontaminate, exactdedup, linededup, nearsets, queries, simhash
@@ -74,6 +75,47 @@ def test_line_dedup(spark):
     assert removed > 20
 
 
+def test_line_dedup_tells_rows_apart(spark):
+    """Rows that share an id, or have none, are documents of their own; clashing columns stay."""
+    line = "a line that is long enough to be compared with others, number %s"
+    rows = [(None, line % "one" + "\n" + line % "twenty"), (2, line % "three hundred"), (2, line % "four thousand" + "\n" + line % "one"),
+            (None, line % "three hundred"), (1 << 62, line % "one"), (-5, line % "four thousandd")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    docs = docs.withColumns({c: F.lit(c) for c in ("_id", "_row", "_equal", "_near", "_bucket", "_at", "c0")})
+    got = linededup.clean(docs).collect()
+    assert all(r["_id"] == "_id" and r["c0"] == "c0" for r in got)
+    # In order: both rows without an id, -5, both rows of id 2, the last.
+    want = [(None, line % "one" + "\n" + line % "twenty"), (None, line % "three hundred"), (-5, line % "four thousandd"), (2, ""), (2, ""), (1 << 62, "")]
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1])
+    assert sorted(((r.doc_id, r.text) for r in got), key=key) == sorted(want, key=key)
+
+
+def test_pairs_stay_in_proportion_to_copies(spark):
+    """Lines of one template that are all near each other meet the first ones only."""
+    made = {}
+    for n in (200, 800):
+        docs = [(i, f"the same line of a template with a number in it: {i % 100:02d} and no more{'.' * (i // 100)}") for i in range(n)]
+        rows = linededup.keys(spark.createDataFrame(docs, "doc_id long, text string"))
+        made[n] = linededup.candidates(rows).count()
+    assert all(pairs <= 30 * n for n, pairs in made.items()), made
+
+
+def test_lines_beyond_the_first_partners_are_found(spark, monkeypatch):
+    """Letters in another order have the same sketch, so that the first partners of a line are not near it."""
+    monkeypatch.setattr(linededup, "BLOCK", 4)
+    random.seed(8)
+    head, tail = "one common segment of lines ", list("abcdefghijklmnopqrstuvwx")
+    others = []
+    for _ in range(12):
+        random.shuffle(tail)
+        others.append(head + "".join(tail) + head)
+    docs = [(i, t) for i, t in enumerate(others)] + [(99, others[-1].replace("one", "two", 1))]
+    docs += [(100, others[-1][:-1] + "!")]
+    got = {r.doc_id: r.n_near for r in linededup.clean(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    near = {i: int(any(distance(t, u) <= 2 for _, u in docs[:k])) for k, (i, t) in enumerate(docs)}
+    assert got == near and near[100] == 1
+
+
 def plain_components(prints):
     parent = list(range(len(prints)))
 
