@@ -12,15 +12,20 @@ in that shard to the most common, until nothing is left or all words have been
 met. What remains are exact phrase matches, with no look at the texts. Windows
 that only come near (all but ``MISSED`` of 13 terms, in proportion for shorter
 ones, stand in order within ``SLACK`` words of their places, and the document has
-no exact match of the item) are proximity matches. They are looked for from each
-of the rarest terms in the shard, one more than may be missed, so none gets lost.
+no exact match of the item) are proximity matches. First it is counted for blocks of
+windows how many of a window's terms each document has at all; only documents that
+have enough of them are searched, from each of the rarest terms in the
+shard, one more than may be missed, so none gets lost.
 
 The test side is sent to executors in blocks of at most ``BLOCK_WORDS`` words;
-a larger benchmark is searched block by block and the hits are merged.
+a larger benchmark is searched block by block. Rows are numbered then, and the hits
+of a row are merged by its number.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -49,8 +54,9 @@ BLOCK_WORDS = 1_000_000
 #: With these values a match can't reach over the ``WINDOW`` numbers between documents.
 MISSED = 3
 SLACK = 3
-#: Characters of documents in a shard.
+#: Characters of documents in a shard, and (window, document) cells that are counted at once.
 SHARD_CHARS = 8_000_000
+CELLS = 4_000_000
 
 SHARD = StructType(
     [
@@ -151,8 +157,37 @@ def intersect(window: tuple[int, ...], lists: dict[int, np.ndarray]) -> np.ndarr
     return starts
 
 
-def nearby(window: tuple[int, ...], lists: dict[int, np.ndarray]) -> np.ndarray:
-    """Positions, one for each place where enough of the window's terms stand in order within SLACK words of theirs."""
+def enough(
+    windows: list[tuple[int, ...]], lists: dict[int, np.ndarray], documents: dict[int, np.ndarray], n_docs: int
+) -> Iterator[tuple[int, np.ndarray]]:
+    """(number, documents) of windows of which some documents have all terms but those that may be missed.
+
+    ``documents`` are the documents of the postings in ``lists``. Terms are counted by place, so a
+    term that stands twice in a window counts twice.
+    """
+    row = {t: i for i, t in enumerate(lists)}
+    step = max(CELLS // max(n_docs, 1), 1)
+    held = np.zeros((len(row) + 1, n_docs), np.uint8)  # the last row is that of terms the shard lacks
+    for t, i in row.items():
+        held[i, documents[t]] = 1
+    for low in range(0, len(windows), step):
+        part = windows[low : low + step]
+        counts = np.zeros((len(part), n_docs), np.uint8)
+        for k in range(WINDOW):
+            counts += held[[row.get(w[k], -1) if k < len(w) else -1 for w in part]]
+        need = np.array([len(w) - MISSED * len(w) // WINDOW for w in part], np.uint8)
+        fits = counts >= need[:, None]
+        for i in np.flatnonzero(fits.any(1)).tolist():
+            yield low + i, fits[i]
+
+
+def nearby(
+    window: tuple[int, ...], lists: dict[int, np.ndarray], documents: dict[int, np.ndarray], fits: np.ndarray
+) -> np.ndarray:
+    """Positions, one for each place where enough of the window's terms stand in order within SLACK words of theirs.
+
+    Only documents that ``fits`` has are looked at; ``documents`` are those of the postings in ``lists``.
+    """
     missed = MISSED * len(window) // WINDOW
     present = [k for k, t in enumerate(window) if t in lists]
     spare = missed - (len(window) - len(present))
@@ -160,7 +195,7 @@ def nearby(window: tuple[int, ...], lists: dict[int, np.ndarray]) -> np.ndarray:
         return np.empty(0, "i8")
     present.sort(key=lambda k: len(lists[window[k]]))
     # At most ``spare`` of the terms in the shard are missed: one of the rarest spare + 1 is met.
-    starts = np.concatenate([lists[window[k]] - k for k in present[: spare + 1]])
+    starts = np.concatenate([lists[window[k]][fits[documents[window[k]]]] - k for k in present[: spare + 1]])
     # Seen from a met term's own place, other terms may be off by twice the slack: few places are left by that.
     starts = _met(starts, present, window, lists, 2 * SLACK, spare)
     if not len(starts):
@@ -224,6 +259,7 @@ def search(index: DataFrame, block: list[tuple[int, list[bytes]]], terms: dict[b
 
     def run(batches):
         queries, items = sent.value
+        phrases = [window for window, _ in queries]
         for batch in batches:
             for shard in batch.to_pylist():
                 positions = np.frombuffer(shard["positions"], "<u4").astype("i8")
@@ -231,12 +267,15 @@ def search(index: DataFrame, block: list[tuple[int, list[bytes]]], terms: dict[b
                 bases = np.array(shard["bases"], "i8")
                 found: dict[int, list] = {}
                 near: dict[int, set[int]] = {}
-                document = lambda starts, bases=bases: (np.searchsorted(bases, np.maximum(starts, 0), "right") - 1).tolist()
-                for window, owners in queries:
+                document = lambda starts, bases=bases: np.searchsorted(bases, np.maximum(starts, 0), "right") - 1
+                documents = {t: document(places) for t, places in lists.items()}
+                # A window that no document has enough terms of has no exact match either.
+                for number, fits in enough(phrases, lists, documents, len(bases)) if lists else ():
+                    window, owners = queries[number]
                     starts = intersect(window, lists) if all(t in lists for t in window) else ()
-                    for start, d in zip(list(starts), document(starts) if len(starts) else (), strict=True):
+                    for start, d in zip(list(starts), document(starts).tolist() if len(starts) else (), strict=True):
                         found.setdefault(d, []).append((start, start + len(window), owners))
-                    for d in set(document(nearby(window, lists))):
+                    for d in set(document(nearby(window, lists, documents, fits)).tolist()):
                         near.setdefault(d, set()).update(owners)
                 columns: list[list] = [[], [], [], [], []]
                 for d, (doc, n) in enumerate(zip(shard["doc_ids"], shard["n_words"], strict=True)):
@@ -256,6 +295,15 @@ def search(index: DataFrame, block: list[tuple[int, list[bytes]]], terms: dict[b
     return index.mapInArrow(run, schema)
 
 
+def search_all(docs: DataFrame, block: list[tuple[int, list[bytes]]], text: str, doc: str) -> DataFrame:
+    """One block of items searched in an index of its terms."""
+    terms: dict[bytes, int] = {}
+    for _, words in block:
+        for w in words:
+            terms.setdefault(w, len(terms))
+    return search(build_index(docs, terms, text, doc), block, terms)
+
+
 def covered(hits: Column) -> Column:
     """Number of words in a union of spans that may overlap."""
     walk = F.aggregate(
@@ -278,29 +326,25 @@ def matches(
     one. ``hits`` are the word spans inside exact matches, ``n_hit`` the words in
     them; a document is contaminated if that is a twentieth of its words or more.
     Null texts have no words; items without words match nothing; items without an
-    id count as hits but are not listed. Rows that share a doc_id are told apart
-    unless the benchmark needs several blocks, where they are merged.
+    id count as hits but are not listed. Every row has its own result, whatever its doc_id.
     """
-    parts = []
-    for block in blocks(benchmark, item, item_text):
-        terms: dict[bytes, int] = {}
-        for _, words in block:
-            for w in words:
-                terms.setdefault(w, len(terms))
-        parts.append(search(build_index(docs, terms, text, doc), block, terms))
-    if not parts:
-        parts.append(search(build_index(docs, {}, text, doc), [], {}))
-    found = parts[0]
-    if len(parts) > 1:
-        for part in parts[1:]:
-            found = found.union(part)
+    todo = blocks(benchmark, item, item_text)
+    first, second = next(todo, []), next(todo, None)
+    if second is None:
+        found = search_all(docs, first, text, doc)
+    else:
+        numbered = materialize(
+            docs.select(F.monotonically_increasing_id().alias("num"), F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
+        )
+        parts = [search_all(numbered, block, "text", "num") for block in itertools.chain([first, second], todo)]
         gather = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
-        found = found.groupBy("doc_id").agg(
+        found = functools.reduce(DataFrame.union, parts).groupBy(F.col("doc_id").alias("num")).agg(
             F.max("n_words").alias("n_words"),
             F.flatten(F.collect_list("hits")).alias("hits"),
             gather("items").alias("items"),
             gather("near_items").alias("near_items"),
         )
         found = found.withColumn("near_items", F.array_except("near_items", "items"))
+        found = found.join(numbered.select("num", "doc_id"), "num").drop("num")
     found = found.withColumn("n_hit", covered(F.col("hits")))
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
