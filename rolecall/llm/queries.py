@@ -176,9 +176,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, by models of the documents that are not held out."""
-    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
-    model = langid.fit(docs)
-    found = langid.predict(docs, model, keep=["doc_id"])
+    found = langid.label(documents(spark, sf_dir, "doc_id", "text", "lang"), keep=["doc_id"])
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 

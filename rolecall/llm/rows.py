@@ -33,8 +33,9 @@ def map_texts(
     fields: StructType,
     text: str = "text",
     keep: list[str] | None = None,
+    limit: int = SLICE_CHARS,
 ) -> DataFrame:
-    """``keep`` columns (default all) of every row, followed by ``fields``.
+    """``keep`` columns (default all) of every row, followed by ``fields``; about ``limit`` characters at once.
 
     ``make`` runs once in every task and returns a function from a list of texts
     (null is given as the empty text) to one list or array for each field. A
@@ -53,7 +54,7 @@ def map_texts(
         work = make()
         for batch in batches:
             texts = batch.column(place).to_pylist()
-            for start, end in slices(texts):
+            for start, end in slices(texts, limit):
                 made = work([x or "" for x in texts[start:end]])
                 columns = [batch.column(i).slice(start, end - start) for i in places] + list(made)
                 columns = [
