@@ -31,10 +31,10 @@ from rolecall.llm.rows import map_texts
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A space here does not start a word of its own; such texts are split by the whole pattern.
 JOINED_SPACE = re.compile(r"\s (?=\s|\Z)")
-#: Entries of a worker's memory of encoded words; it starts anew beyond that.
-REMEMBERED = 400_000
-#: Token pairs that a worker remembers; it starts anew beyond that.
-PAIRS = 2_000_000
+#: Entries of a worker's memory of encoded words, and of pieces: some 30 MB each. It starts anew beyond that.
+REMEMBERED = 150_000
+#: Token pairs that a worker remembers, some 50 MB; it starts anew beyond that.
+PAIRS = 500_000
 #: Longer words are encoded but not remembered.
 REMEMBERED_CHARS = 64
 
