@@ -271,3 +271,42 @@ def top_matches(spark, sf):
         "explanation",
         "rank",
     )
+
+
+@query(
+    "idle_ranges",
+    MATCH
+    + """ SELECT p.resume_id, p.board_id, count(*) AS idle_jobs FROM pairs p JOIN jobs j USING (board_id)
+          LEFT JOIN dots d ON d.resume_id = p.resume_id AND d.board_id = p.board_id AND d.ord = j.ord
+          WHERE d.ord IS NULL GROUP BY ALL""",
+)
+def idle_ranges(spark, sf):
+    """Jobs that share no term with the résumé, kept as ranges of listing order."""
+    _, idle = match.score_shared(recipes.resumes(spark, sf), recipes.jobs(spark, sf), recipes.pairs(spark, sf))
+    return idle.groupBy("resume_id", "board_id").agg(F.sum("jobs").alias("idle_jobs"))
+
+
+@query(
+    "shared_matches",
+    MATCH
+    + """ SELECT l.resume_id, l.board_id, l.ord, l.score, array_to_string(matched, ' ') AS matched_keywords,
+          CASE WHEN l.score > 0 THEN CAST(row_number() OVER (PARTITION BY l.resume_id, l.board_id ORDER BY l.score DESC, l.ord) AS INT) END AS rank
+          FROM listed l JOIN dots d ON d.resume_id = l.resume_id AND d.board_id = l.board_id AND d.ord = l.ord""",
+)
+def shared_matches(spark, sf):
+    """Only the jobs that share a term, with their rank among all."""
+    found, _ = match.score_shared(recipes.resumes(spark, sf), recipes.jobs(spark, sf), recipes.pairs(spark, sf))
+    return found.select(
+        "resume_id", "board_id", "ord", "score", F.array_join("matched_keywords", " ").alias("matched_keywords"), "rank"
+    )
+
+
+@query(
+    "scored_share",
+    MATCH + " SELECT p.resume_id, p.board_id, count(*) AS jobs, true AS within FROM pairs p JOIN jobs j USING (board_id) GROUP BY ALL",
+)
+def scored_share(spark, sf):
+    """Jobs of the board of each résumé, and that no more than those were scored for the best five."""
+    share = match.scored_share(recipes.resumes(spark, sf), recipes.jobs(spark, sf), recipes.pairs(spark, sf), 5)
+    within = F.col("scored").between(F.least(F.col("jobs"), F.lit(5)), F.col("jobs"))
+    return share.select("resume_id", "board_id", "jobs", within.alias("within"))

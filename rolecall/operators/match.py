@@ -30,6 +30,7 @@ from . import skew, tiles
 
 SENTINEL = ""
 TILE_JOBS, TILE_RESUMES = 4096, 256
+TILE = ["board_id", "jt", "rt"]
 
 
 def idf(n_jobs: Column, df: Column) -> Column:
@@ -233,19 +234,25 @@ def score_jobs(
     term gives score 0 everywhere. The job vectors are written once to the shared
     folder and read by every later step.
 
-    ``top_k`` keeps the best k per pair; tiles pass on only rows that may be among
-    them, and keywords are worked out for those alone.
-    ``keep_idle=False`` leaves out jobs that share no term altogether.
+    ``top_k`` keeps the best k per pair; tiles score only jobs that may be among
+    them (``scored_share``), and keywords are worked out for those alone.
+    ``keep_idle=False`` leaves out jobs that share no term altogether; otherwise they
+    move as ranges and become rows at the end. ``score_shared`` leaves them as ranges.
 
     Keyword lists and explanations are whole. Display limits: ``listed`` words in
     each list, ``told`` shared and missing words in the explanation (job sites
     show 10, 8 and 5).
     """
+    jobs, people = _sides(resumes, listings, pairs)
+    return _matches(jobs, people, top_k, keep_idle, listed, told)
+
+
+def _sides(resumes: DataFrame, listings: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Vectors of the jobs, written, and of the pairs."""
     pairs = pairs.select("resume_id", "board_id").distinct()
     boards = pairs.groupBy("board_id").agg(F.count(F.lit(1)).alias("n_pairs"))
     jobs = skew.materialize(job_vectors(listings, boards))
-    people = resume_vectors(resume_terms(resumes), pairs, board_df(jobs))
-    return _matches(jobs, people, top_k, keep_idle, listed, told)
+    return jobs, resume_vectors(resume_terms(resumes), pairs, board_df(jobs))
 
 
 def score_new(
@@ -288,39 +295,34 @@ def score_new(
     return _matches(hold(jobs), resume_vectors(terms, pairs, df), hold=hold)
 
 
-def _matches(
-    jobs: DataFrame,
-    people: DataFrame,
-    top_k: int | None = None,
-    keep_idle: bool = True,
-    listed: int | None = None,
-    told: tuple[int | None, int | None] = (None, None),
-    hold: Callable[[DataFrame], DataFrame] = skew.materialize,
-) -> DataFrame:
-    """Meet tile by tile, rank, and write the sentences.
+def _tiles(jobs: DataFrame, people: DataFrame) -> DataFrame:
+    """Vectors of both sides, dealt to the tiles where they meet.
 
     A board of J jobs and R résumés is cut into ceil(J/4096) x ceil(R/256) tiles, so
     neither a huge board nor a popular one lands in one task. A vector moves once
     to each of its tiles; terms are not joined as rows.
     """
-    tile = ["board_id", "jt", "rt"]
     left = (
         jobs.withColumn("jt", _tile("ord", "n_jobs", TILE_JOBS))
         .withColumn("rt", _each_tile("n_pairs", TILE_RESUMES))
-        .select(*tile, "ord", "senior", "terms")
+        .select(*TILE, "ord", "senior", "terms")
     )
     right = (
         people.withColumn("rt", _tile("resume_id", "n_pairs", TILE_RESUMES))
         .withColumn("jt", _each_tile("n_jobs", TILE_JOBS))
-        .select(*tile, "resume_id", "years", "n_jobs", "norm2", "terms", "top")
+        .select(*TILE, "resume_id", "years", "n_jobs", "norm2", "terms", "top")
     )
-    item = "array<struct<term: string, tf: bigint, df: bigint>>"
     parts = left.withColumn("is_job", F.lit(True)).unionByName(right.withColumn("is_job", F.lit(False)), allowMissingColumns=True)
-    parts = parts.withColumn("terms", F.col("terms").cast(item))
+    return parts.withColumn("terms", F.col("terms").cast("array<struct<term: string, tf: bigint, df: bigint>>"))
+
+
+def _met(jobs: DataFrame, people: DataFrame, top_k: int | None, keep_idle: bool) -> DataFrame:
+    """Pairs that share a term with their cosine and keywords, and the other jobs of each résumé as ranges (``tiles.meet``)."""
     schema = StructType(
         [people.schema["board_id"], people.schema["resume_id"]]
         + StructType.fromDDL(
-            "ord bigint, n_jobs bigint, senior boolean, years double, cosine double, matched array<string>, missing array<string>"
+            "ord bigint, n_jobs bigint, senior boolean, years double, cosine double, matched array<string>, "
+            "missing array<string>, jt int, idle_from bigint, idle_jobs bigint"
         ).fields
     )
     arrow = to_arrow_schema(schema)
@@ -328,14 +330,95 @@ def _matches(
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from tiles.meet(key, batches, arrow, top_k, keep_idle)
 
-    met = parts.groupBy(*tile).applyInArrow(run, schema)
+    return _tiles(jobs, people).groupBy(*TILE).applyInArrow(run, schema)
+
+
+def _scored(met: DataFrame) -> DataFrame:
     penalty = F.when(F.col("senior") & (F.col("years") < 3), 0.4).otherwise(1.0)
-    scored = met.select(
+    return met.select(
         "resume_id", "board_id", "ord", "n_jobs", "matched", "missing",
         F.bround("cosine", 4).alias("score"),
         F.least(F.lit(100), F.bround(F.col("cosine") * 200 * penalty).cast("int")).alias("score_pct"),
     )
-    return _words(rank_matches(scored, top_k, hold), listed, told)
+
+
+def _listing(jobs: DataFrame) -> DataFrame:
+    """``(board_id, jt, listing)``: the jobs of each tile by ``ord`` with their best terms by name, at most a tile's worth."""
+    best = F.slice(_ordered(F.col("terms"), _board_weight), 1, rules.JOB_TOP_TERMS)
+    named = jobs.select(
+        "board_id",
+        _tile("ord", "n_jobs", TILE_JOBS).alias("jt"),
+        F.struct("ord", F.array_sort(F.transform(best, lambda t: t["term"])).alias("missing")).alias("job"),
+    )
+    return named.groupBy("board_id", "jt").agg(F.sort_array(F.collect_list("job")).alias("listing"))
+
+
+def expanded(idle: DataFrame, listing: DataFrame) -> DataFrame:
+    """The jobs of ranges ``idle(resume_id, board_id, n_jobs, jt, idle_from, idle_jobs)`` as scored rows: score 0, nothing shared."""
+    met = skew.spread_lookup(idle, listing, ["board_id", "jt"], ["resume_id"])
+    jobs = F.slice("listing", F.col("idle_from").cast("int") + 1, F.col("idle_jobs").cast("int"))
+    return met.select("resume_id", "board_id", "n_jobs", F.inline(jobs)).select(
+        "resume_id", "board_id", "ord", "n_jobs", F.array().cast("array<string>").alias("matched"), "missing",
+        F.lit(0.0).alias("score"), F.lit(0).alias("score_pct"),
+    )
+
+
+def _matches(
+    jobs: DataFrame,
+    people: DataFrame,
+    top_k: int | None = None,
+    keep_idle: bool = True,
+    listed: int | None = None,
+    told: tuple[int | None, int | None] = (None, None),
+    hold: Callable[[DataFrame], DataFrame] = skew.materialize,
+) -> DataFrame:
+    """Meet tile by tile, rank, and write the sentences. Jobs without a shared term are expanded from their ranges."""
+    met = _met(jobs, people, top_k, keep_idle)
+    if not keep_idle or top_k is not None:
+        return _words(rank_matches(_scored(met), top_k, hold), listed, told)
+    met = hold(met)
+    idle = expanded(met.filter("ord is null"), _listing(jobs))
+    return _words(rank_matches(_scored(met.filter("ord is not null")).unionByName(idle), None, hold), listed, told)
+
+
+def score_shared(
+    resumes: DataFrame,
+    listings: DataFrame,
+    pairs: DataFrame,
+    listed: int | None = None,
+    told: tuple[int | None, int | None] = (None, None),
+) -> tuple[DataFrame, DataFrame]:
+    """What ``score_jobs`` gives, in proportion to shared terms: ``(matches, idle)``.
+
+    ``matches`` are the jobs that share a term with the résumé; their ``rank`` is the one among all jobs,
+    or NULL where the score rounds to zero and jobs of ``idle`` stand among them. ``idle(resume_id, board_id, tile, first_ord,
+    last_ord, jobs)`` are the others: all jobs of that tile of the board from one ``ord`` to the other.
+    """
+    jobs, people = _sides(resumes, listings, pairs)
+    met = skew.materialize(_met(jobs, people, None, True))
+    ranked = rank_matches(_scored(met.filter("ord is not null")))
+    ranked = ranked.withColumn("rank", F.when(F.col("score") > 0, F.col("rank")))
+    ranges = skew.spread_lookup(met.filter("ord is null"), _listing(jobs), ["board_id", "jt"], ["resume_id"])
+    first = F.element_at("listing", F.col("idle_from").cast("int") + 1)
+    last = F.element_at("listing", (F.col("idle_from") + F.col("idle_jobs")).cast("int"))
+    idle = ranges.select(
+        "resume_id", "board_id", F.col("jt").alias("tile"), first["ord"].alias("first_ord"), last["ord"].alias("last_ord"),
+        F.col("idle_jobs").alias("jobs"),
+    )
+    return _words(ranked, listed, told), idle
+
+
+def scored_share(resumes: DataFrame, listings: DataFrame, pairs: DataFrame, top_k: int) -> DataFrame:
+    """``(resume_id, board_id, jobs, scored)``: of how many jobs of the board the best ``top_k`` were worked out, and of how many in all."""
+    jobs, people = _sides(resumes, listings, pairs)
+    schema = StructType([people.schema["board_id"], people.schema["resume_id"], *StructType.fromDDL("jobs bigint, scored bigint")])
+    arrow = to_arrow_schema(schema)
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from tiles.scored_pairs(key, batches, arrow, top_k)
+
+    found = _tiles(jobs, people).groupBy(*TILE).applyInArrow(run, schema)
+    return found.groupBy("resume_id", "board_id").agg(F.sum("jobs").alias("jobs"), F.sum("scored").alias("scored"))
 
 
 def _words(ranked: DataFrame, listed: int | None = None, told: tuple[int | None, int | None] = (None, None)) -> DataFrame:

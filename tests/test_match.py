@@ -2,10 +2,12 @@ import math
 import random
 from collections import Counter
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
-from rolecall.operators import match, skew
+from rolecall.operators import match, skew, tiles
 
 def tables(spark, resumes, boards):
     jobs = [(b, i, t, d) for b, listed in boards.items() for i, (t, d) in enumerate(listed)]
@@ -165,3 +167,72 @@ def test_attach_jobs(spark):
         "board_id STRING, ord LONG, title STRING, description STRING, location STRING, url STRING",
     )
     assert match.attach_jobs(matches, jobs).select(F.col("job.title"), F.col("job.url")).first() == ("t", "u")
+
+
+def some_boards(seed, sizes, most=60):
+    rnd = random.Random(seed)
+    vocabulary = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    some = lambda lo, hi: " ".join(rnd.choice(vocabulary) for _ in range(rnd.randint(lo, hi)))
+    return {b: [(some(0, 3), some(0, most)) for _ in range(n)] for b, n in sizes.items()}, {i: some(0, 20) for i in range(6)}
+
+
+def test_ranges_expand_to_the_whole_ranking(spark, small_tiles):
+    boards, resumes = some_boards(5, {"a": 17, "b": 4}, 6)
+    r, j = tables(spark, resumes, boards)
+    pairs = pairs_of(spark, [(i, b) for i in resumes for b in boards])
+    whole = {(x.resume_id, x.board_id, x.ord): x for x in match.score_jobs(r, j, pairs).collect()}
+    shared, idle = match.score_shared(r, j, pairs)
+    shared, idle = shared.collect(), idle.collect()
+    for x in shared:
+        y = whole[x.resume_id, x.board_id, x.ord]
+        assert (x.score, x.matched_keywords, x.explanation) == (y.score, y.matched_keywords, y.explanation)
+        assert x.rank == (y.rank if x.score else None)
+    rest = Counter((k[0], k[1]) for k in whole.keys() - {(x.resume_id, x.board_id, x.ord) for x in shared})
+    assert rest == Counter({k: sum(x.jobs for x in idle if (x.resume_id, x.board_id) == k) for k in rest}) and sum(rest.values()) > 20
+    assert all(whole[x.resume_id, x.board_id, o].score == 0 for x in idle for o in (x.first_ord, x.last_ord))
+
+
+def test_best_jobs_without_scoring_the_others(spark):
+    """A few jobs share the résumé's rare words; most share a common one and cannot reach the best five."""
+    boards = {"b": [("", "common word" + (" rare unusual seldom" if i % 100 == 7 else f" filler{i % 50:02d} stuff{i % 9}")) for i in range(1500)]}
+    r, j = tables(spark, {1: "common rare unusual seldom", 2: "nothing of it"}, boards)
+    pairs = pairs_of(spark, [(1, "b"), (2, "b")])
+    full = match.score_jobs(r, j, pairs).filter("rank <= 5").collect()
+    assert sorted(full) == sorted(match.score_jobs(r, j, pairs, top_k=5).collect())
+    share = {x.resume_id: x.scored / x.jobs for x in match.scored_share(r, j, pairs, 5).collect()}
+    assert share[1] < 0.05 and share[2] == 1
+
+
+def test_sparse_listing_numbers(spark):
+    """Statistics and ranks do not depend on how listing numbers are spread; no block of one job each."""
+    boards, resumes = some_boards(6, {"a": 40})
+    r, j = tables(spark, resumes, boards)
+    pairs = pairs_of(spark, [(i, "a") for i in resumes])
+    sparse = j.withColumn("ord", F.col("ord") * 1_000_003)
+    dense = {(x.resume_id, x.ord * 1_000_003): (x.score, x.rank) for x in match.score_jobs(r, j, pairs).collect()}
+    assert dense == {(x.resume_id, x.ord): (x.score, x.rank) for x in match.score_jobs(r, sparse, pairs).collect()}
+    plan = match.job_vectors(sparse)._jdf.queryExecution().optimizedPlan().toString()
+    assert "65536" not in plan
+
+
+def test_a_full_tile_comes_out_in_bounded_batches():
+    rnd = random.Random(1)
+    words = [f"w{i:03d}" for i in range(300)]
+    item = pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int64()), ("df", pa.int64())]))
+    terms = lambda n, df: [dict(term=w, tf=1, df=df) for w in sorted(rnd.sample(words, n))]
+    n_jobs, n_people = match.TILE_JOBS, match.TILE_RESUMES
+    jobs = pa.table({"is_job": [True] * n_jobs, "ord": list(range(n_jobs)), "senior": [False] * n_jobs, "terms": pa.array([terms(8, 109) for _ in range(n_jobs)], item)})
+    people = pa.table(
+        {"is_job": [False] * n_people, "resume_id": list(range(n_people)), "years": [1.0] * n_people, "n_jobs": [n_jobs] * n_people, "norm2": [9.0] * n_people,
+         "terms": pa.array([terms(6, 110) for _ in range(n_people)], item), "top": pa.array([[] for _ in range(n_people)], pa.list_(pa.string()))}
+    )
+    schema = pa.schema(
+        [("board_id", pa.string()), ("resume_id", pa.int64()), ("ord", pa.int64()), ("cosine", pa.float64()), ("missing", pa.list_(pa.string())),
+         ("idle_from", pa.int64()), ("idle_jobs", pa.int64())]
+    )
+    tile = pa.concat_tables([jobs, people], promote_options="default").to_batches()
+    pairs, most = 0, 0
+    for batch in tiles.meet((pa.scalar("b"), pa.scalar(0), pa.scalar(0)), iter(tile), schema):
+        most = max(most, batch.nbytes)
+        pairs += pc.sum(pc.fill_null(batch["idle_jobs"], 0)).as_py() + batch.num_rows - batch["ord"].null_count
+    assert pairs == n_jobs * n_people and most < 64 << 20
