@@ -57,15 +57,16 @@ def _card(page: pg.Page, anchor: Column) -> Column:
     return page.node(F.when(anchor["heads"] > 0, anchor["pre"]).otherwise(F.coalesce(climbed, anchor["parent"])))
 
 
-def _is_title(text: Column) -> Column:
-    return (text != "") & ~text.rlike(rules.BOARD_NAV_NOISE) & (F.length(text) <= rules.MAX_TITLE_CHARS)
+def _is_title(text: Column, max_chars: int | None) -> Column:
+    good = (text != "") & ~text.rlike(rules.BOARD_NAV_NOISE)
+    return good & (F.length(text) <= max_chars) if max_chars else good
 
 
-def _card_title(page: pg.Page, found: Column, card: Column, anchor: Column) -> Column:
+def _card_title(page: pg.Page, found: Column, card: Column, anchor: Column, max_chars: int | None) -> Column:
     """First heading of each level among those ``found`` in the card, else the link text, else the first real text."""
 
     def usable(text: Column) -> Column:
-        return let(text, lambda t: F.when(_is_title(t), t))
+        return let(text, lambda t: F.when(_is_title(t, max_chars), t))
 
     def by_level(found: Column) -> Column:
         def of_level(tag: Column) -> Column:
@@ -76,13 +77,16 @@ def _card_title(page: pg.Page, found: Column, card: Column, anchor: Column) -> C
         return F.when(F.size(found) > 0, pg.first(F.array_compact(levels)))
 
     piece = pg.first(
-        F.filter(page.pieces(card), lambda t: (t["noise"] <= page.level) & _is_title(t["s"]) & (F.length(t["s"]) > 4))
+        F.filter(page.pieces(card), lambda t: (t["noise"] <= page.level) & _is_title(t["s"], max_chars) & (F.length(t["s"]) > 4))
     )
     return F.coalesce(let(found, by_level), usable(page.text(anchor, " ")), piece["s"], F.lit(""))
 
 
-def board_links() -> Column:
-    """Job links of the current page row with their title and location."""
+def board_links(max_title: int | None = rules.MAX_TITLE_CHARS) -> Column:
+    """Job links of the current page row with their title and location.
+
+    A longer text than ``max_title`` is no title (None: any length is one).
+    """
     page = pg.board_page()
     base = F.col("url")
 
@@ -98,7 +102,7 @@ def board_links() -> Column:
                 anchor["pre"].alias("pre"),
                 anchor["href"].alias("href"),
                 urls.canonical(urls.resolve_in(site, anchor["href"])).alias("job_url"),
-                _card_title(page, page.ranked(headings, "head_rank", card), card, anchor).alias("title"),
+                _card_title(page, page.ranked(headings, "head_rank", card), card, anchor, max_title).alias("title"),
                 location.alias("location"),
             )
 
@@ -125,13 +129,17 @@ def board_links() -> Column:
 
 
 def universal(
-    parsed: DataFrame, min_jobs: int = rules.MIN_BOARD_LINKS, carry: tuple[str, ...] = ()
+    parsed: DataFrame,
+    min_jobs: int = rules.MIN_BOARD_LINKS,
+    carry: tuple[str, ...] = (),
+    max_title: int | None = rules.MAX_TITLE_CHARS,
 ) -> DataFrame:
     """Listings of any job board: ``(page_id, url, ord, title, description, location, job_url)``.
 
-    ``carry`` names page columns to keep; ``grouped_links`` says which links count.
+    ``carry`` names page columns to keep; ``grouped_links`` says which links count, ``board_links``
+    what ``max_title`` is.
     """
-    found = parsed.select("page_id", "url", *carry, board_links().alias("links"))
+    found = parsed.select("page_id", "url", *carry, board_links(max_title).alias("links"))
     return grouped_links(found, min_jobs, carry)
 
 

@@ -1,3 +1,6 @@
+import random
+import time
+
 from pyspark.sql import functions as F
 
 from rolecall.operators import extract
@@ -88,3 +91,59 @@ def test_embedded_board(spark):
     html = '<iframe src="https://jobs.ashbyhq.com/acme/embed?version=2"></iframe>'
     row = spark.range(1).select(extract.embedded_board(F.lit(html)).alias("b")).first()
     assert (row.b.board_url, row.b.ats) == ("https://jobs.ashbyhq.com/acme", "ashby")
+
+
+def plain_label(nodes, anchor):
+    """The first heading of the outermost thing that ended before the link and holds the last heading that did."""
+    heading = lambda n: n["tag"] in ("h1", "h2", "h3", "h4", "h5", "h6")
+    holds = lambda n: any(heading(m) and n["pre"] <= m["pre"] <= n["end"] for m in nodes)
+    before = [n for n in nodes if n["end"] < anchor["pre"] and holds(n)]
+    last = [n for n in before if heading(n)]
+    if not last:
+        return -1
+    outer = next(n for n in before if n["pre"] <= last[-1]["pre"] <= n["end"])
+    return next(n["pre"] for n in before if heading(n) and n["pre"] >= outer["pre"])
+
+
+def test_labels_and_ranks_of_random_pages():
+    rnd = random.Random(7)
+    tags = ["div", "p", "h1", "h2", "h5", "section", "nav", "span", "li", "br"]
+    for _ in range(150):
+        html = []
+        for _ in range(rnd.randint(5, 50)):
+            tag = rnd.choice(tags)
+            name = rnd.choice(["", ' class="job-location x"', ' id="geo"', ' class="title"'])
+            html.append(rnd.choice([f"<{tag}{name}>", f"</{tag}>", "some text", '<a href="/jobs/1">a link</a>', f"<{tag}>short</{tag}>"]))
+        nodes, _ = dom.tree("".join(html))
+        counts = [0, 0, 0]
+        for n in nodes:
+            assert n["label"] == plain_label(nodes, n), html
+            if n["noise"] == 0:
+                counts[0] += n["tag"] in ("h1", "h2", "h3", "h4")
+                counts[1] += "location" in n["classes"] or "geo" in n["id"]
+                counts[2] += n["tag"] in ("span", "p", "div", "li") and 1 <= n["tlen"] <= 119
+            assert [n["head_rank"], n["place_rank"], n["line_rank"]] == counts
+
+
+def test_time_of_a_page_grows_with_its_links(spark):
+    """Eight times the links take at most about that much more time."""
+
+    def seconds(n):
+        html = "".join(f'<h3>Team {i}</h3><p><a href="https://boards.greenhouse.io/x/jobs/{i}"><span>Job {i}</span></a></p>' for i in range(n))
+        pages = parsed(spark, ("https://acme.com/careers", html)).persist()
+        pages.count()
+        started = time.time()
+        found = extract.direct_links(pages).collect()
+        assert len(found) == n
+        return time.time() - started
+
+    seconds(100)
+    assert seconds(4000) < 12 * max(seconds(500), 0.5)
+
+
+def test_long_titles_by_argument(spark):
+    long = "A title " * 20
+    html = f'<div><h3>{long}</h3><a href="/jobs/1">x</a></div><div><h3>Short one</h3><a href="/jobs/2">x</a></div>'
+    pages = parsed(spark, ("https://acme.com/careers", html))
+    titles = lambda **limit: {r.title for r in extract.universal(pages, **limit).collect()}
+    assert long.strip() not in titles() and titles(max_title=None) == {long.strip(), "Short one"}
