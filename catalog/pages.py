@@ -138,14 +138,24 @@ def next_page_link(spark, sf):
     return parsed.select("page_id", discover.next_page_link().alias("next_url")).filter(F.col("next_url").isNotNull())
 
 
+# Lines made of the page's own title, a place and its URL, separated in the ways that boards do.
+TITLE_SQL = "regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '[/|•·]', '', 'g')"
+
+
 @query(
     "location_from_text",
-    """SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'Berlin' WHEN 1 THEN '' WHEN 2 THEN 'Remote' WHEN 3 THEN ''
-       WHEN 4 THEN 'London, UK' ELSE 'New York' END AS location FROM pages""",
+    f"""WITH t AS (SELECT page_id, {TITLE_SQL} AS title FROM pages)
+       SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'New York, NY' WHEN 1 THEN ''
+         WHEN 2 THEN CASE WHEN length('Remote ' || title) < 60 THEN 'Remote ' || title ELSE '' END ELSE '' END AS location FROM t""",
 )
 def location_from_text(spark, sf):
-    samples = ["Core • Berlin • Full time", "Sales | Night shift", "Remote", "Headquarters", "Team / London, UK / Day", "A · New York"]
-    text = F.element_at(F.array(*[F.lit(s) for s in samples]), (P() % 6 + 1).cast("int"))
+    title = F.regexp_replace(F.regexp_extract("html", "<title>([^<]*)</title>", 1), "[/|•·]", "")
+    text = (
+        F.when(P() % 4 == 0, F.concat(title, F.lit(" • New York, NY • "), "url"))
+        .when(P() % 4 == 1, F.concat(title, F.lit(" | Night shift")))
+        .when(P() % 4 == 2, F.concat(F.lit("Remote "), title))
+        .otherwise(title)
+    )
     return table(spark, sf, "pages").select("page_id", extract.location_from_text(text).alias("location"))
 
 

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import functions as F
+
 from rolecall.operators import skew
 from rolecall.plans import boards as plan
 from rolecall.sources import tables
 
 from . import plans, urls
 from .plans import SITES_SQL
-from .registry import query
+from .registry import query, table
 from .urls import WITH
 
 
@@ -49,3 +51,28 @@ def match_sink(spark, sf):
         "resume_id", "board_id", "ord", "ats", "source_url", "job.title", "job.url", "score_pct"
     )
 
+
+
+@query("archived_pages", "SELECT url, 200 AS status, true AS whole, md5(html) AS html FROM pages")
+def archived_pages(spark, sf):
+    """Pages written as a web archive and read back by splits."""
+    path = _folder(spark)
+    payload = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"), "html")
+    head = F.concat(
+        F.lit(tables.ARCHIVE_RECORD + "WARC-Type: response\r\nWARC-Target-URI: "), "url",
+        F.lit("\r\nContent-Length: "), F.octet_length(payload).cast("string"), F.lit("\r\n\r\n"),
+    )
+    # The writer adds the second line end after a record.
+    records = table(spark, sf, "pages").select(F.concat(head, payload, F.lit("\r\n")))
+    records.write.option("lineSep", "\r\n").text(path)
+    return tables.read_archives(spark, path).select("url", "status", "whole", F.md5("html").alias("html"))
+
+
+@query("html_files", "SELECT page_id, md5(html || chr(10)) AS html FROM pages")
+def html_files(spark, sf):
+    """Pages written as a file each and read back from their folders."""
+    path = _folder(spark)
+    table(spark, sf, "pages").select("page_id", "html").write.partitionBy("page_id").text(path)
+    found = tables.read_html_files(spark, path, "*.txt")
+    number = F.regexp_extract("url", r"page_id=(\d+)", 1).cast("long")
+    return found.select(number.alias("page_id"), F.md5("html").alias("html"))

@@ -115,28 +115,33 @@ def is_job_url(spark, sf):
     return full_urls(spark, sf).select("request_id", urls.is_job_url(F.col("full_url"), domain).alias("job"))
 
 
-HREFS = ["https://x.example.com/a?b#c", "//cdn.example.com/j/{k}", "/jobs/{k}?ref=1", "jobs/{k}", "../up/{k}", "./here/{k}",
-         "?page={k}", "#job-{k}", "", "/a/./b/../c/{k}", "mailto:jobs{k}@example.com"]
-# The same table resolved by hand for a page at https://www.acme{k}.com/team/open/list.html?q=1
-RESOLVED = ["https://x.example.com/a?b#c", "https://cdn.example.com/j/{k}", "https://www.acme{k}.com/jobs/{k}?ref=1",
-            "https://www.acme{k}.com/team/open/jobs/{k}", "https://www.acme{k}.com/team/up/{k}",
-            "https://www.acme{k}.com/team/open/here/{k}", "https://www.acme{k}.com/team/open/list.html?page={k}",
-            "https://www.acme{k}.com/team/open/list.html?q=1#job-{k}", "https://www.acme{k}.com/team/open/list.html?q=1",
-            "https://www.acme{k}.com/a/c/{k}", "mailto:jobs{k}@example.com"]
+# Every link of a page that is one word below the root, written in four ways.
+LINK = '<a[^>]*href="/([^"/?#:]*[A-Za-z][^"/?#:]*)"'
 
 
 @query(
     "resolve_href",
-    "SELECT c_custkey AS request_id, replace(CASE c_custkey % 11 "
-    + " ".join(f"WHEN {i} THEN '{r}'" for i, r in enumerate(RESOLVED))
-    + " END, '{k}', CAST(c_custkey AS VARCHAR)) AS resolved FROM customer",
+    f"""WITH links AS (
+          SELECT page_id, url, unnest(regexp_extract_all(html, '{LINK}', 1)) AS w,
+                 generate_subscripts(regexp_extract_all(html, '{LINK}', 1), 1) AS k FROM pages),
+        parts AS (SELECT *, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS origin, regexp_extract(url, '^[^?#]*', 0) AS page FROM links)
+        SELECT page_id, k, CASE k % 4 WHEN 0 THEN origin || '/' || w
+            WHEN 1 THEN CASE WHEN page = origin THEN origin || '/' ELSE regexp_replace(page, '[^/]*$', '') END || w
+            WHEN 2 THEN regexp_extract(url, '^[a-z]+', 0) || '://cdn.example.com/' || w
+            ELSE page || '?q=' || w END AS resolved FROM parts""",
 )
 def resolve_href(spark, sf):
-    k = F.col("c_custkey")
-    fill = lambda c: F.replace(c, F.lit("{k}"), k.cast("string"))
-    href = fill(F.element_at(F.array(*[F.lit(h) for h in HREFS]), (k % 11 + 1).cast("int")))
-    base = fill(F.lit("https://www.acme{k}.com/team/open/list.html?q=1"))
-    return table(spark, sf, "customer").select(k.alias("request_id"), urls.resolve(base, href).alias("resolved"))
+    found = table(spark, sf, "pages").select(
+        "page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(LINK), F.lit(1))).alias("at", "w")
+    )
+    k = F.col("at") + 1
+    href = (
+        F.when(k % 4 == 0, F.concat(F.lit("/"), "w"))
+        .when(k % 4 == 1, F.col("w"))
+        .when(k % 4 == 2, F.concat(F.lit("//cdn.example.com/"), "w"))
+        .otherwise(F.concat(F.lit("?q="), "w"))
+    )
+    return found.select("page_id", k.cast("long").alias("k"), urls.resolve(F.col("url"), href).alias("resolved"))
 
 
 @query(
@@ -151,15 +156,17 @@ def fixed_host_href(spark, sf):
 
 @query(
     "self_hosted_href",
-    """SELECT c_custkey AS request_id, c_custkey % 3 = 0 AS self_hosted FROM customer""",
+    """SELECT c_custkey AS request_id, CAST('0x' || left(md5(c_name), 1) AS INT) % 3 = 0 AS self_hosted FROM customer""",
 )
 def self_hosted_href(spark, sf):
-    k = F.col("c_custkey")
-    uuid = F.concat(F.lit("0a1b2c3d-1111-2222-3333-"), F.lpad(k.cast("string"), 12, "0"))
-    href = F.when(k % 3 == 0, F.concat(F.lit("/careers/"), uuid)).when(k % 3 == 1, F.concat(F.lit("/a/b/"), uuid)).otherwise(
-        F.concat(F.lit("/careers/"), k.cast("string"))
+    """Identifiers from customer names: below one segment, below two, or a name in their place."""
+    m = F.md5("c_name")
+    uuid = F.concat_ws("-", *(F.substring(m, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+    kind = F.conv(F.substring(m, 1, 1), 16, 10).cast("int") % 3
+    href = F.when(kind == 0, F.concat(F.lit("/careers/"), uuid)).when(kind == 1, F.concat(F.lit("/a/b/"), uuid)).otherwise(
+        F.concat(F.lit("/careers/"), "c_name")
     )
-    return table(spark, sf, "customer").select(k.alias("request_id"), urls.is_uuid_href(href).alias("self_hosted"))
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("request_id"), urls.is_uuid_href(href).alias("self_hosted"))
 
 
 @query(
