@@ -10,10 +10,10 @@ sides. Rows meet by (length, segment number, text). What meets is compared by a
 sketch of letter counts, which an edit changes by two at most, and what is left
 is verified on the texts with a banded bit-parallel edit distance.
 
-A line has to go if *some* earlier line is near. So in each bucket it is paired with
-the ``FIRST`` earliest lines whose sketch is alike; copies of one line all meet the first of
-them, and pairs stay in proportion to lines. Lines that had more such partners and for which none of
-the first was near are paired with all the others in a second pass.
+A line has to go if *some* earlier line is near. So where it has more than ``MANY`` earlier lines with
+an alike sketch in a bucket, it is paired with the ``FIRST`` of them only; near copies of one line all meet the
+first, and pairs stay in proportion to lines. If none of those was near, the line is paired with all
+the others in a second pass.
 
 Lines are known by 128-bit hashes outside the tasks that read them; in buckets 64
 bits do, as all texts of a hash are verified. Texts of lines are fetched for candidate
@@ -43,9 +43,10 @@ SPACE = " \t\n\r\x0b\x0c"
 FILTER_BITS = 1 << 27
 #: Lines that a task remembers so as not to send their rows again.
 REMEMBERED = 500_000
-#: Candidates of a bucket that are compared at once, and partners of a line there that are verified first.
+#: Candidates of a bucket that are compared at once.
 BLOCK = 1024
-FIRST = 4
+#: Partners of a line in a bucket that are all verified, and those that are verified first where there are more.
+MANY, FIRST = 64, 4
 #: A line's place is one number: its row, then its number among the long lines of the text. Rows are numbered below 2**36.
 LINE_BITS, ROW_BITS = 27, 36
 
@@ -229,12 +230,12 @@ def keys(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 
 def partners(
-    h1: np.ndarray, mark: np.ndarray, at: np.ndarray, threshold: int, most: int | None, asked: np.ndarray | None = None
+    h1: np.ndarray, mark: np.ndarray, at: np.ndarray, threshold: int, asked: np.ndarray | None = None
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(later, earlier) of the lines of a bucket whose sketches are alike, block by block.
 
-    Of each line the ``most`` earliest partners, or all; a line that has more comes with itself
-    too. ``asked`` are the lines that want any.
+    A line with more than ``MANY`` partners comes with the ``FIRST`` of them and with itself. If some
+    lines ``asked`` for partners, they get all of theirs, and others none.
     """
     order = np.lexsort((at, h1))
     h1, mark, at = h1[order], mark[order], at[order]
@@ -247,32 +248,37 @@ def partners(
     wants = np.ones(len(h1), bool) if asked is None else np.isin(h1, asked)
     for low in range(0, len(h1), BLOCK):
         later = low + np.flatnonzero(wants[low : low + BLOCK])
-        found = np.zeros(len(later), np.int64)
+        found, held = np.zeros(len(later), np.int64), []
         for j in range(0, low + BLOCK, BLOCK):
             # A line with more than enough partners looks no further.
-            still = np.flatnonzero(found <= most) if most is not None else np.arange(len(later))
+            still = np.flatnonzero(found <= MANY) if asked is None else np.arange(len(later))
             earlier = np.arange(j, min(j + BLOCK, len(h1)))
             if not len(still):
                 break
             rows = later[still]
             near = alike(sketches[rows], sketches[earlier], threshold)
             near &= (own[rows, None] | own[None, earlier]) & (earlier[None, :] < rows[:, None])
-            if most is not None:
-                count = near.cumsum(1) + found[still, None]
-                found[still] = count[:, -1]
-                near &= count <= most
             x, y = np.nonzero(near)
-            if len(x):
+            if not len(x):
+                continue
+            if asked is not None:
                 yield h1[rows[x]], h1[earlier[y]]
-        if most is not None and (found > most).any():
-            yield h1[later[found > most]], h1[later[found > most]]
+                continue
+            nth = near.cumsum(1)[x, y] + found[still[x]]
+            held.append([c[nth <= MANY] for c in (still[x], earlier[y], nth)])
+            found[still] += near.sum(1)
+        if held:
+            x, y, nth = (np.concatenate(c) for c in zip(*held, strict=True))
+            kept = (found[x] <= MANY) | (nth <= FIRST)
+            yield h1[later[x[kept]]], h1[y[kept]]
+        if (found > MANY).any():
+            yield h1[later[found > MANY]], h1[later[found > MANY]]
 
 
-def candidates(rows: DataFrame, threshold: int = THRESHOLD, most: int | None = FIRST, asked: DataFrame | None = None) -> DataFrame:
-    """Distinct (a, b) of a line and an earlier one that meet in a bucket and whose sketches are alike.
+def candidates(rows: DataFrame, threshold: int = THRESHOLD, asked: DataFrame | None = None) -> DataFrame:
+    """Distinct (a, b) of a line and an earlier one that meet in a bucket and whose sketches are alike (see ``partners``).
 
-    At most ``most`` for each line and bucket; a line that has more comes with itself too. ``asked(h1)``
-    limits the lines that look for partners. Rows are dealt out by key and read sorted, as a stream.
+    Rows are dealt out by key and read sorted, as a stream.
     """
     if asked is not None:
         marked = spread_lookup(rows, asked.withColumn("asked", F.lit(True)), ["h1"], ["key"], "left")
@@ -284,7 +290,7 @@ def candidates(rows: DataFrame, threshold: int = THRESHOLD, most: int | None = F
 
     def close(parts):
         h1, mark, at, wants = (np.concatenate(c) for c in zip(*parts, strict=True))
-        for a, b in partners(h1, mark, at, threshold, most, None if everyone else h1[wants]):
+        for a, b in partners(h1, mark, at, threshold, None if everyone else h1[wants]):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     def run(batches):
@@ -377,7 +383,7 @@ def near_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     undecided = met.filter("a = b").select(F.col("a").alias("h1")).join(later.select("h1"), "h1", "left_anti")
     undecided = materialize(undecided)
     if not undecided.isEmpty():
-        rest = materialize(candidates(rows, threshold, None, undecided))
+        rest = materialize(candidates(rows, threshold, undecided))
         rest = rest.join(met, ["a", "b"], "left_anti")
         more = materialize(verified(docs, materialize(rest), threshold))
         later = later.union(more.select("a", "a2"))

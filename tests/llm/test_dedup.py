@@ -90,29 +90,31 @@ def test_line_dedup_tells_rows_apart(spark):
     assert sorted(((r.doc_id, r.text) for r in got), key=key) == sorted(want, key=key)
 
 
-def test_pairs_stay_in_proportion_to_copies(spark):
-    """Lines of one template that are all near each other meet the first ones only."""
-    made = {}
-    for n in (200, 800):
-        docs = [(i, f"the same line of a template with a number in it: {i % 100:02d} and no more{'.' * (i // 100)}") for i in range(n)]
-        rows = linededup.keys(spark.createDataFrame(docs, "doc_id long, text string"))
-        made[n] = linededup.candidates(rows).count()
-    assert all(pairs <= 30 * n for n, pairs in made.items()), made
-
-
-def test_lines_beyond_the_first_partners_are_found(spark, monkeypatch):
+def test_pairs_stay_in_proportion_to_copies(monkeypatch):
+    """Lines of a bucket that are all alike meet the first ones only, and themselves."""
+    monkeypatch.setattr(linededup, "BLOCK", 50)
+    monkeypatch.setattr(linededup, "MANY", 10)
+    for n in (8, 200, 1700):
+        h1, mark, at = np.arange(n) * 7 + 1, np.full(n, 2 * linededup.sketch("same") + 1), np.arange(n)[::-1].copy()
+        pairs = [p for a, b in linededup.partners(h1, mark, at, 2) for p in zip(a.tolist(), b.tolist(), strict=True)]
+        place = dict(zip(h1.tolist(), at.tolist(), strict=True))
+        for i in range(n):
+            mine = sorted(place[b] for a, b in pairs if place[a] == i)
+            assert mine == (list(range(i)) if i <= 10 else [0, 1, 2, 3, i]), (n, i)
+
+
+def test_lines_beyond_the_first_partners_are_found(spark):
     """Letters in another order have the same sketch, so that the first partners of a line are not near it."""
-    monkeypatch.setattr(linededup, "BLOCK", 4)
     random.seed(8)
     head, tail = "one common segment of lines ", list("abcdefghijklmnopqrstuvwx")
     others = []
-    for _ in range(12):
+    for _ in range(linededup.MANY + 6):
         random.shuffle(tail)
         others.append(head + "".join(tail) + head)
     docs = [(i, t) for i, t in enumerate(others)] + [(99, others[-1].replace("one", "two", 1))]
     docs += [(100, others[-1][:-1] + "!")]
     got = {r.doc_id: r.n_near for r in linededup.clean(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    near = {i: int(any(distance(t, u) <= 2 for _, u in docs[:k])) for k, (i, t) in enumerate(docs)}
+    near = {i: int(any(linededup.edits(t, u) is not None for _, u in docs[:k])) for k, (i, t) in enumerate(docs)}
     assert got == near and near[100] == 1
 
 
