@@ -12,10 +12,9 @@ in that shard to the most common, until nothing is left or all words have been
 met. What remains are exact phrase matches, with no look at the texts. Windows
 that only come near (all but ``MISSED`` of 13 terms, in proportion for shorter
 ones, stand in order within ``SLACK`` words of their places, and the document has
-no exact match of the item) are proximity matches. First it is counted for blocks of
-windows how many of a window's terms each document has at all; only documents that
-have enough of them are searched, from each of the rarest terms in the
-shard, one more than may be missed, so none gets lost.
+no exact match of the item) are proximity matches. They are looked for from each
+of the rarest terms in the shard, one more than may be missed, so none gets lost; the starts of
+many windows are looked up together, term by term, in one sorted array of all postings.
 
 The test side is sent to executors in blocks of at most ``BLOCK_WORDS`` words;
 a larger benchmark is searched block by block. Rows are numbered then, and the hits
@@ -54,9 +53,9 @@ BLOCK_WORDS = 1_000_000
 #: With these values a match can't reach over the ``WINDOW`` numbers between documents.
 MISSED = 3
 SLACK = 3
-#: Characters of documents in a shard, and (window, document) cells that are counted at once.
+#: Characters of documents in a shard, and starts of windows that are looked up at once.
 SHARD_CHARS = 8_000_000
-CELLS = 4_000_000
+STARTS = 1_000_000
 
 SHARD = StructType(
     [
@@ -157,71 +156,60 @@ def intersect(window: tuple[int, ...], lists: dict[int, np.ndarray]) -> np.ndarr
     return starts
 
 
-def enough(
-    windows: list[tuple[int, ...]], lists: dict[int, np.ndarray], documents: dict[int, np.ndarray], n_docs: int
-) -> Iterator[tuple[int, np.ndarray]]:
-    """(number, documents) of windows of which some documents have all terms but those that may be missed.
-
-    ``documents`` are the documents of the postings in ``lists``. Terms are counted by place, so a
-    term that stands twice in a window counts twice.
-    """
-    row = {t: i for i, t in enumerate(lists)}
-    step = max(CELLS // max(n_docs, 1), 1)
-    held = np.zeros((len(row) + 1, n_docs), np.uint8)  # the last row is that of terms the shard lacks
-    for t, i in row.items():
-        held[i, documents[t]] = 1
-    for low in range(0, len(windows), step):
-        part = windows[low : low + step]
-        counts = np.zeros((len(part), n_docs), np.uint8)
-        for k in range(WINDOW):
-            counts += held[[row.get(w[k], -1) if k < len(w) else -1 for w in part]]
-        need = np.array([len(w) - MISSED * len(w) // WINDOW for w in part], np.uint8)
-        fits = counts >= need[:, None]
-        for i in np.flatnonzero(fits.any(1)).tolist():
-            yield low + i, fits[i]
-
-
-def nearby(
-    window: tuple[int, ...], lists: dict[int, np.ndarray], documents: dict[int, np.ndarray], fits: np.ndarray
-) -> np.ndarray:
-    """Positions, one for each place where enough of the window's terms stand in order within SLACK words of theirs.
-
-    Only documents that ``fits`` has are looked at; ``documents`` are those of the postings in ``lists``.
-    """
-    missed = MISSED * len(window) // WINDOW
-    present = [k for k, t in enumerate(window) if t in lists]
-    spare = missed - (len(window) - len(present))
-    if spare < 0:
-        return np.empty(0, "i8")
-    present.sort(key=lambda k: len(lists[window[k]]))
-    # At most ``spare`` of the terms in the shard are missed: one of the rarest spare + 1 is met.
-    starts = np.concatenate([lists[window[k]][fits[documents[window[k]]]] - k for k in present[: spare + 1]])
-    # Seen from a met term's own place, other terms may be off by twice the slack: few places are left by that.
-    starts = _met(starts, present, window, lists, 2 * SLACK, spare)
-    if not len(starts):
-        return starts
-    starts = np.unique(starts[:, None] + np.arange(-SLACK, SLACK + 1))
-    starts = _met(starts, present, window, lists, SLACK, spare)
-    need = len(window) - missed
-    ends = [in_order(int(s), window, lists, need) for s in starts]
-    return np.array([e for e in ends if e is not None], "i8")
-
-
-def _met(
-    starts: np.ndarray, terms: list[int], window: tuple[int, ...], lists: dict[int, np.ndarray], slack: int, spare: int
-) -> np.ndarray:
-    """Starts that miss at most ``spare`` of the window's ``terms`` within ``slack`` words of their places."""
-    lost = np.zeros(len(starts), "i8")
-    for i, k in enumerate(terms):
-        if not len(starts):
-            break
-        other = lists[window[k]]
-        at = np.searchsorted(other, starts + (k - slack))
-        lost += (at == len(other)) | (other[np.minimum(at, len(other) - 1)] > starts + (k + slack))
-        if i >= spare:
-            left = lost <= spare
-            starts, lost = starts[left], lost[left]
-    return starts
+class Nearby:
+    """Proximity search of a shard: its postings as one sorted array of term and position."""
+
+    def __init__(self, windows: list[tuple[int, ...]], lists: dict[int, np.ndarray]):
+        self.windows, self.lists = windows, lists
+        row = {t: i for i, t in enumerate(sorted(lists))}
+        sizes = np.array([len(lists[t]) for t in row] + [1 << 40])  # the last is that of terms the shard lacks
+        self.first = np.concatenate([[0], np.cumsum(sizes[:-1])])
+        self.positions = np.concatenate([lists[t] for t in row])
+        self.postings = np.repeat(np.arange(len(row)), sizes[:-1]) << 32 | self.positions
+        rows = np.array([[row.get(t, -1) for t in w] + [-1] * (WINDOW - len(w)) for w in windows])
+        #: Places of each window's terms from the rarest on, their rows, and how many more may be missed.
+        self.places = np.argsort(sizes[rows], axis=1, kind="stable")
+        self.rows = np.take_along_axis(rows, self.places, 1)
+        length = np.array([len(w) for w in windows])
+        self.spare = MISSED * length // WINDOW - (length - (rows >= 0).sum(1))
+        self.sizes = np.where(self.rows >= 0, sizes[self.rows], 0)
+
+    def __iter__(self) -> Iterator[tuple[int, int]]:
+        """(window, position) for each start at which enough of its terms stand in order within SLACK words of their places."""
+        able = np.flatnonzero(self.spare >= 0)
+        # At most ``spare`` of the terms in the shard are missed: one of the rarest spare + 1 is met.
+        from_ = np.arange(WINDOW)[None, :] <= self.spare[able, None]
+        cost = np.cumsum((self.sizes[able] * from_).sum(1))
+        for part in np.split(able, np.searchsorted(cost, np.arange(STARTS, cost[-1] if len(cost) else 0, STARTS))):
+            yield from self._part(part)
+
+    def _part(self, part: np.ndarray) -> Iterator[tuple[int, int]]:
+        w, k = np.nonzero((np.arange(WINDOW)[None, :] <= self.spare[part, None]) & (self.rows[part] >= 0))
+        w = part[w]
+        n = self.sizes[w, k]
+        at = np.repeat(self.first[self.rows[w, k]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        window, start = np.repeat(w, n), self.positions[at] - np.repeat(self.places[w, k], n)
+        # Seen from a met term's own place, other terms may be off by twice the slack: few places are left by that.
+        window, start = self._met(window, start, 2 * SLACK)
+        both = np.unique((window << 32) + (1 << 16) + (start[:, None] + np.arange(-SLACK, SLACK + 1)).T)
+        window, start = self._met(both >> 32, (both & 0xFFFFFFFF) - (1 << 16), SLACK)
+        for i, s in zip(window.tolist(), start.tolist(), strict=True):
+            words = self.windows[i]
+            at = in_order(s, words, self.lists, len(words) - MISSED * len(words) // WINDOW)
+            if at is not None:
+                yield i, at
+
+    def _met(self, window: np.ndarray, start: np.ndarray, slack: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts that miss at most as many of the window's terms within ``slack`` words of their places as may be missed."""
+        lost = np.zeros(len(window), np.int64)
+        for i in range(WINDOW):
+            row, place = self.rows[window, i], start + self.places[window, i]
+            at = np.searchsorted(self.postings, (row << 32) + np.maximum(place - slack, 0))
+            found = self.postings[np.minimum(at, len(self.postings) - 1)]
+            lost += (row >= 0) & ((at == len(self.postings)) | (found > (row << 32) + np.maximum(place + slack, -1)))
+            left = lost <= self.spare[window]
+            window, start, lost = window[left], start[left], lost[left]
+        return window, start
 
 
 def in_order(start: int, window: tuple[int, ...], lists: dict[int, np.ndarray], need: int) -> int | None:
@@ -268,15 +256,13 @@ def search(index: DataFrame, block: list[tuple[int, list[bytes]]], terms: dict[b
                 found: dict[int, list] = {}
                 near: dict[int, set[int]] = {}
                 document = lambda starts, bases=bases: np.searchsorted(bases, np.maximum(starts, 0), "right") - 1
-                documents = {t: document(places) for t, places in lists.items()}
-                # A window that no document has enough terms of has no exact match either.
-                for number, fits in enough(phrases, lists, documents, len(bases)) if lists else ():
-                    window, owners = queries[number]
+                for window, owners in queries if lists else ():
                     starts = intersect(window, lists) if all(t in lists for t in window) else ()
                     for start, d in zip(list(starts), document(starts).tolist() if len(starts) else (), strict=True):
                         found.setdefault(d, []).append((start, start + len(window), owners))
-                    for d in set(document(nearby(window, lists, documents, fits)).tolist()):
-                        near.setdefault(d, set()).update(owners)
+                close_by = list(Nearby(phrases, lists)) if lists and phrases else []
+                for (number, _), d in zip(close_by, document(np.array([at for _, at in close_by], "i8")).tolist(), strict=True):
+                    near.setdefault(d, set()).update(queries[number][1])
                 columns: list[list] = [[], [], [], [], []]
                 for d, (doc, n) in enumerate(zip(shard["doc_ids"], shard["n_words"], strict=True)):
                     hits, exact = [], set()
