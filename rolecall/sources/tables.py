@@ -43,7 +43,7 @@ def _numbered(pages: DataFrame) -> DataFrame:
 def read_html_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """Raw HTML files below a folder as ``(page_id, url, html)``, one page per file; ``url`` is the file.
 
-    Small files share a task up to ``spark.sql.files.maxPartitionBytes``.
+    Empty files give no page. Small files share a task up to ``spark.sql.files.maxPartitionBytes``.
     """
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path, wholetext=True)
     return _numbered(files.select(F.col("_metadata.file_path").alias("url"), F.col("value").alias("html")))

@@ -34,9 +34,10 @@ def test_a_folder_of_html_files(spark, tmp_path):
     wanted = {}
     for i in range(20):
         path = tmp_path / ("deep" if i % 2 else ".") / f"{i}.html"
-        path.write_text(f"<p>{i}</p>\n<p>two lines</p>" if i else "")
+        path.write_text(f"<p>{i}</p>\n<p>two lines</p>")
         wanted[path.name] = hashlib.md5(path.read_bytes()).hexdigest()
     (tmp_path / "other.txt").write_text("x")
+    (tmp_path / "empty.html").write_text("")
     rows = tables.read_html_files(spark, str(tmp_path), "*.html").collect()
     assert {r.url.rsplit("/", 1)[1]: hashlib.md5(r.html.encode()).hexdigest() for r in rows} == wanted
     assert len({r.page_id for r in rows}) == 20
