@@ -33,8 +33,6 @@ from rolecall.operators.skew import materialize
 
 ORDER = 4
 START, END = 1, 2  # marks; no letter has these numbers
-#: Most (language, n-gram) counts that a model is built from; rarer n-grams go beyond that.
-MAX_NGRAMS = 4_000_000
 #: A text is rejected above the 99.9 % point of its language's labelled texts times SLACK, plus SPREAD / sqrt(letters).
 SLACK, SPREAD = 1.25, 8.0
 UNKNOWN = "und"
@@ -255,22 +253,12 @@ def fit(
 ) -> Model | None:
     """Model of all labelled documents that are not held out; None if there is none with a letter.
 
-    ``calibrated`` scores them all for the limits of rejection. The counts that reach the driver are ``MAX_NGRAMS`` rows at most.
+    ``calibrated`` scores them all for the limits of rejection. All counts of n-grams make the model; up to four letters
+    of a word have as many as the alphabets allow, whatever the number of texts.
     """
     training = docs.filter(F.col(lang).isNotNull() & F.col(doc).isNotNull() & ~held_out(doc))
     counts = count_ngrams(training, text, lang)
-    grams = counts.filter("key <> -1")
-    least = 1
-    if grams.count() > MAX_NGRAMS:
-        # As many of the commonest as fit; all of one count go or stay together.
-        levels = grams.groupBy(F.least("n", F.lit(10_000)).alias("n")).count().orderBy(F.desc("n")).collect()
-        room = MAX_NGRAMS
-        least = 10_001
-        for n, rows in levels:
-            if rows > room:
-                break
-            room, least = room - rows, n
-    frame = grams.filter(F.col("n") >= least).toArrow().to_pandas()
+    frame = counts.filter("key <> -1").toArrow().to_pandas()
     languages = sorted(frame["lang"].unique().tolist())
     if not languages:
         return None

@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 
 import corpus_pipeline
-from rolecall.llm import chat, langid, queries
+from rolecall.llm import chat, langid, pii, queries
 
 LANGUAGES = {"en": ["the", "of", "thing", "whether", "and"], "de": ["der", "schön", "nicht", "keit", "über"], "fr": ["été", "être", "leur", "çà", "dans"]}
 
@@ -123,3 +123,12 @@ def test_pipeline_carries_columns_and_takes_an_empty_table(sf, spark, awkward):
         assert docs.columns == awkward.columns, name
         docs.collect()
     assert corpus_pipeline.run(spark, sf(documents=docs.limit(0))).collect() == []
+
+
+def test_no_ngram_is_left_out_of_a_model(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_NGRAMS", 8, raising=False)
+    rows = [(i, "common common words", "aa") for i in range(20)] + [(i, "seldom", "bb") for i in range(20, 23)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), calibrated=False)
+    assert model.languages == ["aa", "bb"]
+    longest, _, _ = langid.ngrams(["common", "words", "seldom"])
+    assert langid._find(model.keys[3], longest[langid.order_of(longest) == 4])[1].all()
