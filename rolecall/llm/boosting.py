@@ -1,4 +1,4 @@
-"""Small gradient-boosted trees on binned features, for classifiers fitted on a bounded sample."""
+"""Small gradient-boosted trees on binned features, fitted on weighted rows: equal rows may come as one."""
 
 from __future__ import annotations
 
@@ -20,28 +20,39 @@ class Boosted:
     #: Per tree and node: feature and bin to go right beyond (feature -1: leaf), value.
     trees: list[np.ndarray] = field(default_factory=list)
     scale: tuple[float, float] = (1.0, 0.0)
+    #: Rows that the trees were fitted on and calibrated with.
+    weight: float = 0.0
+
+    def cut(self, feature: np.ndarray, values: np.ndarray, n: np.ndarray) -> None:
+        """Bins from ``n`` rows of each value of each feature."""
+        points = np.linspace(0, 1, self.bins + 1)[1:-1]
+        for f in range(feature.max() + 1):
+            own = feature == f
+            self.cuts.append(np.unique(np.quantile(values[own], points, weights=n[own], method="inverted_cdf")))
+
+    def binned(self, x: np.ndarray) -> np.ndarray:
+        return self._binned(x).astype(np.uint8)
 
     def _binned(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(c, x[:, f], "left") for f, c in enumerate(self.cuts)], 1) if len(x) else np.zeros(x.shape, int)
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
-        held = np.arange(len(y)) % 4 == 3  # calibrates
+    def fit(self, b: np.ndarray, y: np.ndarray, n: np.ndarray, held: np.ndarray) -> Boosted:
+        """Trees from ``n`` rows of each of the ``binned`` rows ``b``; ``held`` ones calibrate."""
         grow = ~held
-        points = np.linspace(0, 1, self.bins + 1)[1:-1]
-        self.cuts = [np.unique(np.quantile(x[grow, f], points)) for f in range(x.shape[1])]
-        b = self._binned(x)
+        self.weight = float(n.sum())
         raw = np.zeros(len(y))
         for _ in range(self.rounds):
             p = 1 / (1 + np.exp(-raw[grow]))
-            self.trees.append(self._tree(b[grow], p - y[grow], np.maximum(p * (1 - p), 1e-6)))
+            self.trees.append(self._tree(b[grow], (p - y[grow]) * n[grow], np.maximum(p * (1 - p), 1e-6) * n[grow]))
             raw += self._leaf(self.trees[-1], b)
         # Platt scaling by Newton steps, with one made-up case of each class so that it stays finite.
         s = np.concatenate([raw[held], [raw.max(initial=1.0), raw.min(initial=-1.0)]])
         t = np.concatenate([y[held], [1, 0]])
+        m = np.concatenate([n[held], [1, 1]])
         a, c = 1.0, 0.0
         for _ in range(20):
             p = 1 / (1 + np.exp(-np.clip(a * s + c, -30, 30)))
-            w = np.maximum(p * (1 - p), 1e-9)
+            w = np.maximum(p * (1 - p), 1e-9) * m
             h = np.array([[(w * s * s).sum() + 1e-3, (w * s).sum()], [(w * s).sum(), w.sum() + 1e-3]])
             step = np.linalg.solve(h, [((p - t) * s).sum() + 1e-3 * a, (p - t).sum()])
             a, c = a - step[0], c - step[1]
@@ -83,6 +94,9 @@ class Boosted:
         return tree[node, 2]
 
     def probability(self, x: np.ndarray) -> np.ndarray:
-        b = self._binned(x)
-        raw = sum((self._leaf(t, b) for t in self.trees), np.zeros(len(x)))
+        return self.chance(self._binned(x))
+
+    def chance(self, b: np.ndarray) -> np.ndarray:
+        """Probability of ``binned`` rows."""
+        raw = sum((self._leaf(t, b) for t in self.trees), np.zeros(len(b)))
         return 1 / (1 + np.exp(-np.clip(self.scale[0] * raw + self.scale[1], -30, 30)))

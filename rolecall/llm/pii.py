@@ -6,19 +6,21 @@ spelled-out "at ... dot", dotted or colon-joined groups, and runs of digits with
 separators, each as a card and as a phone number. Boosted trees judge a proposal
 by format and context only; they learn from proposals that a check has confirmed
 (they cover a fixed span of their kind) against those that no check confirms, on
-a sample of about ``SAMPLE`` proposals per kind. A threshold per kind, on
+all proposals, counted by their bins. A threshold per kind, on
 calibrated probabilities, lets at most ``FALSE_RATE`` of the unconfirmed
-proposals of the sample pass. Selected spans are added to the fixed ones.
+proposals pass. Selected spans are added to the fixed ones.
 
 One pass reads the texts; proposals with features are written without text, and
-the sample is taken from, and the scores are given to, that table.
+the counts are taken from, and the scores are given to, that table.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +38,6 @@ DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-SAMPLE = 20_000
 FALSE_RATE = 0.02
 #: Fewer proposals of either class teach nothing; then none of the kind is added.
 LEAST_OF_CLASS = 20
@@ -188,29 +189,71 @@ def proposed(df: DataFrame, text: str = "text", keep: list[str] | None = None) -
     return map_texts(df, make, schema, text, keep)
 
 
+def _tallied(table: DataFrame, count: Callable, schema: str, keys: list[str]) -> pd.DataFrame:
+    """What ``count`` makes of the kinds, spans, marks and features of proposals, summed over the table by ``keys``.
+
+    A quarter of the proposals, by a hash of place and features, is held back for calibration.
+    """
+    p = table.select(F.explode("proposals").alias("p"))
+    rows = p.select("p.span.kind", "p.confirmed", (F.pmod(F.xxhash64("p.span", "p.x"), F.lit(4)) == 3).alias("held"), "p.x")
+
+    def run(batches):
+        for batch in batches:
+            kind, confirmed, held, x = batch.columns
+            if batch.num_rows:
+                wide = x.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                flags = [c.to_numpy(zero_copy_only=False) for c in (kind, confirmed, held)]
+                yield from count(*flags, wide)
+
+    return rows.mapInArrow(run, schema).groupBy(*keys).agg(F.sum("n").alias("n")).toPandas()
+
+
 def fit(table: DataFrame) -> dict[int, tuple[Boosted, float]]:
     """Trees and threshold of each kind that has enough proposals of both classes.
 
-    Proposals are counted first; then those whose row number in the written table
-    falls into one of n / ``SAMPLE`` equal shares by hash are collected, so the
-    driver gets about ``SAMPLE`` of a kind from any number of tasks.
+    Two passes over the written proposals count them all: by value of each feature, for the
+    bins, and by bins, class and share. Trees see every proposal through these sums, of which there are as many as
+    different binned rows.
     """
-    rows = table.select(F.explode("proposals").alias("p")).select("p.span.kind", "p.confirmed", "p.x")
-    counts = dict(rows.groupBy("kind").count().collect())
-    drawn = rows.withColumn("h", F.xxhash64(F.monotonically_increasing_id()))
+
+    def by_value(kind, confirmed, held, x):
+        for k in np.unique(kind[~held]):
+            for f, column in enumerate(x[(kind == k) & ~held].T):
+                values, n = np.unique(column, return_counts=True)
+                columns = [np.full(len(n), k, np.int32), np.full(len(n), f, np.int32), values, n.astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "feature", "value", "n"])
+
+    values = _tallied(table, by_value, "kind int, feature int, value double, n bigint", ["kind", "feature", "value"])
+    trees = {}
+    for kind, own in values.groupby("kind"):
+        own = own.sort_values(["feature", "value"])
+        trees[int(kind)] = Boosted()
+        trees[int(kind)].cut(*(own[c].to_numpy() for c in ("feature", "value", "n")))
+
+    def by_bins(kind, confirmed, held, x):
+        for k in np.unique(kind):
+            own = kind == k
+            if int(k) not in trees:
+                continue
+            bins = np.column_stack([confirmed[own], held[own], trees[int(k)].binned(x[own])]).astype(np.uint8)
+            cells, n = np.unique(bins, axis=0, return_counts=True)
+            columns = [pa.array(np.full(len(n), k, np.int32)), pa.array([c.tobytes() for c in cells], pa.binary()), pa.array(n.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["kind", "cell", "n"])
+
+    cells = _tallied(table, by_bins, "kind int, cell binary, n bigint", ["kind", "cell"])
     models = {}
-    for kind in sorted(counts):
-        share = -(-counts[kind] // SAMPLE)
-        own = drawn.filter((F.col("kind") == kind) & (F.pmod("h", F.lit(share)) == 0))
-        sample = sorted(own.select("h", "confirmed", "x").collect())
-        y = np.array([r.confirmed for r in sample], float)
-        if min(y.sum(), len(y) - y.sum()) < LEAST_OF_CLASS:
+    for kind, own in cells.groupby("kind"):
+        own = own.assign(cell=own["cell"].map(bytes)).sort_values("cell")
+        bins = np.frombuffer(b"".join(own["cell"]), np.uint8).reshape(len(own), -1)
+        y, held, b, n = bins[:, 0].astype(float), bins[:, 1] == 1, bins[:, 2:].astype(int), own["n"].to_numpy(float)
+        if min(n[y == 1].sum(), n[y == 0].sum()) < LEAST_OF_CLASS or len(np.unique(y[~held])) < 2:
             continue
-        x = np.array([r.x for r in sample])
-        model = Boosted().fit(x, y)
-        unconfirmed = np.sort(model.probability(x)[y == 0])[::-1]
-        allowed = int(FALSE_RATE * len(unconfirmed))
-        models[kind] = (model, max(0.5, float(unconfirmed[allowed])))
+        model = trees[int(kind)].fit(b, y, n, held)
+        chance, weight = model.chance(b[y == 0]), n[y == 0]
+        order = np.argsort(-chance, kind="stable")
+        allowed = int(FALSE_RATE * weight.sum())
+        at = np.searchsorted(np.cumsum(weight[order]), allowed, "right")
+        models[int(kind)] = (model, max(0.5, float(chance[order][at])))
     return models
 
 

@@ -132,3 +132,14 @@ def test_no_ngram_is_left_out_of_a_model(spark, monkeypatch):
     assert model.languages == ["aa", "bb"]
     longest, _, _ = langid.ngrams(["common", "words", "seldom"])
     assert langid._find(model.keys[3], longest[langid.order_of(longest) == 4])[1].all()
+
+
+def test_trees_count_every_proposal(spark, monkeypatch):
+    """Few of very many proposals are confirmed; a sample of ten a kind would show no class at all."""
+    monkeypatch.setattr(pii, "SAMPLE", 10, raising=False)
+    texts = [f"call +49 30 {1000000 + i * 37} now" if i % 4 == 0 else f"order {5000000 + i * 41} shipped" for i in range(400)]
+    table = pii.proposed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    spread = [pii.fit(table.repartition(n)) for n in (1, 7)]
+    model, least = spread[0][3]
+    assert least >= 0.5 and spread[1][3][1] == least
+    assert model.weight == 400
