@@ -225,6 +225,19 @@ def test_near_dedup_stage_reaches_similarity_eight_tenths(spark):
     assert [r.doc_id for r in left.collect()] == [1]
 
 
+def test_near_dedup_stage_links_fingerprints_too(spark):
+    """Words in pairs, once with many repeats: the shingle sets are far apart, the fingerprints are equal."""
+    words = [f"w{i}" for i in range(40)]
+    other = words + [f"v{i}" for i in range(5)]
+    docs = [(7, " ".join(words * 60)), (4, " ".join(words * 60 + other[38:]) + " end of it and more words still to come"), (9, "apart")]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in docs[:2]]
+    assert len(sets[0] & sets[1]) < 0.8 * len(sets[0] | sets[1])
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    linked = {r.doc_id: r.component_id for r in simhash.classes(frame).collect()}
+    assert linked == {4: 4, 7: 4, 9: 9}
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, frame, "").collect()) == [4, 9]
+
+
 def test_exact_dedup_has_no_false_alarms_or_misses(sf, spark):
     random.seed(8)
     texts = [random.choice(["a b", "ab", "a\tb ", "c", None, "", " ", f"t{i}"]) for i in range(500)]
