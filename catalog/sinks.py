@@ -70,9 +70,15 @@ def archived_pages(spark, sf):
 
 @query("html_files", "SELECT page_id, md5(html || chr(10)) AS html FROM pages")
 def html_files(spark, sf):
-    """Pages written as a file each and read back from their folders."""
+    """Pages written as a file each into one folder and read back.
+
+    A task numbers its files as it meets its rows, so a page is known by its place in the written table.
+    """
     path = _folder(spark)
-    table(spark, sf, "pages").select("page_id", "html").write.partitionBy("page_id").text(path)
-    found = tables.read_html_files(spark, path, "*.txt")
-    number = F.regexp_extract("url", r"page_id=(\d+)", 1).cast("long")
-    return found.select(number.alias("page_id"), F.md5("html").alias("html"))
+    pages = skew.materialize(table(spark, sf, "pages").select("page_id", "html"))
+    commit = "mapreduce.fileoutputcommitter.algorithm.version"  # 2: tasks move their files, not the driver
+    pages.select("html").write.option("maxRecordsPerFile", 1).option(commit, 2).text(path)
+    part, nth = (F.regexp_extract("url", r"part-(\d+)-[^/]*-c(\d+)", i).cast("long") for i in (1, 2))
+    found = tables.read_html_files(spark, path, "*.txt").select((F.shiftleft(part, 33) + nth).alias("place"), "html")
+    placed = pages.select("page_id", "html").select("page_id", F.monotonically_increasing_id().alias("place"))
+    return found.join(skew.materialize(placed), "place").select("page_id", F.md5("html").alias("html"))

@@ -2,6 +2,7 @@
 
 import hashlib
 
+from catalog import sinks
 from rolecall.operators import skew
 from rolecall.sources import tables
 
@@ -48,3 +49,12 @@ def test_written_tables_can_be_dropped(spark, tmp_path):
     assert skew.materialize(spark.range(3), folder).count() == 3
     skew.drop_folder(spark, folder)
     assert not (tmp_path / "held").exists()
+
+
+def test_pages_as_files_lie_in_one_folder(spark, tmp_path, monkeypatch):
+    rows = [(i * 7, f"<p>{i}</p>\nline {i}") for i in range(40)] + [(3, ""), (3, "")]
+    spark.createDataFrame(rows, "page_id long, html string").repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    monkeypatch.setattr(sinks, "_folder", lambda spark: f"{tmp_path}/files")
+    found = sinks.html_files(spark, str(tmp_path)).collect()
+    assert sorted(found) == sorted((k, hashlib.md5(f"{h}\n".encode()).hexdigest()) for k, h in rows)
+    assert not [x for x in (tmp_path / "files").iterdir() if x.is_dir()]
