@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
@@ -236,3 +237,37 @@ def test_a_full_tile_comes_out_in_bounded_batches():
         most = max(most, batch.nbytes)
         pairs += pc.sum(pc.fill_null(batch["idle_jobs"], 0)).as_py() + batch.num_rows - batch["ord"].null_count
     assert pairs == n_jobs * n_people and most < 64 << 20
+
+
+def test_no_pair_is_written(spark, small_tiles, monkeypatch):
+    """Ranks of a board of many tiles come without a table or a shuffle of its pairs; ties go by listing order."""
+    rows, write = [], skew.materialize
+
+    def counting(*args, **options):
+        table = write(*args, **options)
+        rows.append(table.count())
+        return table
+
+    monkeypatch.setattr(skew, "materialize", counting)
+    boards, resumes = some_boards(9, {"a": 60, "b": 2}, 8)
+    resumes = {i: f"{resumes[i % 6]} only{i % 5}" for i in range(12)}
+    r, j = tables(spark, resumes, boards)
+    pairs = pairs_of(spark, [(i, b) for i in resumes for b in boards])
+    j = j.withColumn("ord", F.col("ord") * F.col("ord") * 977 - 400)
+    scored = match.score_jobs(r, j, pairs)
+    found = scored.collect()
+    assert len(found) == 12 * 62 and max(rows) < 12 * 62 / 2
+    for keep_idle, listed in ((True, found), (False, match.score_jobs(r, j, pairs, keep_idle=False).collect())):
+        for key in {(x.resume_id, x.board_id) for x in listed}:
+            mine = sorted((x for x in listed if (x.resume_id, x.board_id) == key), key=lambda x: (-x.score, x.ord))
+            assert [x.rank for x in mine] == list(range(1, len(mine) + 1)), (keep_idle, key)
+            assert not keep_idle or len(mine) > 30 or key[1] == "b"
+    assert len(listed) < len(found)
+    plain = match.score_jobs(r, j, pairs, ranked=False, worded=False)
+    assert plain.columns == ["resume_id", "board_id", "ord", "score", "score_pct"]
+    assert sorted(plain.collect()) == sorted(x[:5] for x in found)
+
+
+def test_scores_round_as_printed():
+    cosine = [0.12345, 0.12355, 0.123450000001, 0.00005, 0.00015, 0.99995, 1.0000000000000002, 0.0, 0.65435]
+    assert tiles.rounded(np.array(cosine)).tolist() == [1234, 1236, 1235, 0, 2, 10000, 10000, 0, 6544]
