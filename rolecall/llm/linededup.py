@@ -13,7 +13,8 @@ is verified on the texts with a banded bit-parallel edit distance.
 A line has to go if *some* earlier line is near. So where it has more than ``MANY`` earlier lines with
 an alike sketch in a bucket, it is paired with the ``FIRST`` of them only; near copies of one line all meet the
 first, and pairs stay in proportion to lines. If none of those was near, the line is paired with all
-the others in a second pass.
+the others in a second pass. Where it has no more than ``MANY``, the others are kept, but verified
+only for lines that are near to none of their first.
 
 Lines are known by 128-bit hashes outside the tasks that read them; in buckets 64
 bits do, as all texts of a hash are verified. Texts of lines are fetched for candidate
@@ -237,6 +238,14 @@ def partners(
     A line with more than ``MANY`` partners comes with the ``FIRST`` of them and with itself. If some
     lines ``asked`` for partners, they get all of theirs, and others none.
     """
+    for later, earlier, _ in _partners(h1, mark, at, threshold, asked):
+        yield later, earlier
+
+
+def _partners(
+    h1: np.ndarray, mark: np.ndarray, at: np.ndarray, threshold: int, asked: np.ndarray | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``partners``, and whether the earlier one comes after the ``FIRST``."""
     order = np.lexsort((at, h1))
     h1, mark, at = h1[order], mark[order], at[order]
     starts = np.flatnonzero(np.concatenate([[True], h1[1:] != h1[:-1]]))
@@ -262,7 +271,7 @@ def partners(
             if not len(x):
                 continue
             if asked is not None:
-                yield h1[rows[x]], h1[earlier[y]]
+                yield h1[rows[x]], h1[earlier[y]], np.zeros(len(x), bool)
                 continue
             nth = near.cumsum(1)[x, y] + found[still[x]]
             held.append([c[nth <= MANY] for c in (still[x], earlier[y], nth)])
@@ -270,15 +279,15 @@ def partners(
         if held:
             x, y, nth = (np.concatenate(c) for c in zip(*held, strict=True))
             kept = (found[x] <= MANY) | (nth <= FIRST)
-            yield h1[later[x[kept]]], h1[y[kept]]
+            yield h1[later[x[kept]]], h1[y[kept]], nth[kept] > FIRST
         if (found > MANY).any():
-            yield h1[later[found > MANY]], h1[later[found > MANY]]
+            yield h1[later[found > MANY]], h1[later[found > MANY]], np.zeros((found > MANY).sum(), bool)
 
 
 def candidates(rows: DataFrame, threshold: int = THRESHOLD, asked: DataFrame | None = None) -> DataFrame:
-    """Distinct (a, b) of a line and an earlier one that meet in a bucket and whose sketches are alike (see ``partners``).
+    """Distinct (a, b, more) of a line and an earlier one that meet in a bucket and whose sketches are alike (see ``partners``).
 
-    Rows are dealt out by key and read sorted, as a stream.
+    ``more`` marks pairs that come after the ``FIRST`` of the line in every bucket. Rows are dealt out by key and read sorted, as a stream.
     """
     if asked is not None:
         marked = spread_lookup(rows, asked.withColumn("asked", F.lit(True)), ["h1"], ["key"], "left")
@@ -290,8 +299,8 @@ def candidates(rows: DataFrame, threshold: int = THRESHOLD, asked: DataFrame | N
 
     def close(parts):
         h1, mark, at, wants = (np.concatenate(c) for c in zip(*parts, strict=True))
-        for a, b in partners(h1, mark, at, threshold, None if everyone else h1[wants]):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        for a, b, more in _partners(h1, mark, at, threshold, None if everyone else h1[wants]):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(more)], ["a", "b", "more"])
 
     def run(batches):
         current, held = None, []
@@ -302,8 +311,9 @@ def candidates(rows: DataFrame, threshold: int = THRESHOLD, asked: DataFrame | N
             wants = wants[0] if wants else np.ones(len(key), bool)
             cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
             starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(key)]])
-            # Whole buckets inside this batch that have one row meet nobody.
-            busy = ends - starts > 1
+            # Whole buckets inside this batch that have one line, or no segment of one's own, meet nobody.
+            busy = np.minimum.reduceat(h1, starts) != np.maximum.reduceat(h1, starts)
+            busy &= np.bitwise_or.reduceat(mark, starts) & 1 == 1
             busy[0] = busy[-1] = True
             for start, end in zip(starts[busy].tolist(), ends[busy].tolist(), strict=True):
                 if key[start] != current:
@@ -316,7 +326,8 @@ def candidates(rows: DataFrame, threshold: int = THRESHOLD, asked: DataFrame | N
 
     columns = ["key", "h1", "mark", "at", *(["asked"] if asked is not None else [])]
     dealt = rows.select(*columns).repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+    found = dealt.mapInArrow(run, "a bigint, b bigint, more boolean")
+    return found.groupBy("a", "b").agg(F.min("more").alias("more"))
 
 
 def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -357,10 +368,15 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.join(wanted, "h1", "left_semi").dropDuplicates(["h1", "h2"])
 
 
-def verified(docs: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
-    """(a, a2, b, b2): both halves of the hashes of pairs (a, b) of lines that are at most ``threshold`` edits apart."""
+def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``line_texts`` of the lines of ``pairs`` (a, b), written."""
     wanted = materialize(pairs.select(F.col("a").alias("h1")).union(pairs.select(F.col("b").alias("h1"))).distinct())
-    texts = materialize(line_texts(docs, wanted))
+    return materialize(line_texts(docs, wanted))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """(a, a2, b, b2): both halves of the hashes of pairs (a, b) of lines that are at most ``threshold`` edits apart."""
+    pairs = pairs.select("a", "b")
     for side, other in (("a", "b"), ("b", "a")):
         named = texts.select(F.col("h1").alias(side), F.col("h2").alias(f"{side}2"), F.col("text").alias(f"text_{side}"))
         pairs = spread_lookup(pairs, named, [side], [other])
@@ -378,16 +394,21 @@ def near_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(h1, h2) of the lines of ``docs(doc_id, text)`` that are near to an earlier, different one."""
     rows = keys(docs, threshold)
     met = materialize(candidates(rows, threshold))
-    close = materialize(verified(docs, met.filter("a <> b"), threshold))
-    later = close.select(F.col("a").alias("h1"), F.col("a2").alias("h2"))
-    undecided = met.filter("a = b").select(F.col("a").alias("h1")).join(later.select("h1"), "h1", "left_anti")
-    undecided = materialize(undecided)
+    pairs = met.filter("a <> b")
+    texts = texts_of(docs, pairs)
+    later = materialize(verified(pairs.filter("not more"), texts, threshold).select("a", "a2").distinct())
+    # Lines of different texts that share half a hash: all of them have to be decided.
+    decided = later.groupBy("a").count().join(texts.groupBy(F.col("h1").alias("a")).count(), ["a", "count"], "left_semi").select("a")
+    left = materialize(pairs.filter("more").join(decided, "a", "left_anti"))
+    if not left.isEmpty():
+        later = later.union(materialize(verified(left, texts, threshold).select("a", "a2")))
+    undecided = met.filter("a = b").select("a").join(later.select("a"), "a", "left_anti")
+    undecided = materialize(undecided.select(F.col("a").alias("h1")))
     if not undecided.isEmpty():
         rest = materialize(candidates(rows, threshold, undecided))
-        rest = rest.join(met, ["a", "b"], "left_anti")
-        more = materialize(verified(docs, materialize(rest), threshold))
-        later = later.union(more.select("a", "a2"))
-    return later.distinct()
+        rest = materialize(rest.join(met, ["a", "b"], "left_anti"))
+        later = later.union(materialize(verified(rest, texts_of(docs, rest), threshold).select("a", "a2")))
+    return later.select(F.col("a").alias("h1"), F.col("a2").alias("h2")).distinct()
 
 
 def repeated(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:

@@ -2,8 +2,10 @@
 
 import random
 import re
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import xxhash
 from pyspark.sql import functions as F
 
@@ -118,6 +120,33 @@ def test_lines_beyond_the_first_partners_are_found(spark):
     assert got == near and near[100] == 1
 
 
+def test_near_copies_are_verified_against_the_first_only(spark, monkeypatch):
+    """Lines near to one of their first partners need no other, however many they have."""
+    head = "a line of some length that many documents have, number "
+    docs = [(i, head + f"{i:02d}") for i in range(60)]
+    asked, check = [], linededup.verified
+
+    def counting(*args):
+        asked.extend(x.count() for x in args if "b" in getattr(x, "columns", ()))
+        return check(*args)
+
+    monkeypatch.setattr(linededup, "verified", counting)
+    got = {r.doc_id: r.n_near for r in linededup.clean(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: int(i > 0) for i in range(60)} and 59 <= sum(asked) < 60 * 16
+
+
+def test_near_dedup_leaves_no_sets(spark):
+    """Tables of sets are dropped when the pairs they were read for are known."""
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    before = set(folder.rglob("*.parquet"))
+    words = [f"w{i}" for i in range(40)]
+    docs = [(i, " ".join(words[:39] + [f"end{i}"])) for i in range(9)]
+    found = nearsets.classes(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {r.component_id for r in found.collect()} == {0}
+    left = [pq.read_schema(f).names for f in set(folder.rglob("*.parquet")) - before]
+    assert left and not any({"_set", "size"} & set(names) for names in left)
+
+
 def plain_components(prints):
     parent = list(range(len(prints)))
 
