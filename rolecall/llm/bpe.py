@@ -31,10 +31,12 @@ from rolecall.llm.rows import map_texts
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A space here does not start a word of its own; such texts are split by the whole pattern.
 JOINED_SPACE = re.compile(r"\s (?=\s|\Z)")
-#: Entries of a worker's memory of encoded words, and of pieces: some 30 MB each. It starts anew beyond that.
-REMEMBERED = 150_000
+#: Entries of a worker's memory that begin a new generation, some 40 MB; the one before is kept besides.
+REMEMBERED = 200_000
 #: Token pairs that a worker remembers, some 50 MB; it starts anew beyond that.
 PAIRS = 500_000
+#: Bytes by which the tokens are looked up that may end at a place.
+TAIL = 4
 #: Longer words are encoded but not remembered.
 REMEMBERED_CHARS = 64
 
@@ -46,6 +48,32 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(others)}
 
 
+class Memory:
+    """Ids of words, in two generations: those asked for since the last change, and those of the time before it.
+
+    What is asked for again moves on to the new generation, so frequent words stay and rare ones go.
+    """
+
+    def __init__(self):
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def look(self, words: set[str]) -> tuple[dict[str, bytes], list[str]]:
+        """Ids of the words that are known, and the others."""
+        new, old = self.new, self.old
+        found = {w: x for w in words if (x := new.get(w)) is not None}
+        if len(found) < len(words):
+            again = {w: x for w in words if w not in found and (x := old.get(w)) is not None}
+            new.update(again)
+            found.update(again)
+        return found, [w for w in words if w not in found]
+
+    def keep(self, found: dict[str, bytes]) -> None:
+        self.new.update((w, x) for w, x in found.items() if len(w) <= REMEMBERED_CHARS)
+        if len(self.new) > REMEMBERED:
+            self.old, self.new = self.new, {}
+
+
 class Bpe:
     """Encoder and decoder of one vocabulary file (its JSON text)."""
 
@@ -72,26 +100,35 @@ class Bpe:
                 raise ValueError("token ids must follow the order of the merges")
             self.parts[made] = (left, right)
             self.merged[left, right] = made
-        #: Lengths of the tokens of three or more bytes by their last three, longest first.
-        self.lengths: dict[bytes, list[int]] = {}
-        for size in sorted({len(t) for t in self.ids}, reverse=True):
-            for token in (t for t in self.ids if len(t) == size > 2):
-                known = self.lengths.setdefault(token[-3:], [])
-                if not known or known[-1] != size:
-                    known.append(size)
-        self.follows: dict[int, bool] = {}
+        #: By the last bytes, TAIL at most: tokens that may end there, as (length, id), longest first. Longer ones
+        #: than TAIL come without their id, so bytes that no token ends in are looked up by fewer of them.
+        self.ends: dict[bytes, tuple[tuple[int, int | None], ...]] = {}
+        longer: dict[bytes, set[int]] = {}
+        for token in self.ids:
+            if len(token) > TAIL:
+                longer.setdefault(token[-TAIL:], set()).add(len(token))
+        one = {t: (len(t), i) for t, i in self.ids.items() if len(t) <= TAIL}
+        for tail in {t[-k:] for t in self.ids for k in range(1, TAIL + 1)}:
+            own = [one[tail[k:]] for k in range(len(tail)) if tail[k:] in one]
+            self.ends[tail] = (*((n, None) for n in sorted(longer.get(tail, ()), reverse=True)), *own)
+        #: For each token, whether it can follow others.
+        self.follows: list[dict[int, bool]] = [{} for _ in self.tokens]
+        self.n_pairs = 0
         self.split = regex.compile(WORDS).findall
         self.special = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
-        self.known: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.known = Memory()  # words that begin with no space
+        self.pieces = Memory()  # what stands between spaces, with the space before it
 
     def can_follow(self, left: int, right: int) -> bool:
         """Whether these two tokens stay apart when their bytes are encoded together."""
-        answer = self.follows.get(left << 32 | right)
+        answer = self.follows[right].get(left)
         if answer is None:
-            if len(self.follows) > PAIRS:
-                self.follows.clear()
-            answer = self.follows[left << 32 | right] = self._stays_apart(left, right)
+            if self.n_pairs >= PAIRS:
+                self.n_pairs = 0
+                for known in self.follows:
+                    known.clear()
+            self.n_pairs += 1
+            answer = self.follows[right][left] = self._stays_apart(left, right)
         return answer
 
     def _stays_apart(self, left: int, right: int) -> bool:
@@ -112,22 +149,25 @@ class Bpe:
 
     def encode_words(self, words: list[bytes]) -> list[bytes]:
         """Ids (little-endian, four bytes each) of distinct words, which must be sorted."""
-        ids, lengths, follows, tokens = self.ids.get, self.lengths.get, self.follows.get, self.tokens
+        ids, ends, follows, tokens = self.ids.get, self.ends.get, self.follows, self.tokens
         last: list[int] = [-1]  # last[i]: last token of the first i bytes of the current path
-        before, out, short = b"", [], (2, 1)
+        before, out, none = b"", [], ()
         for word in words:
             shared, end = 0, min(len(before), len(word))
             while shared < end and before[shared] == word[shared]:
                 shared += 1
             del last[shared + 1 :]
             for i in range(shared + 1, len(word) + 1):
-                for size in (*lengths(word[i - 3 : i], ()), 2, 1) if i > 2 else short:
+                k = TAIL if i > TAIL else i
+                while (found := ends(word[i - k : i], none)) is none and k > 1:
+                    k -= 1
+                for size, token in found:
                     start = i - size
-                    if start < 0 or (token := ids(word[start:i])) is None:
+                    if token is None and (start < 0 or (token := ids(word[start:i])) is None):
                         continue
                     if start:
                         left = last[start]
-                        if (fits := follows(left << 32 | token)) is None:
+                        if (fits := follows[token].get(left)) is None:
                             fits = self.can_follow(left, token)
                         if not fits:
                             continue
@@ -143,16 +183,34 @@ class Bpe:
             before = word
         return out
 
-    def _learn_words(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of distinct words: those known, and one walk over the trie of the rest."""
-        known = self.known
-        new = sorted((w.encode(), w) for w in words if w not in known)
-        found = dict(zip((w for _, w in new), self.encode_words([b for b, _ in new]), strict=True))
-        result = {w: known[w] for w in words if w in known} | found
-        if len(known) + len(found) > REMEMBERED:
-            known.clear()
-        known.update((w, x) for w, x in found.items() if len(w) <= REMEMBERED_CHARS)
-        return result
+    def _encoded(self, words: set[str], pieces: set[str]) -> tuple[dict[str, bytes], dict[str, bytes]]:
+        """Ids of distinct words and pieces: those known, and one walk over the trie of the rest.
+
+        A piece of one word is that word with a space before it, and is remembered as a piece alone.
+        """
+        made, new = self.pieces.look(pieces)
+        # Letters alone are one word; with ASCII ones all versions of Unicode agree on that.
+        several = {p: found for p in new if not (p.isascii() and p.isalpha()) and len(found := self.split(" " + p)) > 1}
+        inner = {w for found in several.values() for w in found}
+        # Words of several-word pieces and of texts that are pieces themselves are looked up there.
+        spaced = {w[1:] for w in inner | words if w[:1] == " "} - pieces
+        heads, unknown = self.pieces.look(spaced)
+        plain, others = self.known.look({w for w in inner | words if w[:1] != " "})
+        alone = [*(p for p in new if p not in several), *unknown]
+        todo = sorted([*((b" " + p.encode(), p, True) for p in alone), *((w.encode(), w, False) for w in others)])
+        ids = self.encode_words([b for b, _, _ in todo])
+        fresh = {p: x for (_, p, spaced), x in zip(todo, ids, strict=True) if spaced}
+        rest = {w: x for (_, w, spaced), x in zip(todo, ids, strict=True) if not spaced}
+        made.update(fresh)
+        plain.update(rest)
+        heads.update(fresh)
+        look = lambda w: plain[w] if w[:1] != " " else made[w[1:]] if w[1:] in made else heads[w[1:]]
+        joined = {p: b"".join([look(w) for w in found]) for p, found in several.items()}
+        made.update(joined)
+        self.pieces.keep(fresh)
+        self.pieces.keep(joined)
+        self.known.keep(rest)
+        return {w: look(w) for w in words}, made
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Token ids of whole texts, four little-endian bytes for each.
@@ -186,17 +244,8 @@ class Bpe:
                     pieces.update(rest)
                     job += [("words", found), ("pieces", rest)]
             jobs.append(job)
-        held = self.pieces
-        if len(held) > REMEMBERED:
-            held.clear()
-        new = {p: self.split(" " + p) for p in pieces if p not in held}
-        for found in new.values():
-            words.update(found)
-        ids = self._learn_words(words)
-        made = {p: b"".join([ids[w] for w in found]) for p, found in new.items()}
-        long = {p: x for p, x in made.items() if len(p) > REMEMBERED_CHARS}
-        held.update((p, x) for p, x in made.items() if p not in long)
-        look = {"words": ids.__getitem__, "pieces": (lambda p: held[p] if p in held else long[p]) if long else held.__getitem__}
+        ids, made = self._encoded(words, pieces)
+        look = {"words": ids.__getitem__, "pieces": made.__getitem__}
         return [b"".join([p if k == "ids" else b"".join(map(look[k], p)) for k, p in job]) for job in jobs]
 
     def decode(self, ids: bytes) -> str:

@@ -33,3 +33,18 @@ def test_decode_table(spark):
     docs = spark.createDataFrame([(1, "A text, of words."), (2, None)], "doc_id bigint, text string")
     coded = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id"])
     assert {r.doc_id: r.decoded for r in bpe.decode(coded, VOCABULARY).collect()} == {1: "A text, of words.", 2: ""}
+
+
+def test_frequent_words_outlive_a_full_memory(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 40)
+    with open(VOCABULARY, encoding="utf-8") as f:
+        encoder = bpe.Bpe(f.read())
+    walked = []
+    walk = encoder.encode_words
+    encoder.encode_words = lambda words: walked.append(set(words)) or walk(words)
+    for n in range(12):
+        text = "often seen, " + " ".join(f"q{'x' * k}{'abcdefghijkl'[n]}" for k in range(30))
+        (ids,) = encoder.encode([text])
+        assert np.frombuffer(ids, "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+    assert sum(b" seen" in words or b"often" in words for words in walked) == 1
+    assert len(encoder.pieces.new) + len(encoder.pieces.old) < 200
