@@ -31,9 +31,9 @@ from rolecall.llm.rows import map_texts
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A space here does not start a word of its own; such texts are split by the whole pattern.
 JOINED_SPACE = re.compile(r"\s (?=\s|\Z)")
-#: Entries of a worker's memory that begin a new generation, some 40 MB; the one before is kept besides.
+#: Entries of a task's memory that begin a new generation, some 40 MB; the one before is kept besides.
 REMEMBERED = 200_000
-#: Token pairs that a worker remembers, some 50 MB; it starts anew beyond that.
+#: Token pairs that a task remembers, some 50 MB; it starts anew beyond that.
 PAIRS = 500_000
 #: Bytes by which the tokens are looked up that may end at a place.
 TAIL = 4
@@ -254,17 +254,6 @@ class Bpe:
         return b"".join([tokens[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
 
 
-_MADE: dict[str, Bpe] = {}
-
-
-def _bpe(spec: str) -> Bpe:
-    """One encoder for each vocabulary and worker process, so that its memory outlives a task."""
-    if spec not in _MADE:
-        _MADE.clear()
-        _MADE[spec] = Bpe(spec)
-    return _MADE[spec]
-
-
 def _vocabulary(df: DataFrame, path: str):
     """The file's text for all executors; a vocabulary of more than 64 MB is refused."""
     with open(path, encoding="utf-8") as f:
@@ -281,7 +270,8 @@ def encode(
 
     ``vocabulary`` is a driver-side path to a byte-level BPE file with ``vocab`` and
     ``merges``. Null and empty texts have no tokens. With ``with_decoded`` the ids
-    are decoded in the same pass into ``decoded``. Row-wise: no shuffle, one row out
+    are decoded in the same pass into ``decoded``. What a task remembers of words goes with it, as Spark's workers
+    live on for other work. Row-wise: no shuffle, one row out
     for each row in; columns named like the new ones are replaced.
     """
     spec = _vocabulary(df, vocabulary)
@@ -289,7 +279,7 @@ def encode(
     fields += [StructField("decoded", StringType())] * with_decoded
 
     def make():
-        bpe = _bpe(spec.value)
+        bpe = Bpe(spec.value)
 
         def work(texts):
             ids = bpe.encode(texts)
@@ -305,7 +295,7 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "token_ids", keep: list[st
     spec = _vocabulary(df, vocabulary)
 
     def make():
-        bpe = _bpe(spec.value)
+        bpe = Bpe(spec.value)
         return lambda values: [[bpe.decode(x or b"") for x in values]]
 
     return map_texts(df, make, StructType([StructField("decoded", StringType())]), ids, keep)

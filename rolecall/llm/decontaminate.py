@@ -43,7 +43,7 @@ from pyspark.sql.types import (
 )
 
 from rolecall.llm.licenses import words_of
-from rolecall.llm.rows import slices
+from rolecall.llm.rows import sliced
 from rolecall.operators.skew import materialize
 
 #: Words of a window, and words of the benchmark that are searched for at once.
@@ -100,33 +100,32 @@ def build_index(docs: DataFrame, terms: dict[bytes, int], text: str = "text", do
 
     def run(batches):
         number = sent.value.get
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for start, end in slices(texts, SHARD_CHARS):
-                bases, counts, found, base = [], [], [], 0
-                for value in texts[start:end]:
-                    words = words_of(value or "")
-                    bases.append(base)
-                    counts.append(len(words))
-                    found.append(np.array([number(w, -1) for w in words], "i4"))
-                    found.append(np.full(WINDOW, -1, "i4"))
-                    base += len(words) + WINDOW
-                row = np.concatenate(found)
-                places = np.flatnonzero(row >= 0)
-                order = np.argsort(row[places], kind="stable")
-                places = places[order]
-                present, first = np.unique(row[places], return_index=True)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([ids[start:end]], arrow.field("doc_ids").type),
-                        pa.array([bases], arrow.field("bases").type),
-                        pa.array([counts], arrow.field("n_words").type),
-                        pa.array([present.tolist()], arrow.field("terms").type),
-                        pa.array([[*first[1:].tolist(), len(places)] if len(places) else []], arrow.field("ends").type),
-                        pa.array([places.astype("<u4").tobytes()]),
-                    ],
-                    schema=arrow,
-                )
+        for batch in sliced(batches, 1, SHARD_CHARS):
+            ids, texts = (c.to_pylist() for c in batch.columns)
+            bases, counts, found, base = [], [], [], 0
+            for value in texts:
+                words = words_of(value or "")
+                bases.append(base)
+                counts.append(len(words))
+                found.append(np.array([number(w, -1) for w in words], "i4"))
+                found.append(np.full(WINDOW, -1, "i4"))
+                base += len(words) + WINDOW
+            row = np.concatenate(found)
+            places = np.flatnonzero(row >= 0)
+            order = np.argsort(row[places], kind="stable")
+            places = places[order]
+            present, first = np.unique(row[places], return_index=True)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([ids], arrow.field("doc_ids").type),
+                    pa.array([bases], arrow.field("bases").type),
+                    pa.array([counts], arrow.field("n_words").type),
+                    pa.array([present.tolist()], arrow.field("terms").type),
+                    pa.array([[*first[1:].tolist(), len(places)] if len(places) else []], arrow.field("ends").type),
+                    pa.array([places.astype("<u4").tobytes()]),
+                ],
+                schema=arrow,
+            )
 
     return materialize(source.mapInArrow(run, SHARD))
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
-from rolecall.llm.rows import map_texts, slices
+from rolecall.llm.rows import map_texts, sliced
 from rolecall.operators.skew import materialize
 
 ORDER = 4
@@ -219,21 +219,19 @@ def count_ngrams(docs: DataFrame, text: str, lang: str) -> DataFrame:
             keys, counts = zip(*held[language], strict=True)
             held[language] = [sums(np.concatenate(keys), np.concatenate(counts))]
 
-        for batch in batches:
-            texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for start, end in slices(texts, SLICE):
-                words: dict[str, list[str]] = {}
-                for x, language in zip(texts[start:end], langs[start:end], strict=True):
-                    words.setdefault(language, []).extend(words_of(x or ""))
-                    docs_of[language] = docs_of.get(language, 0) + 1
-                for language, found in words.items():
-                    if not found:
-                        continue
-                    codes, distinct = pd.factorize(np.array(found, object))
-                    keys, _, word = ngrams(distinct.tolist())
-                    held.setdefault(language, []).append(sums(keys, np.bincount(codes)[word]))
-                    if sum(len(k) for k, _ in held[language]) > 1_000_000:
-                        gather(language)
+        for batch in sliced(batches, 0, SLICE):
+            words: dict[str, list[str]] = {}
+            for x, language in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words.setdefault(language, []).extend(words_of(x or ""))
+                docs_of[language] = docs_of.get(language, 0) + 1
+            for language, found in words.items():
+                if not found:
+                    continue
+                codes, distinct = pd.factorize(np.array(found, object))
+                keys, _, word = ngrams(distinct.tolist())
+                held.setdefault(language, []).append(sums(keys, np.bincount(codes)[word]))
+                if sum(len(k) for k, _ in held[language]) > 1_000_000:
+                    gather(language)
         for language, n in docs_of.items():
             yield pa.RecordBatch.from_arrays([pa.array([language]), pa.array([-1]), pa.array([n])], ["lang", "key", "n"])
         for language in held:

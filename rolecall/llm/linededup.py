@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from rolecall.llm.rows import slices
+from rolecall.llm.rows import sliced
 from rolecall.operators.skew import materialize, spread_lookup
 
 #: Most edits (insertions, deletions, substitutions of a character) between repeated lines.
@@ -147,21 +147,20 @@ def places(docs: DataFrame) -> DataFrame:
     """(h1, h2, doc_id, line) of every line that isn't too short; ``docs`` has doc_id and text."""
 
     def run(batches):
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for start, end in slices(texts):
-                found, doc, number = [], [], []
-                for i in range(start, end):
-                    for n, line in enumerate(lines_of(texts[i] or "")):
-                        if len(line) >= LEAST_CHARS:
-                            found.append(line)
-                            doc.append(ids[i])
-                            number.append(n)
-                h = digests(found)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(doc, pa.int64()), pa.array(number, pa.int32())],
-                    ["h1", "h2", "doc_id", "line"],
-                )
+        for batch in sliced(batches, 1):
+            ids, texts = (c.to_pylist() for c in batch.columns)
+            found, doc, number = [], [], []
+            for i, text in enumerate(texts):
+                for n, line in enumerate(lines_of(text or "")):
+                    if len(line) >= LEAST_CHARS:
+                        found.append(line)
+                        doc.append(ids[i])
+                        number.append(n)
+            h = digests(found)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(doc, pa.int64()), pa.array(number, pa.int32())],
+                ["h1", "h2", "doc_id", "line"],
+            )
 
     return docs.mapInArrow(run, "h1 bigint, h2 bigint, doc_id bigint, line int")
 
@@ -177,55 +176,54 @@ def keys(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         plans: dict[int, tuple] = {}
         seen: dict[int, int] = {}
         hashed = xxhash.xxh64_digest
-        for batch in batches:
+        for batch in sliced(batches, 1, 1_000_000):
             ids, texts = (c.to_pylist() for c in batch.columns)
-            for start, end in slices(texts, 1_000_000):
-                first: dict[str, int] = {}
-                for i in range(start, end):
-                    if texts[i]:
-                        at = ids[i] << LINE_BITS
-                        for line in lines_of(texts[i]):
-                            if len(line) >= LEAST_CHARS:
-                                if first.setdefault(line, at) > at:
-                                    first[line] = at
-                                at += 1
-                lines = list(first)
-                found: list[bytes] = []
-                h1, counts, marks, places = [], [], [], []
-                for line, h in zip(lines, digests(lines)[:, 0].tolist(), strict=True):
-                    at = first[line]
-                    if seen.get(h, at + 1) <= at:
-                        continue
-                    seen[h] = at
-                    if len(plans) > 10_000:
-                        plans.clear()
-                    if len(line) not in plans:
-                        plan = substrings(len(line), threshold)
-                        plans[len(line)] = [x[:3] for x in plan], np.array([x[3] for x in plan], np.int64)
-                    plan, own = plans[len(line)]
-                    if line.isascii():
-                        raw = line.encode()
-                        found += [hashed(raw[a:b], seed) for a, b, seed in plan]
-                        mark = sketch(raw)
-                    else:
-                        found += [hashed(line[a:b].encode("utf-8", "replace"), seed) for a, b, seed in plan]
-                        mark = sketch(line)
-                    h1.append(h)
-                    counts.append(len(plan))
-                    marks.append(own + 2 * mark)
-                    places.append(at)
-                if len(seen) > REMEMBERED:
-                    seen.clear()
-                if h1:
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.frombuffer(b"".join(found), "<i8")),
-                            pa.array(np.repeat(np.array(h1, np.int64), counts)),
-                            pa.array(np.concatenate(marks)),
-                            pa.array(np.repeat(np.array(places, np.int64), counts)),
-                        ],
-                        ["key", "h1", "mark", "at"],
-                    )
+            first: dict[str, int] = {}
+            for row, text in zip(ids, texts, strict=True):
+                if text:
+                    at = row << LINE_BITS
+                    for line in lines_of(text):
+                        if len(line) >= LEAST_CHARS:
+                            if first.setdefault(line, at) > at:
+                                first[line] = at
+                            at += 1
+            lines = list(first)
+            found: list[bytes] = []
+            h1, counts, marks, places = [], [], [], []
+            for line, h in zip(lines, digests(lines)[:, 0].tolist(), strict=True):
+                at = first[line]
+                if seen.get(h, at + 1) <= at:
+                    continue
+                seen[h] = at
+                if len(plans) > 10_000:
+                    plans.clear()
+                if len(line) not in plans:
+                    plan = substrings(len(line), threshold)
+                    plans[len(line)] = [x[:3] for x in plan], np.array([x[3] for x in plan], np.int64)
+                plan, own = plans[len(line)]
+                if line.isascii():
+                    raw = line.encode()
+                    found += [hashed(raw[a:b], seed) for a, b, seed in plan]
+                    mark = sketch(raw)
+                else:
+                    found += [hashed(line[a:b].encode("utf-8", "replace"), seed) for a, b, seed in plan]
+                    mark = sketch(line)
+                h1.append(h)
+                counts.append(len(plan))
+                marks.append(own + 2 * mark)
+                places.append(at)
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            if h1:
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.frombuffer(b"".join(found), "<i8")),
+                        pa.array(np.repeat(np.array(h1, np.int64), counts)),
+                        pa.array(np.concatenate(marks)),
+                        pa.array(np.repeat(np.array(places, np.int64), counts)),
+                    ],
+                    ["key", "h1", "mark", "at"],
+                )
 
     return docs.select("doc_id", "text").mapInArrow(run, "key bigint, h1 bigint, mark bigint, at bigint")
 
@@ -349,20 +347,19 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches):
         seen: set[int] = set()
-        for batch in batches:
+        for batch in sliced(batches, 0):
             texts = batch.column(0).to_pylist()
-            for start, end in slices(texts):
-                lines = list({line for x in texts[start:end] if x for line in lines_of(x) if len(line) >= LEAST_CHARS})
-                both = digests(lines)
-                h = both[:, 0]
-                at = h % bits
-                hit = np.flatnonzero(sent.value[at >> 3] >> (at & 7).astype(np.uint8) & 1)
-                new = [i for i in hit.tolist() if int(both[i, 1]) not in seen]
-                seen.update(both[new, 1].tolist())
-                if len(seen) > REMEMBERED:
-                    seen.clear()
-                halves = [pa.array(both[new, k].copy()) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*halves, pa.array([lines[i] for i in new], pa.string())], ["h1", "h2", "text"])
+            lines = list({line for x in texts if x for line in lines_of(x) if len(line) >= LEAST_CHARS})
+            both = digests(lines)
+            h = both[:, 0]
+            at = h % bits
+            hit = np.flatnonzero(sent.value[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            new = [i for i in hit.tolist() if int(both[i, 1]) not in seen]
+            seen.update(both[new, 1].tolist())
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            halves = [pa.array(both[new, k].copy()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*halves, pa.array([lines[i] for i in new], pa.string())], ["h1", "h2", "text"])
 
     found = docs.select("text").mapInArrow(run, "h1 bigint, h2 bigint, text string")
     return found.join(wanted, "h1", "left_semi").dropDuplicates(["h1", "h2"])

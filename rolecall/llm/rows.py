@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -14,11 +15,11 @@ from pyspark.sql.types import StructType
 SLICE_CHARS = 4_000_000
 
 
-def slices(texts: list[str | None], limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about ``limit`` characters each."""
+def slices(texts: pa.Array, limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about ``limit`` characters (or bytes) each; no text is taken out of ``texts`` for that."""
+    sizes = pc.binary_length(texts) if pa.types.is_binary(texts.type) else pc.utf8_length(texts)
     start, held = 0, 0
-    for i, text in enumerate(texts):
-        size = len(text) if text else 0
+    for i, size in enumerate(pc.fill_null(sizes, 0).to_pylist()):
         if held and held + size > limit:
             yield start, i
             start, held = i, 0
@@ -27,6 +28,13 @@ def slices(texts: list[str | None], limit: int = SLICE_CHARS) -> Iterator[tuple[
         yield start, len(texts)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], text: int, limit: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in slices of about ``limit`` characters of column ``text``, so that few texts are objects at once."""
+    for batch in batches:
+        for start, end in slices(batch.column(text), limit):
+            yield batch.slice(start, end - start)
+
+
 def map_texts(
     df: DataFrame,
     make: Callable[[], Callable[[list[str]], list]],
@@ -52,16 +60,14 @@ def map_texts(
 
     def run(batches):
         work = make()
-        for batch in batches:
-            texts = batch.column(place).to_pylist()
-            for start, end in slices(texts, limit):
-                made = work([x or "" for x in texts[start:end]])
-                columns = [batch.column(i).slice(start, end - start) for i in places] + list(made)
-                columns = [
-                    c if isinstance(c, pa.Array) and c.type == f.type else _array(c, f.type)
-                    for c, f in zip(columns, arrow, strict=True)
-                ]
-                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+        for batch in sliced(batches, place, limit):
+            made = work([x or "" for x in batch.column(place).to_pylist()])
+            columns = [batch.column(i) for i in places] + list(made)
+            columns = [
+                c if isinstance(c, pa.Array) and c.type == f.type else _array(c, f.type)
+                for c, f in zip(columns, arrow, strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return source.mapInArrow(run, schema)
 

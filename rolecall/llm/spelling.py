@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rolecall.llm.rows import slices
+from rolecall.llm.rows import sliced
 from rolecall.operators.skew import materialize
 
 #: Length of a gram, edits that words may differ in, and what follows from them for the prefix.
@@ -62,15 +62,14 @@ def counts(docs: DataFrame, text: str = "text", doc: str = "doc_id", least: int
             into[run] += n
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, 1):
             ids, texts = (c.cast(pa.binary()).to_pylist() for c in batch.columns)
-            for start, end in slices(texts):
-                total: Counter = Counter()
-                for doc_id, content in zip(ids[start:end], texts[start:end], strict=True):
-                    if content:
-                        found(doc_id or b"", content, total)
-                columns = [pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["word", "n"])
+            total: Counter = Counter()
+            for doc_id, content in zip(ids, texts, strict=True):
+                if content:
+                    found(doc_id or b"", content, total)
+            columns = [pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["word", "n"])
 
     plain = docs.select(F.col(f"`{doc}`").cast("string"), F.col(f"`{text}`").cast("string"))
     return plain.mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))

@@ -373,3 +373,13 @@ def test_op4_and_op8_queries(sf, spark):
     lines = {r.doc_id: (r.n_lines, r.n_repeated, r.n_near) for r in queries.op4_linededup(spark, folder).collect()}
     assert lines == {1: (1, 0, 0), 2: (1, 1, 0)}
     assert all(len(r.fingerprint) == 16 for r in queries.op8_simhash(spark, folder).collect())
+
+
+def test_near_dedup_moves_a_set_once(spark, monkeypatch):
+    plans = []
+    written = nearsets.materialize
+    monkeypatch.setattr(nearsets, "materialize", lambda df, *a, **k: plans.append(df) or written(df, *a, **k))
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k l"), (2, "a b c d e f g h i j k l m"), (3, "x y z u v w")], "doc_id bigint, text string")
+    pairs = nearsets.nodes(docs, "text", "doc_id", 5).groupBy().agg(F.min("node").alias("a"), F.max("node").alias("b")).select("a", "b")
+    nearsets.similar(pairs, docs, "text", 5, 0.8)
+    assert "_bucket" not in plans[-1]._jdf.queryExecution().optimizedPlan().toString()

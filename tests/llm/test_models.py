@@ -143,3 +143,19 @@ def test_trees_count_every_proposal(spark, monkeypatch):
     model, least = spread[0][3]
     assert least >= 0.5 and spread[1][3][1] == least
     assert model.weight == 400
+
+
+def test_language_stage_writes_no_texts(spark, monkeypatch):
+    import corpus_pipeline
+    from rolecall.llm import langid
+
+    written = []
+    for module in (corpus_pipeline, langid):
+        keep = module.materialize
+        monkeypatch.setattr(module, "materialize", lambda df, *a, keep=keep, **k: written.append(keep(df, *a, **k)) or written[-1])
+    rows = [(i, "some english words of a text", "en") for i in range(30)] + [(99, None, "en"), (99, "12 34", None), (None, "more words", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    left = corpus_pipeline.language_id(spark, docs, "")
+    assert sorted(str(r.doc_id) for r in left.collect()) == sorted([*map(str, range(30)), "None"])
+    assert left.columns == docs.columns
+    assert written and not any(rows[0][1] in r for table in written for r in table.collect())

@@ -117,3 +117,14 @@ def test_trees_add_what_looks_like_it(spark):
     assert all(len(got[i].base) == 1 for i in range(300)) and sum(len(got[i].added) for i in range(300, 600)) <= 30
     masked = pii.redacted(pii.scan(docs)).filter("doc_id = 0").first().text
     assert masked == "please call our phone [phone] today"
+
+
+def test_batches_are_cut_before_texts_are_taken_out():
+    import pyarrow as pa
+
+    from rolecall.llm.rows import sliced
+
+    texts = ["é" * 60, None, "x" * 500, "", "y" * 30, "z" * 30]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts)], ["doc_id", "text"])
+    parts = list(sliced(iter([batch]), 1, 300))
+    assert [p.column(1).to_pylist() for p in parts] == [texts[:2], texts[2:3], texts[3:]]
