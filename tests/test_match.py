@@ -271,3 +271,19 @@ def test_no_pair_is_written(spark, small_tiles, monkeypatch):
 def test_scores_round_as_printed():
     cosine = [0.12345, 0.12355, 0.123450000001, 0.00005, 0.00015, 0.99995, 1.0000000000000002, 0.0, 0.65435]
     assert tiles.rounded(np.array(cosine)).tolist() == [1234, 1236, 1235, 0, 2, 10000, 10000, 0, 6544]
+
+
+def test_terms_are_counted_inside_the_rows_of_jobs(spark):
+    jobs = [
+        ("b", 1, "Python python dev", "python rust. rust, go kafka-2 the team"),
+        ("b", 1, None, "rust"),
+        ("b", 2, "", None),
+        (None, 3, "kafka", "kafka"),
+    ]
+    frame = spark.createDataFrame(jobs, "board_id string, ord bigint, title string, description string")
+    got = {(r.board_id, r.ord, r.term): r.tf for r in match.term_freqs(frame).collect()}
+    assert got == {("b", 1, "python"): 5, ("b", 1, "dev"): 1, ("b", 1, "rust"): 9, ("b", 1, "kafka-2"): 3, (None, 3, "kafka"): 4}
+    df = {(r.board_id, r.term): r.df for r in match.job_df(frame).collect()}
+    assert df == {("b", ""): 2, ("b", "python"): 1, ("b", "dev"): 1, ("b", "rust"): 1, ("b", "kafka-2"): 1}
+    plan = match._job_postings(frame, ["board_id", "ord"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate")  # words are no rows that an aggregate takes
