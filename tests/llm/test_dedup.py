@@ -383,3 +383,23 @@ def test_near_dedup_moves_a_set_once(spark, monkeypatch):
     pairs = nearsets.nodes(docs, "text", "doc_id", 5).groupBy().agg(F.min("node").alias("a"), F.max("node").alias("b")).select("a", "b")
     nearsets.similar(pairs, docs, "text", 5, 0.8)
     assert "_bucket" not in plans[-1]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_bits_rule_out_only_sets_that_differ(spark, monkeypatch):
+    draw = random.Random(3)
+    for _ in range(200):
+        a = {draw.getrandbits(64) for _ in range(draw.randint(0, 900))}
+        b = set(draw.sample(sorted(a), len(a) * draw.randint(0, 9) // 9)) | {draw.getrandbits(64) for _ in range(draw.randint(0, 100))}
+        x, y = (nearsets.bits_of(np.array(sorted(s), np.uint64)) for s in (a, b))
+        assert sum(int(v).bit_count() for v in (x ^ y).view(np.uint64)) <= len(a ^ b)
+    written = []
+    keep = nearsets.materialize
+    monkeypatch.setattr(nearsets, "materialize", lambda df, *a, **k: written.append(keep(df, *a, **k)) or written[-1])
+    monkeypatch.setattr(nearsets, "drop_folder", lambda *a: None)
+    texts = [" ".join(f"w{i}x{n}" for i in range(60)) for n in range(20)] + [" ".join([f"w{i}x0" for i in range(60)] + ["more"])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    nodes = nearsets.nodes(docs, "text", "doc_id", 5)
+    pairs = nodes.select(F.col("node").alias("a")).crossJoin(nodes.select(F.col("node").alias("b"))).filter("a < b")
+    found = nearsets.similar(pairs, docs, "text", 5, 0.8)
+    assert found.count() == 1
+    assert sorted(t.count() for t in written if t.columns == ["a", "b"]) == [1, 1, 210]  # those found, those that met sets, all
