@@ -12,6 +12,9 @@ from ..functions.text import let
 from ..sources.dom import WHOLE
 from . import skew
 
+#: Pages that a task is left with, on average, if there are more tasks than four a core.
+PAGES_A_TASK = 2_000
+
 
 # --- careers page of a request ------------------------------------------------------
 def normalized(requests: DataFrame) -> DataFrame:
@@ -182,19 +185,29 @@ def chosen_snapshots(attempts: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``attempts(page_id, url, stage, generic, browser, wants_ai, command, attempt,
     ai_targeted, html)`` to ``snapshots(page_id, url, stage, html)``, one per (url,
     stage), and ``errors(url, stage, message)`` where no attempt is good enough.
-    Only sizes and markers are grouped; pages are joined by page_id.
+    Only sizes and markers are grouped, and markers are looked for in ``get`` pages alone, the only ones
+    they matter for. Pages are joined by page_id: they move once and unsorted, past hash tables of the chosen
+    ids, and are left in even tasks for what comes next. ``snapshots`` is not written: read it once.
     """
     key = F.concat_ws("\n", "stage", "url")
+    spa = F.when(F.col("command") == rules.FETCH_COMMANDS[0], is_spa(F.col("html")))
     sized = attempts.select(
         "page_id", key.alias("url"), F.col("url").alias("page_url"), "stage", "generic", "browser", "wants_ai", "command",
         "attempt", "ai_targeted", F.length(F.coalesce("html", F.lit(""))).cast("long").alias("chars"),
-        F.coalesce(is_spa(F.col("html")), F.lit(False)).alias("spa"),
+        F.coalesce(spa, F.lit(False)).alias("spa"),
     )
     sized = skew.materialize(sized)
     same = ["url", "command", "attempt", "ai_targeted"]
     kept = sized.join(choose_snapshot(sized).select(*same), same, "left_semi")
-    kept = kept.groupBy("url").agg(F.min("page_id").alias("page_id"))
-    snapshots = attempts.join(kept.select("page_id"), "page_id", "left_semi").select("page_id", "url", "stage", "html")
+    kept = skew.materialize(kept.groupBy("url").agg(F.min("page_id").alias("page_id")))
+    # An inner join with distinct ids: a semi join would be pushed below the deal, and adaptive execution, which
+    # sizes tasks by their bytes, would then leave a few tasks for the long step of parsing.
+    spark = attempts.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, kept.count() // PAGES_A_TASK)
+    deal = max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    pages = attempts.select("page_id", "url", "stage", "html").repartition(deal, "page_id")
+    ids = kept.select("page_id").repartition(deal, "page_id").distinct()
+    snapshots = pages.join(ids.hint("shuffle_hash"), "page_id").coalesce(tasks)
     lost = sized.select("url", "page_url", "stage").distinct().join(kept, "url", "left_anti")
     message = F.concat(F.lit("No usable page among the fetch attempts for "), "page_url")
     return snapshots, lost.select(F.col("page_url").alias("url"), "stage", message.alias("message"))

@@ -231,7 +231,7 @@ def scrape(
     lost = None
     if snapshots is None:
         snapshots, lost = discover.chosen_snapshots(attempts)
-        snapshots, lost = skew.materialize(snapshots), skew.materialize(lost)
+        lost = skew.materialize(lost)
     broken = []
     if failures is not None:
         broken = [discover.failed_discoveries(requests, failures)]
