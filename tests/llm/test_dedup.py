@@ -403,3 +403,25 @@ def test_bits_rule_out_only_sets_that_differ(spark, monkeypatch):
     found = nearsets.similar(pairs, docs, "text", 5, 0.8)
     assert found.count() == 1
     assert sorted(t.count() for t in written if t.columns == ["a", "b"]) == [1, 1, 210]  # those found, those that met sets, all
+
+
+def test_sets_of_pairs_that_bits_rule_out_are_not_made(spark, monkeypatch):
+    """Many texts share their first shingles; only two are near copies, and only their sets are written."""
+    words = lambda seed, n: [f"w{seed}x{i}" for i in range(n)]
+    head = words("head", 12)
+    texts = [" ".join(head + words(i, 30)) for i in range(20)]
+    texts += [" ".join(words("same", 90) + [w]) for w in ("one", "two")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING")
+    written, write = [], nearsets.materialize
+
+    def counting(df, *args, **options):
+        table = write(df, *args, **options)
+        if "values" in table.columns:
+            written.append(table.count())
+        return table
+
+    monkeypatch.setattr(nearsets, "materialize", counting)
+    nodes = [nearsets.node_of(nearsets.shingle_set(x)) for x in texts]
+    pairs = spark.createDataFrame([(min(a, b), max(a, b)) for a, b in zip(nodes, nodes[1:], strict=False)], "a LONG, b LONG")
+    found = nearsets.similar(pairs, docs, "text", nearsets.SHINGLE, nearsets.SIMILARITY).collect()
+    assert [tuple(x) for x in found] == [(min(nodes[-2:]), max(nodes[-2:]))] and written == [22, 2]

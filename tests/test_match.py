@@ -287,3 +287,51 @@ def test_terms_are_counted_inside_the_rows_of_jobs(spark):
     assert df == {("b", ""): 2, ("b", "python"): 1, ("b", "dev"): 1, ("b", "rust"): 1, ("b", "kafka-2"): 1}
     plan = match._job_postings(frame, ["board_id", "ord"])._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.index("Aggregate")  # words are no rows that an aggregate takes
+
+
+def test_rows_of_a_job_stand_side_by_side():
+    """Keyword lists of a job are alike for all résumés: next to each other they take little room."""
+    item = pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int64()), ("df", pa.int64())]))
+    terms = lambda *words: [dict(term=w, tf=1, df=2) for w in words]
+    jobs = pa.table({"is_job": [True] * 5, "ord": list(range(5)), "senior": [False] * 5, "terms": pa.array([terms("go", f"w{i}") for i in range(5)], item)})
+    people = pa.table(
+        {"is_job": [False] * 3, "resume_id": [7, 8, 9], "years": [1.0] * 3, "n_jobs": [5] * 3, "norm2": [9.0] * 3,
+         "terms": pa.array([terms("go", f"w{i}") for i in range(3)], item), "top": pa.array([["go"]] * 3, pa.list_(pa.string()))}
+    )
+    schema = pa.schema([("resume_id", pa.int64()), ("ord", pa.int64()), ("matched", pa.list_(pa.string())), ("missing", pa.list_(pa.string()))])
+    tile = pa.concat_tables([jobs, people], promote_options="default").to_batches()
+    (batch,) = tiles.meet((pa.scalar("b"), pa.scalar(0), pa.scalar(0)), iter(tile), schema)
+    assert batch["ord"].to_pylist() == [i for i in range(5) for _ in range(3)] and batch["resume_id"].to_pylist() == [7, 8, 9] * 5
+    assert batch["matched"].to_pylist() == [["go"]] * 15
+
+
+def test_both_sides_move_packed(spark, monkeypatch):
+    """A tile is one block, résumés are blocks of many, and a block takes a fraction of the words in it."""
+    boards, _ = some_boards(3, {"a": 700, "b": 9})
+    resumes = {i: " ".join(f"word{chr(97 + (i + k) % 26)}{chr(97 + k % 8)}" for k in range(60)) for i in range(200)}
+    r, j = tables(spark, resumes, boards)
+    monkeypatch.setattr(match, "TILE_JOBS", 300)
+    sides = match._sides(r, j, pairs_of(spark, [(i, b) for i in resumes for b in boards]))
+    assert sorted((x.board_id, x.jt, x.marks) for x in sides.jobs.collect()) == [("a", 0, 300), ("a", 1, 300), ("a", 2, 100), ("b", 0, 9)]
+    blocks = sides.people.collect()
+    assert len(blocks) < 10 and sum(len(tiles.unpack(bytes(x.block))["sizes"]) for x in blocks) == 400
+    assert sum(len(x.block) for x in blocks) < 2 * sum(map(len, resumes.values())) / 3
+    assert sorted((x.board_id, x.jt) for x in match._tiles(sides).filter("kind = 3").distinct().collect())[-1] == ("b", 0)
+
+
+def test_numbers_survive_packing():
+    for numbers in ([], [0], [-5, 3, 70_000, -(1 << 31)], [1 << 40, -1]):
+        got = tiles.unpack(tiles.pack(n=np.array(numbers, np.int64), words=pa.array(["é", None, "x"])))
+        assert got["n"].tolist() == numbers and got["words"].to_pylist() == ["é", None, "x"]
+
+
+def test_a_snapshot_is_the_statistics_of_the_vectors(spark, monkeypatch):
+    monkeypatch.setattr(match, "TILE_JOBS", 2)
+    rows = [("a", i % 4 or None, "Senior x" if i % 3 else None, f"kafka word{i % 5}") for i in range(12)] + [("b", 1, "go", None), (None, 1, "go", "go"), ("c", 1, "x", "y")]
+    jobs = spark.createDataFrame(rows, "board_id STRING, ord LONG, title STRING, description STRING")
+    boards = spark.createDataFrame([("a", 3), ("b", 1)], "board_id STRING, n_pairs LONG")
+    want = sorted(match.board_df(match.job_vectors(jobs, boards)).collect())
+    got = match.snapshot(jobs, boards).select("board_id", "term", "df", "n_pairs")
+    assert sorted(got.collect()) == want and {x.board_id for x in got.collect()} == {"a", "b"}
+    counts = {(x.version, x.board_id, x.term): x.n for x in match.board_counts(jobs.withColumn("version", F.lit(7)), ["version"]).collect()}
+    assert (counts[7, "a", ""], counts[7, "a", "kafka"], counts[7, "a", "word3"]) == (4, 4, 2) and counts[7, None, ""] == 1
